@@ -81,31 +81,35 @@ class FeatureFrame:
     n_items: Column
     begin: Column
 
-    # block offsets -------------------------------------------------------
+    # block offsets (columns of ``_ctx``) ------------------------------------
     @property
     def a(self) -> Column:
         return F.lit(0).cast("long")
 
     @property
     def b(self) -> Column:
-        return self.n_users
+        return F.col("_nu")
 
     @property
     def c(self) -> Column:
-        return self.n_users + self.n_items
+        return F.col("_nu") + F.col("_ni")
 
     @property
     def d(self) -> Column:
-        return self.n_users + F.lit(2) * self.n_items
+        return F.col("_nu") + F.lit(2) * F.col("_ni")
 
     @property
     def e(self) -> Column:
-        return self.n_users + F.lit(3) * self.n_items
+        return F.col("_nu") + F.lit(3) * F.col("_ni")
 
     @property
     def f(self) -> Column:
         return self.e + F.lit(1)
 
+    def _ctx(self, df: DataFrame) -> DataFrame:
+        """``df`` with U, I and the start time attached as columns."""
+        return df.select("*", self.n_users.alias("_nu"), self.n_items.alias("_ni"), self.begin.alias("_t0"))
+
     # entry expressions ---------------------------------------------------
     def _entry(self, col: Column, cat: str, value: Column) -> Column:
         return F.struct(col.cast("long").alias("col"), F.lit(cat).alias("cat"), value.cast("double").alias("value"))
@@ -120,7 +124,7 @@ class FeatureFrame:
         return self._entry(self.d + F.col("prev_col"), "context_categorical", F.lit(1.0))
 
     def _time(self):
-        days = F.floor((F.col("timestamp") - self.begin) / F.lit(DAY_MS))
+        days = F.floor((F.col("timestamp") - F.col("_t0")) / F.lit(DAY_MS))
         return self._entry(self.e, "context_numerical", days)
 
     def _event(self):
@@ -131,7 +135,7 @@ class FeatureFrame:
 
     def _block(self, entry: Column, where: Column | None = None) -> DataFrame:
         rows = self.rows if where is None else self.rows.where(where)
-        return rows.select(F.col("row"), entry.alias("_e")).select("row", "_e.col", "_e.cat", "_e.value")
+        return self._ctx(rows).select(F.col("row"), entry.alias("_e")).select("row", "_e.col", "_e.cat", "_e.value")
 
     # blocks --------------------------------------------------------------
     def user_block(self) -> DataFrame:
@@ -161,7 +165,7 @@ class FeatureFrame:
     def rated_block(self) -> DataFrame:
         """per user, every rated item (duplicates kept) with weight 1/N."""
         counts = self.indexed.groupBy("urow").agg(F.count(F.lit(1)).alias("_n"))
-        return (self.indexed.join(counts, "urow")
+        return (self._ctx(self.indexed.join(counts, "urow"))
                 .select(F.col("urow").alias("user_row"), (self.c + F.col("icol")).cast("long").alias("col"),
                         F.lit("context_categorical_set").alias("cat"),
                         (F.lit(1.0) / F.col("_n").cast("double")).alias("value")))
@@ -171,13 +175,13 @@ class FeatureFrame:
         entries = F.array(self._user(), self._item(),
                           F.when(F.col("prev_col").isNotNull(), self._previous()),
                           self._time(), self._event(), self._label())
-        return (self.rows.select("row", F.inline(F.filter(entries, lambda x: x.isNotNull())))
+        return (self._ctx(self.rows).select("row", F.inline(F.filter(entries, lambda x: x.isNotNull())))
                 .select("row", "col", "cat", "value"))
 
     def layout(self) -> DataFrame:
         """one row with U, I and every block offset."""
-        return (self.users.agg(F.count(F.lit(1)).alias("users"))
-                .select("users", self.n_items.alias("items"), self.a.alias("user_offset"),
+        return (self._ctx(self.users.agg(F.count(F.lit(1)).alias("users")))
+                .select("users", F.col("_ni").alias("items"), self.a.alias("user_offset"),
                         self.b.alias("item_offset"), self.c.alias("rated_offset"), self.d.alias("previous_offset"),
                         self.e.alias("time_col"), self.f.alias("event_col"), (self.f + F.lit(1)).alias("label_col")))
 

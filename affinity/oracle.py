@@ -158,8 +158,8 @@ FROM lines l JOIN seq s ON l.site = s.site AND l."user" = s."user" AND l."group"
     "user_order_totals": _with(_L1, _PREFS) + 'SELECT site, "user", total FROM totals',
     "explode_transactions": _with(_L1) + 'SELECT site, "user", item FROM lines',
     "item_support": _with(_L1, _PREFS) + 'SELECT site, "user", item, support FROM support',
-    "raw_preference": _with(_L1, _PREFS) + 'SELECT site, "user", item, pref FROM prefs',
-    "item_max_preference": _with(_L1, _PREFS) + "SELECT item, max_pref FROM maxp",
+    "raw_preference": _with(_L1, _PREFS) + 'SELECT site, "user", item, round(pref, 9) AS pref FROM prefs',
+    "item_max_preference": _with(_L1, _PREFS) + "SELECT item, round(max_pref, 9) AS max_pref FROM maxp",
     "purchase_preferences": _with(_L1, _PREFS) + _SCALE,
     "purchase_ratings_explicit": """SELECT CAST('shop' AS VARCHAR) AS site, CAST(o.o_custkey AS VARCHAR) AS "user",
   CAST(l.l_partkey AS INTEGER) AS item, CAST(trunc(l.l_extendedprice / 1000) AS INTEGER) AS score
