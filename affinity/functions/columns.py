@@ -16,17 +16,25 @@ def strict_cast(col: Column, dtype: T.DataType | str, what: str) -> Column:
     """Cast that fails the job on a value that does not convert.
 
     Same outcome whatever ``spark.sql.ansi.enabled`` says: a non-null input whose
-    cast is null raises, naming the field.
+    cast is null raises, naming the field.  Nulls stay null.
     """
     casted = col.try_cast(dtype)
-    return F.when(col.isNotNull() & casted.isNull(),
-                  F.raise_error(F.concat(F.lit(f"cannot convert {what}: "), col.cast("string")))
-                  ).otherwise(casted)
+    return F.coalesce(casted, F.when(col.isNotNull(), _fail(f"cannot convert {what}: ", col, dtype)))
 
 
 def required(col: Column, what: str) -> Column:
     """Fail the job on a null in a field every record must have."""
-    return F.when(col.isNull(), F.raise_error(F.lit(f"missing value for {what}"))).otherwise(col)
+    return F.coalesce(col, F.raise_error(F.lit(f"missing value for {what}")))
+
+
+def required_cast(col: Column, dtype: T.DataType | str, what: str) -> Column:
+    """``required(strict_cast(..))`` with the source evaluated once per row:
+    the error branch runs only when the cast gives null."""
+    return F.coalesce(col.try_cast(dtype), _fail(f"missing or invalid value for {what}: ", col, dtype))
+
+
+def _fail(message: str, col: Column, dtype) -> Column:
+    return F.raise_error(F.concat(F.lit(message), F.coalesce(col.cast("string"), F.lit("null")))).cast(dtype)
 
 
 def epoch_millis(col: Column, dtype: T.DataType) -> Column:

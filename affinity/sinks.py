@@ -49,17 +49,18 @@ def write_engagement(ratings: DataFrame, base: str, name: str, uid: str, sink: s
     nothing upstream is recomputed and lineage stays short.
     """
     from affinity import schemas
-    from affinity.operators.features import item_index, prepare, user_index
+    from affinity.operators.features import index_tables, prepare
 
     spark = ratings.sparkSession
     paths = {i: table_path(base, name, uid, i) for i in range(1, 6)}
     write_table(ratings, paths[1], sink)
     stored = read_table(spark, paths[1], sink, schemas.ENGAGEMENT_RATING)
-    write_table(user_index(stored, partitions), paths[2], sink)
-    write_table(item_index(stored, partitions), paths[3], sink)
+    users, items = index_tables(stored, partitions)
+    write_table(users, paths[2], sink)
+    write_table(items, paths[3], sink)
     users = read_table(spark, paths[2], sink, schemas.USER_INDEX)
     items = read_table(spark, paths[3], sink, schemas.ITEM_INDEX)
-    ff = prepare(stored, users, items, partitions)
+    ff = prepare(stored, users, items, partitions, stored=True)
     write_table(ff.matrix(), paths[4], sink)
     write_table(ff.rated_block(), paths[5], sink)
     return paths

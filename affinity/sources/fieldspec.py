@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from affinity.functions.columns import epoch_millis, required, strict_cast
+from affinity.functions.columns import epoch_millis, required, required_cast
 
 # The two bundled field specifications (logical name, source
 # column, declared type), for engagement events and for purchase lines.
@@ -113,10 +113,23 @@ def apply_field_spec(df: DataFrame, spec: FieldSpec, schema: T.StructType) -> Da
         src, src_type = sources[f.name], probe[f.name].dataType
         what = f"field '{f.name}' (source {spec.source(f.name)})"
         if f.name == "timestamp" and isinstance(src_type, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-            value = epoch_millis(src, src_type)
-        elif src_type == f.dataType:
-            value = src
+            value = required(epoch_millis(src, src_type), what)
+        elif src_type == f.dataType or _widening(src_type, f.dataType):
+            value = required(src.cast(f.dataType), what)
         else:
-            value = strict_cast(src, f.dataType, what)
-        out.append(required(value, what).alias(f.name))
+            value = required_cast(src, f.dataType, what)
+        out.append(value.alias(f.name))
     return df.select(*out)
+
+
+_INTEGRAL_WIDTH = {T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.LongType: 8}
+
+
+def _widening(src: T.DataType, dst: T.DataType) -> bool:
+    """Casts that never fail: to string from numbers, to a wider integer, or
+    from an integer to double."""
+    if isinstance(dst, T.StringType):
+        return isinstance(src, (T.NumericType, T.BooleanType, T.StringType))
+    if type(src) in _INTEGRAL_WIDTH and type(dst) in _INTEGRAL_WIDTH:
+        return _INTEGRAL_WIDTH[type(src)] <= _INTEGRAL_WIDTH[type(dst)]
+    return isinstance(dst, T.DoubleType) and isinstance(src, (T.IntegralType, T.FloatType, T.DoubleType))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from affinity import schemas
-from affinity.functions.columns import required, strict_cast
+from affinity.functions.columns import required, required_cast
 from affinity.sources.fieldspec import FieldSpec, apply_field_spec, default_spec
 
 # Column order of the text layouts.
@@ -52,8 +52,8 @@ def _read_text(spark: SparkSession, path: str, layout: list[str], schema: T.Stru
     fields = lines.select(checked.alias("_f"))
     by_name = {name: F.element_at(F.col("_f"), i + 1) for i, name in enumerate(layout)}
     return fields.select(*[
-        required(by_name[f.name] if f.dataType == T.StringType()
-                 else strict_cast(by_name[f.name], f.dataType, f"field '{f.name}'"), f"field '{f.name}'").alias(f.name)
+        (required(by_name[f.name], f"field '{f.name}'") if f.dataType == T.StringType()
+         else required_cast(by_name[f.name], f.dataType, f"field '{f.name}'")).alias(f.name)
         for f in schema.fields
     ])
 

@@ -34,7 +34,7 @@ EVENT_CODE = (
 EVENT_SPEC = FieldSpec.of({
     "site": "concat('site', CAST(user_id % 3 AS STRING))",
     "user": "CAST(user_id AS STRING)",
-    "item": "concat('i', CAST(CAST(get_json_object(props, '$.k') AS INT) % 20 AS STRING))",
+    "item": "concat('i', CAST(from_json(props, 'k INT').k % 20 AS STRING))",
     "timestamp": "ts",
     "event": EVENT_CODE,
 })

@@ -38,7 +38,7 @@ def test_text_wrong_arity_fails(spark, scratch):
 
 def test_text_bad_number_fails(spark, scratch):
     p = _write(os.path.join(scratch, "bad2.txt"), "s1,u1,i1,soon,7\n")
-    with pytest.raises(PySparkException, match="cannot convert"):
+    with pytest.raises(PySparkException, match="invalid value"):
         R.read_events_text(spark, p).collect()
 
 
@@ -60,7 +60,7 @@ def test_documents(spark, scratch):
 
 def test_documents_missing_field_fails(spark, scratch):
     p = _write(os.path.join(scratch, "d.json"), json.dumps({"site": "s", "user": "u", "item": "i", "event": "3"}))
-    with pytest.raises(PySparkException, match="missing value"):
+    with pytest.raises(PySparkException, match="missing"):
         R.read_events_documents(spark, p).collect()
 
 
