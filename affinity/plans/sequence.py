@@ -46,6 +46,17 @@ def _offsets(counts: DataFrame) -> DataFrame:
     return counts.select(PID, F.coalesce(F.sum("_n").over(w), F.lit(0)).cast("long").alias("_off"))
 
 
+def _pinned(summary: DataFrame) -> DataFrame:
+    """Compute the per-partition summary once and keep it as a local relation.
+
+    It has at most one row per partition (bounded by the partition count, like
+    the partition sizes ``zipWithIndex`` gathers), so it goes to the driver and
+    back as a broadcast; later actions do not recompute it.
+    """
+    rows = summary.collect()
+    return summary.sparkSession.createDataFrame(rows, summary.schema)
+
+
 def sequence(df: DataFrame, order_cols: Sequence[str], *, index: str | None = None,
              group_cols: Sequence[str] = (), run_cols: Sequence[str] | None = None,
              lag: Mapping[str, str] | None = None, partitions: int | None = None,
@@ -75,7 +86,7 @@ def sequence(df: DataFrame, order_cols: Sequence[str], *, index: str | None = No
                                 - F.shiftleft(F.spark_partition_id().cast("long"), 33)).alias(LOCAL))
         fixed = materialize(tagged)
         counts = fixed.groupBy(PID).agg(F.count(F.lit(1)).alias("_n"))
-        out = fixed.join(F.broadcast(_offsets(counts)), PID)
+        out = fixed.join(F.broadcast(_pinned(_offsets(counts))), PID)
         cols = [F.col(c) for c in original]
         if index:
             cols.append((F.col("_off") + F.col(LOCAL)).alias(index))
@@ -100,12 +111,13 @@ def sequence(df: DataFrame, order_cols: Sequence[str], *, index: str | None = No
     g = F.struct(*group_cols) if group_cols else F.lit(True)
     r = F.struct(*(group_cols + run_cols))
     srcs = sorted(set(lag.values()))
-    first = fixed.where(F.col(LOCAL) == 0).select(PID, g.alias("f_g"), r.alias("f_r"))
-    last = fixed.where(F.col(TAIL)).select(
-        PID, (F.col(LOCAL) + 1).alias("_n"), g.alias("l_g"), r.alias("l_r"),
-        F.struct(*[F.col(s).alias(s) for s in srcs]).alias("l_v"),
-        F.struct(*[F.col(o).alias(o) for o in lag]).alias("l_p"), F.col(HEAD).alias("l_head"))
-    summary = first.join(last, PID)
+    ends = fixed.where((F.col(LOCAL) == 0) | F.col(TAIL)).select(
+        PID, LOCAL, g.alias("g"), r.alias("r"), F.struct(*[F.col(s).alias(s) for s in srcs]).alias("v"),
+        F.struct(*[F.col(o).alias(o) for o in lag]).alias("p"), F.col(HEAD).alias("head"))
+    summary = ends.groupBy(PID).agg(
+        F.min_by("g", LOCAL).alias("f_g"), F.min_by("r", LOCAL).alias("f_r"),
+        (F.max(LOCAL) + 1).alias("_n"), F.max_by("g", LOCAL).alias("l_g"), F.max_by("r", LOCAL).alias("l_r"),
+        F.max_by("v", LOCAL).alias("l_v"), F.max_by("p", LOCAL).alias("l_p"), F.max_by("head", LOCAL).alias("l_head"))
 
     w = Window.orderBy(PID)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -128,7 +140,7 @@ def sequence(df: DataFrame, order_cols: Sequence[str], *, index: str | None = No
         F.when(F.col("_cont"), F.col("_end_before")["v"][o]).otherwise(F.col("_fresh")[o]).alias(f"_h_{o}")
         for o in lag])
 
-    out = fixed.join(F.broadcast(heads), PID)
+    out = fixed.join(F.broadcast(_pinned(heads)), PID)
     cols = [F.col(c) for c in original]
     if index:
         cols.append((F.col("_off") + F.col(LOCAL)).alias(index))
