@@ -1,0 +1,5 @@
+"""No streaming operators.
+
+The original job suite is batch only: it has no stream source, window,
+watermark or state.  Preferences are rebuilt per request from the full input.
+"""
