@@ -119,7 +119,9 @@ QUERIES: dict[str, Query] = {
     "event_support": lambda s, sf: E.event_support(events(s, sf)),
     "net_event_support": lambda s, sf: E.net_event_support(E.event_support(events(s, sf))),
     "score_events": lambda s, sf: E.score_events(E.net_event_support(E.event_support(events(s, sf)))),
-    "engagement_ratings": ratings,
+    "engagement_ratings": lambda s, sf: E.best_event(
+        E.score_events(E.net_event_support(E.event_support(events(s, sf))))),
+    "build_engagement_ratings": ratings,
     "engagement_ratings_explicit": ratings_explicit,
     # feature matrix
     "observation_interval": lambda s, sf: FT.observation_interval(ratings(s, sf)),

@@ -171,6 +171,7 @@ FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey""",
     "net_event_support": _with(_EVENTS, _SUPPORT, _NET) + 'SELECT * FROM net',
     "score_events": _with(_EVENTS, _SUPPORT, _NET, _SCORED) + 'SELECT * FROM scored',
     "engagement_ratings": _with(*_EP) + 'SELECT * FROM ratings',
+    "build_engagement_ratings": _with(*_EP) + 'SELECT * FROM ratings',
     "engagement_ratings_explicit": _with(_EVENTS, _RATINGS_EXPLICIT) + 'SELECT * FROM ratings',
     "observation_interval": _with(*_EP) + 'SELECT min("timestamp") AS "begin", max("timestamp") AS "end" FROM ratings',
     "user_index": _FEAT + 'SELECT site, "user", "row" FROM users',
