@@ -89,17 +89,18 @@ def _count(df: DataFrame) -> Column:
 class FeatureFrame:
     """Ratings joined to their indexes and numbered, with the block layout.
 
-    Offsets and the start time are scalar subqueries over the index tables and
-    ratings, so they are computed once per job and never cross-joined.
+    U, I and the start time are three numbers, computed once by ``prepare``
+    (each a single aggregate) and used as literals, so no later action
+    recomputes them and nothing is cross-joined.
     """
 
-    indexed: DataFrame  # urow, icol, timestamp, event, rating
-    rows: DataFrame     # the same plus row, prev_col
+    indexed: DataFrame  # site, user, icol, timestamp, event, rating
+    rows: DataFrame     # the same plus row, urow, prev_col
     users: DataFrame
     items: DataFrame
-    n_users: Column
-    n_items: Column
-    begin: Column
+    n_users: int
+    n_items: int
+    begin: int | None
 
     # block offsets (columns of ``_ctx``) ------------------------------------
     @property
@@ -128,7 +129,8 @@ class FeatureFrame:
 
     def _ctx(self, df: DataFrame) -> DataFrame:
         """``df`` with U, I and the start time attached as columns."""
-        return df.select("*", self.n_users.alias("_nu"), self.n_items.alias("_ni"), self.begin.alias("_t0"))
+        return df.select("*", F.lit(self.n_users).cast("long").alias("_nu"),
+                         F.lit(self.n_items).cast("long").alias("_ni"), F.lit(self.begin).cast("long").alias("_t0"))
 
     # entry expressions ---------------------------------------------------
     def _entry(self, col: Column, cat: str, value: Column) -> Column:
@@ -223,13 +225,15 @@ def prepare(ratings: DataFrame, users: DataFrame | None = None, items: DataFrame
         ratings = materialize(ratings)
     if users is None or items is None:
         users, items = index_tables(ratings, partitions)
-    indexed = (ratings.join(users, ["site", "user"]).join(items, "item")
-               .select(F.col("row").alias("urow"), F.col("col").alias("icol"), "timestamp", "event", "rating"))
-    rows = sequence(indexed, ["urow", "timestamp", "icol", "event", "rating"], index="row",
-                    group_cols=["urow"], run_cols=["timestamp", "icol"], lag={"prev_col": "icol"},
-                    partitions=partitions, split_ties=True)
-    begin = ratings.select(F.min("timestamp")).scalar()
-    return FeatureFrame(indexed, rows, users, items, _count(users), _count(items), begin)
+    # The user index is the dense rank of (site, user) in the row order, so
+    # only the item index is joined; the user index table has the same numbers.
+    indexed = ratings.join(items, "item").select("site", "user", F.col("col").alias("icol"),
+                                                 "timestamp", "event", "rating")
+    rows = sequence(indexed, ["site", "user", "timestamp", "icol", "event", "rating"], index="row",
+                    group_cols=["site", "user"], run_cols=["timestamp", "icol"], lag={"prev_col": "icol"},
+                    group_index="urow", partitions=partitions, split_ties=True)
+    begin = ratings.agg(F.min("timestamp")).first()[0]
+    return FeatureFrame(indexed, rows, users, items, users.count(), items.count(), begin)
 
 
 def feature_matrix(ratings: DataFrame, partitions: int | None = None) -> tuple[DataFrame, DataFrame]:

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from affinity.plans.materialize import materialize
 from affinity.session import default_partitions
 
-PID, LOCAL, HEAD, TAIL, TIE = "_sq_pid", "_sq_local", "_sq_head", "_sq_tail", "_sq_tie"
+PID, LOCAL, HEAD, TAIL, TIE, GL = "_sq_pid", "_sq_local", "_sq_head", "_sq_tail", "_sq_tie", "_sq_gl"
 
 
 def _ranged(df: DataFrame, order_cols: Sequence[str], partitions: int | None, split_ties: bool):
@@ -59,11 +59,12 @@ def _pinned(summary: DataFrame) -> DataFrame:
 
 def sequence(df: DataFrame, order_cols: Sequence[str], *, index: str | None = None,
              group_cols: Sequence[str] = (), run_cols: Sequence[str] | None = None,
-             lag: Mapping[str, str] | None = None, partitions: int | None = None,
-             split_ties: bool = False) -> DataFrame:
+             lag: Mapping[str, str] | None = None, group_index: str | None = None,
+             partitions: int | None = None, split_ties: bool = False) -> DataFrame:
     """Position and previous values in the order of ``order_cols`` (ascending).
 
     * ``index``: name of the 0-based global position column.
+    * ``group_index``: name of the 0-based dense rank of ``group_cols``.
     * ``group_cols``: leading columns of ``order_cols``; previous values never
       cross a group boundary (null for a group's first run).
     * ``run_cols``: columns after ``group_cols`` that define runs; all rows of a
@@ -80,7 +81,7 @@ def sequence(df: DataFrame, order_cols: Sequence[str], *, index: str | None = No
     original = df.columns
     ranged = _ranged(df, order_cols, partitions, split_ties)
 
-    if not lag:
+    if not lag and not group_index:
         tagged = ranged.select("*", F.spark_partition_id().alias(PID),
                                (F.monotonically_increasing_id()
                                 - F.shiftleft(F.spark_partition_id().cast("long"), 33)).alias(LOCAL))
@@ -100,7 +101,8 @@ def sequence(df: DataFrame, order_cols: Sequence[str], *, index: str | None = No
     out_schema = T.StructType(
         list(schema.fields)
         + [T.StructField(PID, T.IntegerType()), T.StructField(LOCAL, T.LongType()),
-           T.StructField(HEAD, T.BooleanType()), T.StructField(TAIL, T.BooleanType())]
+           T.StructField(HEAD, T.BooleanType()), T.StructField(TAIL, T.BooleanType()),
+           T.StructField(GL, T.LongType())]
         + [T.StructField(o, schema[s].dataType) for o, s in lag.items()]
     )
     integral = {o: isinstance(schema[s].dataType, T.IntegralType) for o, s in lag.items()}
@@ -111,13 +113,16 @@ def sequence(df: DataFrame, order_cols: Sequence[str], *, index: str | None = No
     g = F.struct(*group_cols) if group_cols else F.lit(True)
     r = F.struct(*(group_cols + run_cols))
     srcs = sorted(set(lag.values()))
+    dummy = [F.lit(0).alias("_")]  # keeps the structs non-empty when no lag is asked for
     ends = fixed.where((F.col(LOCAL) == 0) | F.col(TAIL)).select(
-        PID, LOCAL, g.alias("g"), r.alias("r"), F.struct(*[F.col(s).alias(s) for s in srcs]).alias("v"),
-        F.struct(*[F.col(o).alias(o) for o in lag]).alias("p"), F.col(HEAD).alias("head"))
+        PID, LOCAL, g.alias("g"), r.alias("r"), F.struct(*[F.col(s).alias(s) for s in srcs], *dummy).alias("v"),
+        F.struct(*[F.col(o).alias(o) for o in lag], *dummy).alias("p"), F.col(HEAD).alias("head"),
+        F.col(GL).alias("gl"))
     summary = ends.groupBy(PID).agg(
         F.min_by("g", LOCAL).alias("f_g"), F.min_by("r", LOCAL).alias("f_r"),
         (F.max(LOCAL) + 1).alias("_n"), F.max_by("g", LOCAL).alias("l_g"), F.max_by("r", LOCAL).alias("l_r"),
-        F.max_by("v", LOCAL).alias("l_v"), F.max_by("p", LOCAL).alias("l_p"), F.max_by("head", LOCAL).alias("l_head"))
+        F.max_by("v", LOCAL).alias("l_v"), F.max_by("p", LOCAL).alias("l_p"), F.max_by("head", LOCAL).alias("l_head"),
+        (F.max_by("gl", LOCAL) + 1).alias("_gn"))
 
     w = Window.orderBy(PID)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -128,15 +133,21 @@ def sequence(df: DataFrame, order_cols: Sequence[str], *, index: str | None = No
         F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long").alias("_off"))
     cont = F.coalesce(F.col("f_r") == F.col("p_r"), F.lit(False))
     same_group = F.coalesce(F.col("f_g") == F.col("p_g"), F.lit(False))
+    # dense group rank: groups counted in earlier partitions, minus the
+    # partitions (up to this one) whose first group continues the one before
     s1 = s1.select("*", cont.alias("_cont"),
-                   F.struct(*[F.when(same_group, F.col("p_v")[s]).alias(o) for o, s in lag.items()]).alias("_fresh"))
+                   F.struct(*[F.when(same_group, F.col("p_v")[s]).alias(o) for o, s in lag.items()],
+                            *dummy).alias("_fresh"),
+                   (F.coalesce(F.sum("_gn").over(before), F.lit(0))
+                    - F.sum(same_group.cast("long")).over(upto)).alias("_goff"))
     # Value that holds at the end of a partition: its own last run, unless the
     # whole partition continues a run from before (then the value carries over).
-    own = F.struct(*[F.when(F.col("l_head"), F.col("_fresh")[o]).otherwise(F.col("l_p")[o]).alias(o) for o in lag])
+    own = F.struct(*[F.when(F.col("l_head"), F.col("_fresh")[o]).otherwise(F.col("l_p")[o]).alias(o) for o in lag],
+                   *dummy)
     anchor = F.when(~(F.col("l_head") & F.col("_cont")), F.struct(own.alias("v")))
     s2 = s1.select("*", F.last(anchor, ignorenulls=True).over(upto).alias("_end"))
-    s3 = s2.select(PID, "_off", "_cont", "_fresh", F.lag("_end").over(w).alias("_end_before"))
-    heads = s3.select(PID, "_off", *[
+    s3 = s2.select(PID, "_off", "_goff", "_cont", "_fresh", F.lag("_end").over(w).alias("_end_before"))
+    heads = s3.select(PID, "_off", "_goff", *[
         F.when(F.col("_cont"), F.col("_end_before")["v"][o]).otherwise(F.col("_fresh")[o]).alias(f"_h_{o}")
         for o in lag])
 
@@ -144,6 +155,8 @@ def sequence(df: DataFrame, order_cols: Sequence[str], *, index: str | None = No
     cols = [F.col(c) for c in original]
     if index:
         cols.append((F.col("_off") + F.col(LOCAL)).alias(index))
+    if group_index:
+        cols.append((F.col("_goff") + F.col(GL)).alias(group_index))
     cols += [F.when(F.col(HEAD), F.col(f"_h_{o}")).otherwise(F.col(o)).alias(o) for o in lag]
     return out.select(*cols)
 
@@ -175,6 +188,7 @@ def _partition_scan(group_cols, run_key, lag, integral):
                 new_group[0] = tuple(gk[0]) != carry["g"] if group_cols else False
                 new_run[0] = tuple(rk[0]) != carry["r"]
             rid = np.cumsum(new_run) - 1  # -1: continues the previous batch's last run
+            gl = (carry["gl"] if carry is not None else -1) + np.cumsum(new_group)
             starts = np.flatnonzero(new_run)
             head = np.zeros(n, dtype=bool)
             if carry is None:
@@ -198,8 +212,9 @@ def _partition_scan(group_cols, run_key, lag, integral):
             out[LOCAL] = np.arange(local, local + n, dtype=np.int64)
             out[HEAD] = head
             out[TAIL] = False
+            out[GL] = gl.astype(np.int64)
             local += n
-            carry = {"g": tuple(gk[-1]), "r": tuple(rk[-1]), "head": bool(head[-1]),
+            carry = {"g": tuple(gk[-1]), "r": tuple(rk[-1]), "head": bool(head[-1]), "gl": int(gl[-1]),
                      "v": {s: pdf[s].iloc[-1] for s in set(lag.values())},
                      "p": {o: out[o].iloc[-1] for o, _ in lag_items}}
             for o in lag:

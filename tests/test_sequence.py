@@ -29,6 +29,10 @@ def _brute(rows):
     return out
 
 
+def _group_rank(rows):
+    return {g: k for k, g in enumerate(sorted({r[0] for r in rows}))}
+
+
 def _data(seed, n, hot_share=0.4, copies=30):
     rnd = random.Random(seed)
     rows = []
@@ -44,11 +48,14 @@ def test_index_and_lag_match_brute_force(spark, partitions):
     rows = _data(partitions, 600)
     df = spark.createDataFrame(rows, SCHEMA)
     out = sequence(df, ["g", "ts", "item", "x"], index="idx", group_cols=["g"], run_cols=["ts", "item"],
-                   lag={"prev": "item"}, partitions=partitions, split_ties=True)
-    got = sorted(tuple(r) for r in out.collect())
+                   lag={"prev": "item"}, group_index="gi", partitions=partitions, split_ties=True)
+    collected = out.collect()
+    got = sorted((r.g, r.ts, r.item, r.x, r.idx, r.prev) for r in collected)
     want = sorted(_brute(rows))
     # equal rows may swap positions; as multisets they agree
     assert got == want
+    rank = _group_rank(rows)
+    assert all(r.gi == rank[r.g] for r in collected)
 
 
 def test_run_spanning_many_partitions(spark):
