@@ -90,6 +90,10 @@ def engagement_ratings(events: DataFrame, scores=None, on_unknown: str = "error"
     return best_event(scored)
 
 
+# E11 under its job-level name.
+build_engagement_ratings = engagement_ratings
+
+
 def engagement_ratings_explicit(events: DataFrame) -> DataFrame:
     """Given event scores passed through (E10): columns reordered, all events
     (negative and zero too) and duplicates kept."""

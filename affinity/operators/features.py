@@ -240,3 +240,41 @@ def feature_matrix(ratings: DataFrame, partitions: int | None = None) -> tuple[D
     """Matrix entries (F13) and rated-items sets (F7) of ``ratings``."""
     ff = prepare(ratings, partitions=partitions)
     return ff.matrix(), ff.rated_block()
+
+
+# Block-level entry points (F4-F12) over a prepared ``FeatureFrame``.
+
+def feature_layout(ff: FeatureFrame) -> DataFrame:
+    return ff.layout()
+
+
+def feature_user_block(ff: FeatureFrame) -> DataFrame:
+    return ff.user_block()
+
+
+def feature_item_block(ff: FeatureFrame) -> DataFrame:
+    return ff.item_block()
+
+
+def feature_rated_block(ff: FeatureFrame) -> DataFrame:
+    return ff.rated_block()
+
+
+def feature_previous_block(ff: FeatureFrame) -> DataFrame:
+    return ff.previous_block()
+
+
+def feature_time_block(ff: FeatureFrame) -> DataFrame:
+    return ff.time_block()
+
+
+def feature_event_block(ff: FeatureFrame) -> DataFrame:
+    return ff.event_block()
+
+
+def feature_label(ff: FeatureFrame) -> DataFrame:
+    return ff.label()
+
+
+def rating_rows(ff: FeatureFrame) -> DataFrame:
+    return ff.rating_rows()

@@ -82,6 +82,10 @@ def purchase_preferences(lines: DataFrame) -> DataFrame:
     return scale_preferences(prefs, item_max_preference(prefs))
 
 
+# N10 under its job-level name.
+build_purchase_preferences = purchase_preferences
+
+
 def purchase_ratings_explicit(ratings: DataFrame) -> DataFrame:
     """Given ratings passed through (N9): score truncated toward zero to int,
     time dropped, duplicates kept."""
