@@ -94,7 +94,7 @@ class FeatureFrame:
     recomputes them and nothing is cross-joined.
     """
 
-    indexed: DataFrame  # site, user, icol, timestamp, event, rating
+    indexed: DataFrame  # site, user, icol, timestamp, event, rating, _rid
     rows: DataFrame     # the same plus row, urow, prev_col
     users: DataFrame
     items: DataFrame
@@ -227,11 +227,14 @@ def prepare(ratings: DataFrame, users: DataFrame | None = None, items: DataFrame
         users, items = index_tables(ratings, partitions)
     # The user index is the dense rank of (site, user) in the row order, so
     # only the item index is joined; the user index table has the same numbers.
-    indexed = ratings.join(items, "item").select("site", "user", F.col("col").alias("icol"),
-                                                 "timestamp", "event", "rating")
+    # ``_rid`` (position in the stored ratings) is stable when tasks rerun; it
+    # splits groups of identical explicit ratings over range partitions.
+    keyed = ratings.withColumn("_rid", F.monotonically_increasing_id())
+    indexed = keyed.join(items, "item").select("site", "user", F.col("col").alias("icol"),
+                                               "timestamp", "event", "rating", "_rid")
     rows = sequence(indexed, ["site", "user", "timestamp", "icol", "event", "rating"], index="row",
                     group_cols=["site", "user"], run_cols=["timestamp", "icol"], lag={"prev_col": "icol"},
-                    group_index="urow", partitions=partitions, split_ties=True)
+                    group_index="urow", partitions=partitions, tie="_rid")
     begin = ratings.agg(F.min("timestamp")).first()[0]
     return FeatureFrame(indexed, rows, users, items, users.count(), items.count(), begin)
 

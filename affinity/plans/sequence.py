@@ -26,18 +26,17 @@ from pyspark.sql import types as T
 from affinity.plans.materialize import materialize
 from affinity.session import default_partitions
 
-PID, LOCAL, HEAD, TAIL, TIE, GL = "_sq_pid", "_sq_local", "_sq_head", "_sq_tail", "_sq_tie", "_sq_gl"
+PID, LOCAL, HEAD, TAIL, GL = "_sq_pid", "_sq_local", "_sq_head", "_sq_tail", "_sq_gl"
 
 
-def _ranged(df: DataFrame, order_cols: Sequence[str], partitions: int | None, split_ties: bool):
+def _ranged(df: DataFrame, order_cols: Sequence[str], partitions: int | None, tie: str | None):
     n = partitions or default_partitions(df.sparkSession)
-    keys = list(order_cols)
-    if split_ties:
-        # Rows equal on the whole key (copies) would all land in one range
-        # partition; a random last key spreads them.  They are equal on every
-        # ordering column, so any order among them gives the same result.
-        df = df.withColumn(TIE, F.rand(7))
-        keys.append(TIE)
+    # Rows equal on the whole key (copies) would all land in one range
+    # partition; a unique ``tie`` column as last key spreads them.  They are
+    # equal on every ordering column, so any order among them gives the same
+    # result.  The tie column must be stable when tasks rerun (for instance a
+    # row id taken from checkpointed or stored data).
+    keys = list(order_cols) + ([tie] if tie else [])
     return df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
 
 
@@ -60,7 +59,7 @@ def _pinned(summary: DataFrame) -> DataFrame:
 def sequence(df: DataFrame, order_cols: Sequence[str], *, index: str | None = None,
              group_cols: Sequence[str] = (), run_cols: Sequence[str] | None = None,
              lag: Mapping[str, str] | None = None, group_index: str | None = None,
-             partitions: int | None = None, split_ties: bool = False) -> DataFrame:
+             partitions: int | None = None, tie: str | None = None) -> DataFrame:
     """Position and previous values in the order of ``order_cols`` (ascending).
 
     * ``index``: name of the 0-based global position column.
@@ -71,6 +70,8 @@ def sequence(df: DataFrame, order_cols: Sequence[str], *, index: str | None = No
       run take the previous values of the run's first row.  Default: the rest of
       ``order_cols``.
     * ``lag``: ``{output: source}``, source columns of integral or string type.
+    * ``tie``: a unique, stable column used as the last sort key to split
+      groups of identical rows across partitions.
     """
     order_cols = list(order_cols)
     group_cols = list(group_cols)
@@ -79,7 +80,7 @@ def sequence(df: DataFrame, order_cols: Sequence[str], *, index: str | None = No
     run_cols = list(order_cols[len(group_cols):] if run_cols is None else run_cols)
     lag = dict(lag or {})
     original = df.columns
-    ranged = _ranged(df, order_cols, partitions, split_ties)
+    ranged = _ranged(df, order_cols, partitions, tie)
 
     if not lag and not group_index:
         tagged = ranged.select("*", F.spark_partition_id().alias(PID),

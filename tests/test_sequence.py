@@ -33,6 +33,12 @@ def _group_rank(rows):
     return {g: k for k, g in enumerate(sorted({r[0] for r in rows}))}
 
 
+def _frame(spark, rows):
+    """Rows with a stable unique id to split copies."""
+    from pyspark.sql import functions as F
+    return spark.createDataFrame(rows, SCHEMA).withColumn("rid", F.monotonically_increasing_id())
+
+
 def _data(seed, n, hot_share=0.4, copies=30):
     rnd = random.Random(seed)
     rows = []
@@ -46,9 +52,9 @@ def _data(seed, n, hot_share=0.4, copies=30):
 @pytest.mark.parametrize("partitions", [1, 4, 50])
 def test_index_and_lag_match_brute_force(spark, partitions):
     rows = _data(partitions, 600)
-    df = spark.createDataFrame(rows, SCHEMA)
+    df = _frame(spark, rows)
     out = sequence(df, ["g", "ts", "item", "x"], index="idx", group_cols=["g"], run_cols=["ts", "item"],
-                   lag={"prev": "item"}, group_index="gi", partitions=partitions, split_ties=True)
+                   lag={"prev": "item"}, group_index="gi", partitions=partitions, tie="rid")
     collected = out.collect()
     got = sorted((r.g, r.ts, r.item, r.x, r.idx, r.prev) for r in collected)
     want = sorted(_brute(rows))
@@ -62,11 +68,15 @@ def test_run_spanning_many_partitions(spark):
     # one key repeated far more than a partition holds: its rows spread over
     # many partitions and must all take the predecessor of the first copy
     rows = [("u", 1, 5, 0)] + [("u", 2, 9, 0)] * 400 + [("u", 3, 1, 0), ("v", 2, 9, 0)]
-    df = spark.createDataFrame(rows, SCHEMA)
+    df = _frame(spark, rows)
     out = sequence(df, ["g", "ts", "item", "x"], index="idx", group_cols=["g"], run_cols=["ts", "item"],
-                   lag={"prev": "item"}, partitions=16, split_ties=True)
+                   lag={"prev": "item"}, partitions=16, tie="rid")
     got = out.collect()
-    assert out.rdd.getNumPartitions() >= 1
+    from pyspark.sql import functions as F
+
+    from affinity.plans.sequence import _ranged
+    hot = _ranged(df, ["g", "ts", "item", "x"], 16, "rid").where("g = 'u' AND ts = 2 AND item = 9")
+    assert hot.select(F.spark_partition_id()).distinct().count() > 1  # the copies are split
     by = {}
     for r in got:
         by.setdefault((r.g, r.ts, r.item), set()).add(r.prev)
