@@ -24,20 +24,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from affinity.plans.materialize import materialize
-from affinity.session import default_partitions
 
 PID, LOCAL, HEAD, TAIL, GL = "_sq_pid", "_sq_local", "_sq_head", "_sq_tail", "_sq_gl"
 
 
 def _ranged(df: DataFrame, order_cols: Sequence[str], partitions: int | None, tie: str | None):
-    n = partitions or default_partitions(df.sparkSession)
+    """Range-partition and sort.  Without an explicit count the session's
+    shuffle partition count applies and AQE may merge adjacent small ranges
+    (merged ranges stay contiguous, so the global order holds)."""
     # Rows equal on the whole key (copies) would all land in one range
     # partition; a unique ``tie`` column as last key spreads them.  They are
     # equal on every ordering column, so any order among them gives the same
     # result.  The tie column must be stable when tasks rerun (for instance a
     # row id taken from checkpointed or stored data).
     keys = list(order_cols) + ([tie] if tie else [])
-    return df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    return ranged.sortWithinPartitions(*keys)
 
 
 def _offsets(counts: DataFrame) -> DataFrame:
