@@ -101,3 +101,27 @@ def test_empty_ratings(spark):
     ff = FT.prepare(_ratings(spark, []))
     assert ff.matrix().count() == 0 and ff.rated_block().count() == 0
     assert FT.observation_interval(_ratings(spark, [])).first()[0] is None
+
+
+def test_day_boundary(spark):
+    rows = [("s", "u", "a", 5.0, 1000, 7), ("s", "u", "b", 5.0, 1000 + DAY - 1, 7), ("s", "u", "c", 5.0, 1000 + DAY, 7)]
+    ff = FT.prepare(_ratings(spark, rows))
+    days = sorted(r.value for r in ff.time_block().collect())
+    assert days == [0.0, 0.0, 1.0]
+
+
+def test_entry_count_and_input_order(spark):
+    from pyspark.sql import functions as F
+
+    from affinity.catalog import ratings
+    from tests.conftest import SF_SMALL
+
+    r = ratings(spark, SF_SMALL)
+    ff = FT.prepare(r)
+    n, users = ff.rows.count(), ff.users.count()
+    # implicit ratings: one per (user, item), so only each user's first rating lacks a predecessor
+    assert ff.matrix().count() == 6 * n - users
+    assert ff.rated_block().count() == n
+    shuffled = FT.prepare(r.repartition(7, F.rand(3)))
+    assert sorted(map(tuple, shuffled.matrix().collect())) == sorted(map(tuple, ff.matrix().collect()))
+    assert sorted(map(tuple, shuffled.rated_block().collect())) == sorted(map(tuple, ff.rated_block().collect()))

@@ -131,3 +131,13 @@ def test_order_item_log_pushdown(spark):
 
     plan = _q_order_item_log(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_orderpriority), IsNotNull(o_orderdate), EqualTo(o_orderpriority,1-URGENT)" in plan
+
+
+def test_order_documents_explicit(spark, scratch):
+    docs = [{"site": "s", "user": "u", "item": "12", "timestamp": "5", "score": "4.5"}]
+    p = _write(os.path.join(scratch, "ox.json"), "\n".join(json.dumps(d) for d in docs))
+    assert [tuple(r) for r in R.read_orders_documents(spark, p, explicit=True).collect()] == [("s", "u", 12, 4.5, 5)]
+    df = spark.createDataFrame([("s", "u", "i", "7", "3", "1.5")], "site string, user string, item string, "
+                                                                   "timestamp string, event string, score string")
+    got = R.read_events_documents(spark, df, explicit=True).first()
+    assert tuple(got) == ("s", "u", "i", 3, 1.5, 7)
