@@ -209,7 +209,6 @@ def _partition_scan(group_cols, run_key, lag, integral):
                 inside = rid >= 0
                 res[inside] = start_prev[rid[inside]]
                 res[~inside] = carry["p"][o] if carry is not None else None
-                res[head & (rid >= 0) & (carry is None)] = None
                 out[o] = pd.array(res, dtype="Int64") if integral[o] else pd.Series(res, dtype=object).values
             out[PID] = np.int32(pid)
             out[LOCAL] = np.arange(local, local + n, dtype=np.int64)
