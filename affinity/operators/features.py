@@ -197,7 +197,10 @@ class FeatureFrame:
         entries = F.array(self._user(), self._item(),
                           F.when(F.col("prev_col").isNotNull(), self._previous()),
                           self._time(), self._event(), self._label())
-        return (self._ctx(self.rows).select("row", F.inline(F.filter(entries, lambda x: x.isNotNull())))
+        # A missing previous item is a null element; ``inline`` turns it into a
+        # null row, dropped right after (no lambda, so the generator is compiled).
+        return (self._ctx(self.rows).select("row", F.inline(entries))
+                .where(F.col("col").isNotNull())
                 .select("row", "col", "cat", "value"))
 
     def layout(self) -> DataFrame:
@@ -235,8 +238,18 @@ def prepare(ratings: DataFrame, users: DataFrame | None = None, items: DataFrame
     rows = sequence(indexed, ["site", "user", "timestamp", "icol", "event", "rating"], index="row",
                     group_cols=["site", "user"], run_cols=["timestamp", "icol"], lag={"prev_col": "icol"},
                     group_index="urow", partitions=partitions, tie="_rid")
-    begin = ratings.agg(F.min("timestamp")).first()[0]
-    return FeatureFrame(indexed, rows, users, items, users.count(), items.count(), begin)
+    n_users, n_items, begin = _layout_numbers(ratings, users, items)
+    return FeatureFrame(indexed, rows, users, items, n_users, n_items, begin)
+
+
+def _layout_numbers(ratings: DataFrame, users: DataFrame, items: DataFrame) -> tuple[int, int, int | None]:
+    """U, I and the earliest rating time in one job (three tagged partial
+    aggregates over a union)."""
+    tagged = (users.select(F.lit(0).alias("_k"), F.lit(None).cast("long").alias("_t"))
+              .unionByName(items.select(F.lit(1).alias("_k"), F.lit(None).cast("long").alias("_t")))
+              .unionByName(ratings.select(F.lit(2).alias("_k"), F.col("timestamp").alias("_t"))))
+    got = {r[0]: (r[1], r[2]) for r in tagged.groupBy("_k").agg(F.count(F.lit(1)), F.min("_t")).collect()}
+    return got.get(0, (0, None))[0], got.get(1, (0, None))[0], got.get(2, (0, None))[1]
 
 
 def feature_matrix(ratings: DataFrame, partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
