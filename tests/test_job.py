@@ -60,3 +60,16 @@ def test_bad_arguments(field, value):
     args[field] = value
     with pytest.raises(ValueError):
         PreferenceRequest(**args).validate()
+
+
+def test_npref_explicit_documents(spark, scratch):
+    import json
+    src = os.path.join(scratch, "r.json")
+    with open(src, "w", encoding="utf-8") as fh:
+        fh.write("\n".join(json.dumps(d) for d in [
+            {"site": "s", "user": "u", "item": "3", "score": "4.9", "timestamp": "1"},
+            {"site": "s", "user": "u", "item": "3", "score": "4.9", "timestamp": "2"}]))
+    req = PreferenceRequest(uid="9", name="ex", algorithm="NPREF", source="ELASTIC", rating="explicit",
+                            output=os.path.join(scratch, "out"), source_args={"source": src})
+    paths = build(req, spark)
+    assert sorted(tuple(r) for r in spark.read.parquet(paths[1]).collect()) == [("s", "u", 3, 4), ("s", "u", 3, 4)]
