@@ -18,7 +18,7 @@ from affinity.operators import purchase as P
 from affinity.sources import shop_tables as S
 from affinity.sources.fieldspec import apply_field_spec
 from affinity.sources.orderlog import order_item_log
-from affinity.sources.readers import map_events, map_orders, read_events_parquet
+from affinity.sources.readers import map_orders, read_events_parquet
 from affinity import schemas
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -76,15 +76,11 @@ def index_tables(ratings: DataFrame, partitions: int | None = None) -> tuple[Dat
             .distinct())
     numbered = sequence(keys, ["_kind", "site", "user", "item"], index="_idx", partitions=partitions)
     users = numbered.where(F.col("_kind") == 0).select("site", "user", F.col("_idx").alias("row"))
-    n_users = _count(users)
-    items = numbered.where(F.col("_kind") == 1).select("item", (F.col("_idx") - n_users).alias("col"))
+    n_users = users.count()  # one job over the checkpointed keys
+    items = numbered.where(F.col("_kind") == 1).select("item", (F.col("_idx") - F.lit(n_users)).alias("col"))
     return users, items
 
 
-def _count(df: DataFrame) -> Column:
-    return df.select(F.count(F.lit(1))).scalar()
-
-
 @dataclass
 class FeatureFrame:
     """Ratings joined to their indexes and numbered, with the block layout.

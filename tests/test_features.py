@@ -125,3 +125,19 @@ def test_entry_count_and_input_order(spark):
     shuffled = FT.prepare(r.repartition(7, F.rand(3)))
     assert sorted(map(tuple, shuffled.matrix().collect())) == sorted(map(tuple, ff.matrix().collect()))
     assert sorted(map(tuple, shuffled.rated_block().collect())) == sorted(map(tuple, ff.rated_block().collect()))
+
+
+def test_index_tables_equal_separate_indexes(spark):
+    from affinity.catalog import ratings
+    from tests.conftest import SF_SMALL
+
+    r = ratings(spark, SF_SMALL)
+    users, items = FT.index_tables(r)
+    assert sorted(map(tuple, users.collect())) == sorted(map(tuple, FT.user_index(r).collect()))
+    assert sorted(map(tuple, items.collect())) == sorted(map(tuple, FT.item_index(r).collect()))
+    # the matrix's user numbers are the user index
+    ff = FT.prepare(r)
+    urows = {(x.row, x.col) for x in ff.user_block().collect()}
+    by_rank = {x.row: x.urow for x in ff.rows.collect()}
+    assert all(by_rank[row] == col for row, col in urows)
+    assert {x.urow for x in ff.rows.collect()} == {u.row for u in users.collect()}
