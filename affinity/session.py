@@ -38,7 +38,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     session, then (local master only) a fresh scratch folder.  On a cluster the
     setting must name a shared folder; a machine-local one is refused.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server's spark.checkpoint.dir applies
+        return spark.conf.get("spark.checkpoint.dir", "")
     current = sc.getCheckpointDir()
     if current:
         return current
