@@ -89,7 +89,7 @@ def sequence(df: DataFrame, order_cols: Sequence[str], *, index: str | None = No
                                (F.monotonically_increasing_id()
                                 - F.shiftleft(F.spark_partition_id().cast("long"), 33)).alias(LOCAL))
         fixed = materialize(tagged)
-        counts = fixed.groupBy(PID).agg(F.count(F.lit(1)).alias("_n"))
+        counts = fixed.groupBy(PID).agg(F.count(F.lit(1)).alias("_n")).repartition(1)
         out = fixed.join(F.broadcast(_pinned(_offsets(counts))), PID)
         cols = [F.col(c) for c in original]
         if index:
@@ -117,10 +117,13 @@ def sequence(df: DataFrame, order_cols: Sequence[str], *, index: str | None = No
     r = F.struct(*(group_cols + run_cols))
     srcs = sorted(set(lag.values()))
     dummy = [F.lit(0).alias("_")]  # keeps the structs non-empty when no lag is asked for
+    # At most two rows per partition survive the (distributed) filter; they are
+    # gathered into one partition so the grouping and windows below need no
+    # further shuffle.
     ends = fixed.where((F.col(LOCAL) == 0) | F.col(TAIL)).select(
         PID, LOCAL, g.alias("g"), r.alias("r"), F.struct(*[F.col(s).alias(s) for s in srcs], *dummy).alias("v"),
         F.struct(*[F.col(o).alias(o) for o in lag], *dummy).alias("p"), F.col(HEAD).alias("head"),
-        F.col(GL).alias("gl"))
+        F.col(GL).alias("gl")).repartition(1)
     summary = ends.groupBy(PID).agg(
         F.min_by("g", LOCAL).alias("f_g"), F.min_by("r", LOCAL).alias("f_r"),
         (F.max(LOCAL) + 1).alias("_n"), F.max_by("g", LOCAL).alias("l_g"), F.max_by("r", LOCAL).alias("l_r"),
