@@ -73,3 +73,15 @@ def test_npref_explicit_documents(spark, scratch):
                             output=os.path.join(scratch, "out"), source_args={"source": src})
     paths = build(req, spark)
     assert sorted(tuple(r) for r in spark.read.parquet(paths[1]).collect()) == [("s", "u", 3, 4), ("s", "u", 3, 4)]
+
+
+def test_command_line(spark, scratch, capsys):
+    from affinity.__main__ import main
+
+    src = _text(os.path.join(scratch, "e.txt"), ["s,u1,x,0,7", "s,u1,y,86400000,3"])
+    out = os.path.join(scratch, "out")
+    assert main(["--uid", "5", "--name", "cli", "--algorithm", "EPREF", "--source", "FILE", "--path", src,
+                 "--output", out]) == 0
+    printed = capsys.readouterr().out.split()
+    assert len(printed) == 5 and all(os.path.isdir(p) for p in printed)
+    assert spark.read.parquet(printed[0]).count() == 2
