@@ -1,16 +1,18 @@
 """Global order over a DataFrame without one task per group.
 
 ``sequence`` gives every row its 0-based position in a global sort and,
-optionally, values from the row before it inside its group.  Groups may be of
+optionally, the dense rank of its group and values from the row before it
+inside its group.  Groups may be of
 any size: the data is range-partitioned on the full sort key, so a group holding
 a third of all rows is split over many partitions, and partition boundaries are
 repaired from a summary with one row per partition (bounded by the partition
 count, so broadcasting it is safe).
 
 Passes: one range shuffle and sort; one narrow per-partition scan (JVM when only
-the position is wanted, Arrow batches through pandas when a previous value is
-wanted); a reliable checkpoint, so that both following passes see identical
-partitions; a tiny summary job; and a broadcast join of the summary.
+the position is wanted, Arrow batches through pandas when a group rank or a
+previous value is wanted); a reliable checkpoint, so that both following passes
+see identical partitions; a tiny summary job; and a broadcast join of the
+summary.
 """
 
 from __future__ import annotations
