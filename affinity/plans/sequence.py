@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from affinity.plans.materialize import materialize
 
-PID, LOCAL, HEAD, TAIL, GL = "_sq_pid", "_sq_local", "_sq_head", "_sq_tail", "_sq_gl"
+PID, LOCAL, HEAD, TAIL, GL, GS, HG = "_sq_pid", "_sq_local", "_sq_head", "_sq_tail", "_sq_gl", "_sq_gs", "_sq_hg"
 
 
 def _ranged(df: DataFrame, order_cols: Sequence[str], partitions: int | None, tie: str | None):
@@ -63,11 +63,13 @@ def _pinned(summary: DataFrame) -> DataFrame:
 def sequence(df: DataFrame, order_cols: Sequence[str], *, index: str | None = None,
              group_cols: Sequence[str] = (), run_cols: Sequence[str] | None = None,
              lag: Mapping[str, str] | None = None, group_index: str | None = None,
-             partitions: int | None = None, tie: str | None = None) -> DataFrame:
+             group_offset: str | None = None, partitions: int | None = None,
+             tie: str | None = None) -> DataFrame:
     """Position and previous values in the order of ``order_cols`` (ascending).
 
     * ``index``: name of the 0-based global position column.
     * ``group_index``: name of the 0-based dense rank of ``group_cols``.
+    * ``group_offset``: name of the 0-based position of the row inside its group.
     * ``group_cols``: leading columns of ``order_cols``; previous values never
       cross a group boundary (null for a group's first run).
     * ``run_cols``: columns after ``group_cols`` that define runs; all rows of a
@@ -86,7 +88,7 @@ def sequence(df: DataFrame, order_cols: Sequence[str], *, index: str | None = No
     original = df.columns
     ranged = _ranged(df, order_cols, partitions, tie)
 
-    if not lag and not group_index:
+    if not lag and not group_index and not group_offset:
         tagged = ranged.select("*", F.spark_partition_id().alias(PID),
                                (F.monotonically_increasing_id()
                                 - F.shiftleft(F.spark_partition_id().cast("long"), 33)).alias(LOCAL))
@@ -107,7 +109,7 @@ def sequence(df: DataFrame, order_cols: Sequence[str], *, index: str | None = No
         list(schema.fields)
         + [T.StructField(PID, T.IntegerType()), T.StructField(LOCAL, T.LongType()),
            T.StructField(HEAD, T.BooleanType()), T.StructField(TAIL, T.BooleanType()),
-           T.StructField(GL, T.LongType())]
+           T.StructField(GL, T.LongType()), T.StructField(GS, T.LongType()), T.StructField(HG, T.BooleanType())]
         + [T.StructField(o, schema[s].dataType) for o, s in lag.items()]
     )
     integral = {o: isinstance(schema[s].dataType, T.IntegralType) for o, s in lag.items()}
@@ -125,12 +127,13 @@ def sequence(df: DataFrame, order_cols: Sequence[str], *, index: str | None = No
     ends = fixed.where((F.col(LOCAL) == 0) | F.col(TAIL)).select(
         PID, LOCAL, g.alias("g"), r.alias("r"), F.struct(*[F.col(s).alias(s) for s in srcs], *dummy).alias("v"),
         F.struct(*[F.col(o).alias(o) for o in lag], *dummy).alias("p"), F.col(HEAD).alias("head"),
-        F.col(GL).alias("gl")).repartition(1)
+        F.col(GL).alias("gl"), F.col(GS).alias("gs"), F.col(HG).alias("hg")).repartition(1)
     summary = ends.groupBy(PID).agg(
         F.min_by("g", LOCAL).alias("f_g"), F.min_by("r", LOCAL).alias("f_r"),
         (F.max(LOCAL) + 1).alias("_n"), F.max_by("g", LOCAL).alias("l_g"), F.max_by("r", LOCAL).alias("l_r"),
         F.max_by("v", LOCAL).alias("l_v"), F.max_by("p", LOCAL).alias("l_p"), F.max_by("head", LOCAL).alias("l_head"),
-        (F.max_by("gl", LOCAL) + 1).alias("_gn"))
+        (F.max_by("gl", LOCAL) + 1).alias("_gn"), F.max_by("gs", LOCAL).alias("l_gs"),
+        F.max_by("hg", LOCAL).alias("l_hg"))
 
     w = Window.orderBy(PID)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -147,15 +150,22 @@ def sequence(df: DataFrame, order_cols: Sequence[str], *, index: str | None = No
                    F.struct(*[F.when(same_group, F.col("p_v")[s]).alias(o) for o, s in lag.items()],
                             *dummy).alias("_fresh"),
                    (F.coalesce(F.sum("_gn").over(before), F.lit(0))
-                    - F.sum(same_group.cast("long")).over(upto)).alias("_goff"))
+                    - F.sum(same_group.cast("long")).over(upto)).alias("_goff"),
+                   same_group.alias("_same_g"))
+    # Global start of the last group of each partition, unless that group is
+    # the partition's first one and continues from before (then it carries).
+    s1 = s1.select("*", F.when(~(F.col("l_hg") & F.col("_same_g")), F.col("_off") + F.col("l_gs")).alias("_gs_end"))
+    s1 = s1.select("*", F.last("_gs_end", ignorenulls=True).over(upto).alias("_gs_upto"))
+    s1 = s1.select("*", F.lag("_gs_upto").over(w).alias("_gs_before"))
     # Value that holds at the end of a partition: its own last run, unless the
     # whole partition continues a run from before (then the value carries over).
     own = F.struct(*[F.when(F.col("l_head"), F.col("_fresh")[o]).otherwise(F.col("l_p")[o]).alias(o) for o in lag],
                    *dummy)
     anchor = F.when(~(F.col("l_head") & F.col("_cont")), F.struct(own.alias("v")))
     s2 = s1.select("*", F.last(anchor, ignorenulls=True).over(upto).alias("_end"))
-    s3 = s2.select(PID, "_off", "_goff", "_cont", "_fresh", F.lag("_end").over(w).alias("_end_before"))
-    heads = s3.select(PID, "_off", "_goff", *[
+    s3 = s2.select(PID, "_off", "_goff", "_cont", "_fresh", "_same_g", "_gs_before",
+                   F.lag("_end").over(w).alias("_end_before"))
+    heads = s3.select(PID, "_off", "_goff", "_same_g", "_gs_before", *[
         F.when(F.col("_cont"), F.col("_end_before")["v"][o]).otherwise(F.col("_fresh")[o]).alias(f"_h_{o}")
         for o in lag])
 
@@ -165,6 +175,9 @@ def sequence(df: DataFrame, order_cols: Sequence[str], *, index: str | None = No
         cols.append((F.col("_off") + F.col(LOCAL)).alias(index))
     if group_index:
         cols.append((F.col("_goff") + F.col(GL)).alias(group_index))
+    if group_offset:
+        start = F.when(F.col(HG) & F.col("_same_g"), F.col("_gs_before")).otherwise(F.col("_off") + F.col(GS))
+        cols.append((F.col("_off") + F.col(LOCAL) - start).alias(group_offset))
     cols += [F.when(F.col(HEAD), F.col(f"_h_{o}")).otherwise(F.col(o)).alias(o) for o in lag]
     return out.select(*cols)
 
@@ -197,6 +210,13 @@ def _partition_scan(group_cols, run_key, lag, integral):
                 new_run[0] = tuple(rk[0]) != carry["r"]
             rid = np.cumsum(new_run) - 1  # -1: continues the previous batch's last run
             gl = (carry["gl"] if carry is not None else -1) + np.cumsum(new_group)
+            # local position of each row's group start; rows of a group that
+            # began in an earlier batch keep the carried start
+            positions = np.arange(local, local + n, dtype=np.int64)
+            gstart = np.where(new_group, positions, -1)
+            gstart[0] = gstart[0] if new_group[0] else carry["gs"]
+            gstart = np.maximum.accumulate(gstart)
+            head_group = gl == 0  # the partition's first group (may continue from before)
             starts = np.flatnonzero(new_run)
             head = np.zeros(n, dtype=bool)
             if carry is None:
@@ -220,8 +240,11 @@ def _partition_scan(group_cols, run_key, lag, integral):
             out[HEAD] = head
             out[TAIL] = False
             out[GL] = gl.astype(np.int64)
+            out[GS] = gstart
+            out[HG] = head_group
             local += n
             carry = {"g": tuple(gk[-1]), "r": tuple(rk[-1]), "head": bool(head[-1]), "gl": int(gl[-1]),
+                     "gs": int(gstart[-1]),
                      "v": {s: pdf[s].iloc[-1] for s in set(lag.values())},
                      "p": {o: out[o].iloc[-1] for o, _ in lag_items}}
             for o in lag:
@@ -241,14 +264,12 @@ def group_position(df: DataFrame, group_cols: Sequence[str], order_cols: Sequenc
                    partitions: int | None = None) -> DataFrame:
     """0-based position of each row inside its group, in ``order_cols`` order.
 
-    Global position minus the position of the group's first row; the first
-    position per group is a partial aggregate, so large groups stay split.
+    One sequence pass: each row's distance to its group's first row, with
+    groups that span partitions resolved from the per-partition summary, so
+    large groups stay split and no join is needed.
     """
     group_cols, order_cols = list(group_cols), list(order_cols)
-    seq = sequence(df, group_cols + order_cols, index="_gpos", partitions=partitions)
-    starts = seq.groupBy(*group_cols).agg(F.min("_gpos").alias("_gstart"))
-    return (seq.join(starts, group_cols)
-            .select(*df.columns, (F.col("_gpos") - F.col("_gstart")).alias(name)))
+    return sequence(df, group_cols + order_cols, group_cols=group_cols, group_offset=name, partitions=partitions)
 
 
 def dense_index(keys: DataFrame, order_cols: Sequence[str], name: str, partitions: int | None = None) -> DataFrame:

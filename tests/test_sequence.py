@@ -96,13 +96,15 @@ def test_dense_index(spark, partitions):
     assert got == [(k[0], k[1], i) for i, k in enumerate(keys)]
 
 
-def test_group_position(spark):
-    rows = _data(3, 200)
-    df = spark.createDataFrame(rows, SCHEMA).select("g", "ts").distinct()
-    got = {(r.g, r.ts): r.pos for r in group_position(df, ["g"], ["ts"], "pos", partitions=8).collect()}
+@pytest.mark.parametrize("partitions", [1, 4, 50])
+def test_group_position(spark, partitions):
+    rows = _data(3 + partitions, 400, hot_share=0.5)
+    df = spark.createDataFrame(rows, SCHEMA).select("g", "ts", "item").distinct()
+    got = {(r.g, r.ts, r.item): r.pos
+           for r in group_position(df, ["g"], ["ts", "item"], "pos", partitions=partitions).collect()}
     for g in {k[0] for k in got}:
-        ts = sorted(t for (gg, t) in got if gg == g)
-        assert [got[(g, t)] for t in ts] == list(range(len(ts)))
+        keys = sorted(k for k in got if k[0] == g)
+        assert [got[k] for k in keys] == list(range(len(keys)))
 
 
 def test_no_lag_on_float_sources(spark):
