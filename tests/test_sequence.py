@@ -111,3 +111,34 @@ def test_no_lag_on_float_sources(spark):
     df = spark.createDataFrame([(1.0,)], "v double")
     with pytest.raises(TypeError):
         sequence(df, ["v"], lag={"p": "v"})
+
+
+def _brute_all(rows):
+    """index, group rank, position in group, previous item of the run, per row."""
+    order = sorted(rows, key=lambda r: (r[0], r[1], r[2], r[3]))
+    groups = sorted({r[0] for r in rows})
+    out = []
+    for i, r in enumerate(order):
+        j = i
+        while j > 0 and order[j - 1][:3] == r[:3]:
+            j -= 1
+        prev = order[j - 1][2] if j > 0 and order[j - 1][0] == r[0] else None
+        first = next(k for k, x in enumerate(order) if x[0] == r[0])
+        out.append((*r, i, groups.index(r[0]), i - first, prev))
+    return out
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=st.lists(st.tuples(st.sampled_from(["a", "b", "hot"]), st.integers(0, 4), st.integers(0, 2),
+                               st.integers(0, 1)), min_size=1, max_size=80),
+       partitions=st.integers(1, 12))
+def test_sequence_random(spark, rows, partitions):
+    out = sequence(_frame(spark, rows), ["g", "ts", "item", "x"], index="idx", group_cols=["g"],
+                   run_cols=["ts", "item"], lag={"prev": "item"}, group_index="gi", group_offset="go",
+                   partitions=partitions, tie="rid")
+    got = sorted((r.g, r.ts, r.item, r.x, r.idx, r.gi, r.go, r.prev) for r in out.collect())
+    assert got == sorted(_brute_all(rows))
