@@ -183,7 +183,8 @@ class FeatureFrame:
     def rated_block(self) -> DataFrame:
         """per user, every rated item (duplicates kept) with weight 1/N."""
         counts = self.rows.groupBy("urow").agg(F.count(F.lit(1)).alias("_n"))
-        return (self._ctx(self.rows.join(counts, "urow"))
+        # one row per user on the hash-join build side; the ratings stream through
+        return (self._ctx(self.rows.join(counts.hint("shuffle_hash"), "urow"))
                 .select(F.col("urow").alias("user_row"), (self.c + F.col("icol")).cast("long").alias("col"),
                         F.lit("context_categorical_set").alias("cat"),
                         (F.lit(1.0) / F.col("_n").cast("double")).alias("value")))

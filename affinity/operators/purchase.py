@@ -6,8 +6,9 @@ divided by the largest raw preference of that item over all users and sites,
 times 5, rounded half up: an integer 0..5 where the item's keenest buyer gets 5.
 
 Plan shape: two partial aggregates over the lines (support per user and item,
-order count per user), one join on the user, one aggregate per item (partial,
-so a hot item is combined map-side), and one join on the item.  No per-user
+order count per user), one hash join on the user, one aggregate per item
+(partial, so a hot item is combined map-side), and one hash join on the item.
+Both joins build on the side with one row per key, so no side is sorted.  No per-user
 collections are built, so a user or item holding a large share of the lines is
 spread over many map tasks, and AQE splits skewed join partitions.
 """
@@ -58,8 +59,13 @@ def item_support(lines: DataFrame) -> DataFrame:
 
 
 def raw_preference(support: DataFrame, totals: DataFrame) -> DataFrame:
-    """``pref = ln(1 + support / total)`` (N5): ``site, user, item, pref``."""
-    return (support.join(totals, _USER)
+    """``pref = ln(1 + support / total)`` (N5): ``site, user, item, pref``.
+
+    ``totals`` has one row per user, so it is the hash-join build side: the
+    support rows stream through without a sort, a hot user only lengthens the
+    stream (AQE splits it), and the build side stays one row per user.
+    """
+    return (support.join(totals.hint("shuffle_hash"), _USER)
             .select(*_USER, "item",
                     F.ln(F.lit(1.0) + F.col("support").cast("double") / F.col("total").cast("double")).alias("pref")))
 
@@ -72,7 +78,8 @@ def item_max_preference(prefs: DataFrame) -> DataFrame:
 def scale_preferences(prefs: DataFrame, maxima: DataFrame) -> DataFrame:
     """Attach the item maximum (N7) and scale to 0..5, half up."""
     ratio = F.col("pref") / F.col("max_pref")
-    return (prefs.join(maxima, "item")
+    # One row per item on the build side; preferences stream through unsorted.
+    return (prefs.join(maxima.hint("shuffle_hash"), "item")
             .select(*_USER, "item", half_up(F.lit(5.0) * ratio).cast("int").alias("score")))
 
 
