@@ -35,3 +35,15 @@ def test_matrix_has_no_window_and_no_python_udf(spark):
         assert "Window" not in plan  # no per-user window: ordering came from the range-partitioned pass
         assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_preference_joins_build_on_the_small_side(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # the plan large inputs get
+    try:
+        plan = _plan(QUERIES["purchase_preferences"](spark, SF_SMALL))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    hash_joins = [line for line in plan.splitlines() if "ShuffledHashJoin" in line]
+    assert any("[user" in line and "BuildRight" in line for line in hash_joins)
+    assert any("[item" in line and "BuildRight" in line for line in hash_joins)
+    assert not any("SortMergeJoin [user" in line or "SortMergeJoin [item" in line for line in plan.splitlines())
