@@ -230,7 +230,7 @@ def prepare(ratings: DataFrame, users: DataFrame | None = None, items: DataFrame
     # ``_rid`` (position in the stored ratings) is stable when tasks rerun; it
     # splits groups of identical explicit ratings over range partitions.
     keyed = ratings.withColumn("_rid", F.monotonically_increasing_id())
-    indexed = keyed.join(items, "item").select("site", "user", F.col("col").alias("icol"),
+    indexed = keyed.join(items.hint("shuffle_hash"), "item").select("site", "user", F.col("col").alias("icol"),
                                                "timestamp", "event", "rating", "_rid")
     rows = sequence(indexed, ["site", "user", "timestamp", "icol", "event", "rating"], index="row",
                     group_cols=["site", "user"], run_cols=["timestamp", "icol"], lag={"prev_col": "icol"},

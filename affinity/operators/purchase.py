@@ -36,7 +36,7 @@ def build_transactions(lines: DataFrame) -> DataFrame:
     orders = lines.groupBy(*_USER, "group").agg(F.min("timestamp").alias("timestamp"))
     ranked = group_position(orders, group_cols=_USER, order_cols=["timestamp", "group"], name="seq")
     return (lines.drop("timestamp")
-            .join(ranked, [*_USER, "group"])
+            .join(ranked.hint("shuffle_hash"), [*_USER, "group"])  # one row per order builds
             .select(*_USER, "seq", "group", "timestamp", "item"))
 
 
