@@ -141,3 +141,19 @@ def test_index_tables_equal_separate_indexes(spark):
     by_rank = {x.row: x.urow for x in ff.rows.collect()}
     assert all(by_rank[row] == col for row, col in urows)
     assert {x.urow for x in ff.rows.collect()} == {u.row for u in users.collect()}
+
+
+def test_sf001_counts_match_the_full_layout(spark):
+    """Expanded, the factored matrix has the entry count of the full layout."""
+    from pyspark.sql import functions as F
+
+    from affinity.catalog import ratings
+    from tests.conftest import SF_CHECK
+
+    ff = FT.prepare(ratings(spark, SF_CHECK))
+    m = ff.matrix()
+    per_user_sq = ff.rated_block().groupBy("user_row").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0]
+    assert (ff.rows.count(), ff.n_users, ff.n_items) == (2727, 150, 20)
+    assert m.count() + per_user_sq == 66023  # sum over users of n(n + 6), minus one per user
+    assert m.where("cat = 'context_categorical'").count() == 2577
+    assert m.agg(F.max("col")).first()[0] == 212
