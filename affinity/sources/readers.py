@@ -125,24 +125,32 @@ def read_orders_jdbc(spark: SparkSession, url: str, table: str, spec: FieldSpec
 
 # ---------------------------------------------------------------- documents
 
-def _read_documents(spark: SparkSession, source, spec: FieldSpec) -> DataFrame:
-    """JSON lines (path) or a DataFrame; every mapped field is read as a string."""
+def _read_documents(spark: SparkSession, source, spec: FieldSpec, map_column: str | None = None) -> DataFrame:
+    """JSON lines (path) or a DataFrame; every mapped field is read as a string.
+
+    A DataFrame may hold each document as one ``map<string,string>`` column
+    (``map_column``); fields are then looked up by key, and a missing key is a
+    missing value.
+    """
+    keys = list(dict.fromkeys(spec.sources()))
     if isinstance(source, DataFrame):
-        return source.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in dict.fromkeys(spec.sources())])
+        if map_column is not None:
+            return source.select(*[F.col(f"`{map_column}`").getItem(k).alias(k) for k in keys])
+        return source.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in keys])
     schema = T.StructType([T.StructField(c, T.StringType()) for c in dict.fromkeys(spec.sources())])
     return spark.read.schema(schema).option("mode", "FAILFAST").json(source)
 
 
 def read_events_documents(spark: SparkSession, source, spec: FieldSpec | None = None,
-                          explicit: bool = False) -> DataFrame:
+                          explicit: bool = False, map_column: str | None = None) -> DataFrame:
     spec = spec or default_spec("EPREF", explicit)
-    return map_events(_read_documents(spark, source, spec), spec, explicit)
+    return map_events(_read_documents(spark, source, spec, map_column), spec, explicit)
 
 
 def read_orders_documents(spark: SparkSession, source, spec: FieldSpec | None = None,
-                          explicit: bool = False) -> DataFrame:
+                          explicit: bool = False, map_column: str | None = None) -> DataFrame:
     spec = spec or default_spec("NPREF", explicit)
-    return map_orders(_read_documents(spark, source, spec), spec, explicit)
+    return map_orders(_read_documents(spark, source, spec, map_column), spec, explicit)
 
 
 # ---------------------------------------------------------------- dispatch

@@ -141,3 +141,12 @@ def test_order_documents_explicit(spark, scratch):
                                                                    "timestamp string, event string, score string")
     got = R.read_events_documents(spark, df, explicit=True).first()
     assert tuple(got) == ("s", "u", "i", 3, 1.5, 7)
+
+
+def test_documents_as_map_column(spark):
+    df = spark.createDataFrame([({"site": "s", "user": "u", "item": "i", "timestamp": "9", "event": "7", "x": "1"},)],
+                               "doc map<string,string>")
+    assert tuple(R.read_events_documents(spark, df, map_column="doc").first()) == ("s", "u", "i", 7, 9)
+    missing = spark.createDataFrame([({"site": "s", "user": "u", "item": "i", "event": "7"},)], "doc map<string,string>")
+    with pytest.raises(PySparkException, match="missing"):
+        R.read_events_documents(spark, missing, map_column="doc").collect()
