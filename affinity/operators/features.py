@@ -86,8 +86,8 @@ class FeatureFrame:
     """Ratings joined to their indexes and numbered, with the block layout.
 
     U, I and the start time are three numbers, computed once by ``prepare``
-    (each a single aggregate) and used as literals, so no later action
-    recomputes them and nothing is cross-joined.
+    (one aggregate job) and used as literals, so no later action recomputes
+    them and nothing is cross-joined.
     """
 
     indexed: DataFrame  # site, user, icol, timestamp, event, rating, _rid
@@ -230,8 +230,8 @@ def prepare(ratings: DataFrame, users: DataFrame | None = None, items: DataFrame
     # ``_rid`` (position in the stored ratings) is stable when tasks rerun; it
     # splits groups of identical explicit ratings over range partitions.
     keyed = ratings.withColumn("_rid", F.monotonically_increasing_id())
-    indexed = keyed.join(items.hint("shuffle_hash"), "item").select("site", "user", F.col("col").alias("icol"),
-                                               "timestamp", "event", "rating", "_rid")
+    indexed = (keyed.join(items.hint("shuffle_hash"), "item")
+               .select("site", "user", F.col("col").alias("icol"), "timestamp", "event", "rating", "_rid"))
     rows = sequence(indexed, ["site", "user", "timestamp", "icol", "event", "rating"], index="row",
                     group_cols=["site", "user"], run_cols=["timestamp", "icol"], lag={"prev_col": "icol"},
                     group_index="urow", partitions=partitions, tie="_rid")
