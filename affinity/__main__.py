@@ -2,7 +2,7 @@
 
     python -m affinity --uid 42 --name shop --algorithm NPREF --source PARQUET \
         --path s3://bucket/lines --output s3://bucket/prefs [--rating explicit] [--sink FILE] \
-        [--spec spec.xml] [--scores scores.xml] [--partitions 2000]
+        [--spec spec.xml] [--scores scores.xml]
 
 Runs in the session ``spark-submit`` provides (or a new default one) and prints
 the written table paths, one per line.
