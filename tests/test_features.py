@@ -157,3 +157,16 @@ def test_sf001_counts_match_the_full_layout(spark):
     assert m.count() + per_user_sq == 66023  # sum over users of n(n + 6), minus one per user
     assert m.where("cat = 'context_categorical'").count() == 2577
     assert m.agg(F.max("col")).first()[0] == 212
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=st.lists(st.tuples(st.just("s"), st.sampled_from(["a", "b", "hot"]), st.sampled_from(["x", "y", "z"]),
+                               st.sampled_from([1.0, 2.0]), st.integers(0, 3).map(lambda d: d * DAY // 2),
+                               st.sampled_from([1, 3, 7])), min_size=1, max_size=30),
+       partitions=st.integers(1, 9))
+def test_matrix_random(spark, rows, partitions):
+    assert _expand(FT.prepare(_ratings(spark, rows), partitions=partitions)) == _brute(rows)
