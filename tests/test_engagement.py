@@ -103,4 +103,5 @@ def test_one_rating_per_triple_on_driver_tables(spark):
 def test_empty_input(spark):
     out = E.engagement_ratings(_events(spark, []))
     assert out.count() == 0
-    assert out.schema == schemas.ENGAGEMENT_RATING or out.columns == schemas.ENGAGEMENT_RATING.names
+    assert [(f.name, f.dataType) for f in out.schema.fields] == [
+        (f.name, f.dataType) for f in schemas.ENGAGEMENT_RATING.fields]

@@ -78,4 +78,5 @@ def test_empty_input(spark):
     lines = _lines(spark, [])
     out = P.purchase_preferences(lines)
     assert out.count() == 0
-    assert [f.name for f in out.schema.fields] == ["site", "user", "item", "score"]
+    assert [(f.name, f.dataType) for f in out.schema.fields] == [
+        (f.name, f.dataType) for f in schemas.PURCHASE_PREFERENCE.fields]
