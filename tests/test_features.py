@@ -170,3 +170,20 @@ from hypothesis import strategies as st  # noqa: E402
        partitions=st.integers(1, 9))
 def test_matrix_random(spark, rows, partitions):
     assert _expand(FT.prepare(_ratings(spark, rows), partitions=partitions)) == _brute(rows)
+
+
+def test_output_schemas(spark):
+    rows = [("s", "u1", "x", 5.0, 0, 7), ("s", "u1", "y", 60.0, 2 * DAY, 3)]
+    ff = FT.prepare(_ratings(spark, rows))
+
+    def typed(df):
+        return [(f.name, f.dataType) for f in df.schema.fields]
+
+    assert typed(ff.matrix()) == typed_schema(schemas.FEATURE_ENTRY)
+    assert typed(ff.rated_block()) == typed_schema(schemas.RATED_SET_ENTRY)
+    assert typed(ff.users) == typed_schema(schemas.USER_INDEX)
+    assert typed(ff.items) == typed_schema(schemas.ITEM_INDEX)
+
+
+def typed_schema(struct):
+    return [(f.name, f.dataType) for f in struct.fields]

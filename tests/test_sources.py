@@ -150,3 +150,15 @@ def test_documents_as_map_column(spark):
     missing = spark.createDataFrame([({"site": "s", "user": "u", "item": "i", "event": "7"},)], "doc map<string,string>")
     with pytest.raises(PySparkException, match="missing"):
         R.read_events_documents(spark, missing, map_column="doc").collect()
+
+
+def test_reader_schemas(spark, scratch):
+    from affinity.catalog import events, events_explicit, lines_one_shop
+    from tests.conftest import SF_SMALL
+
+    def typed(df):
+        return [(f.name, f.dataType) for f in df.schema.fields]
+
+    assert typed(events(spark, SF_SMALL)) == typed(spark.createDataFrame([], schemas.EVENT))
+    assert typed(events_explicit(spark, SF_SMALL)) == typed(spark.createDataFrame([], schemas.EVENT_RATING))
+    assert typed(lines_one_shop(spark, SF_SMALL)) == typed(spark.createDataFrame([], schemas.ORDER_LINE))
