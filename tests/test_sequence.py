@@ -142,3 +142,14 @@ def test_sequence_random(spark, rows, partitions):
                    partitions=partitions, tie="rid")
     got = sorted((r.g, r.ts, r.item, r.x, r.idx, r.gi, r.go, r.prev) for r in out.collect())
     assert got == sorted(_brute_all(rows))
+
+
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_without_groups(spark, partitions):
+    rows = [("g", t, t % 3, 0) for t in range(40)]
+    out = sequence(_frame(spark, rows), ["ts", "item"], index="idx", lag={"prev": "item"}, group_index="gi",
+                   group_offset="go", partitions=partitions, tie="rid").collect()
+    by_ts = {r.ts: r for r in out}
+    assert [by_ts[t].idx for t in range(40)] == list(range(40))
+    assert all(r.go == r.idx and r.gi == 0 for r in out)
+    assert by_ts[0].prev is None and all(by_ts[t].prev == (t - 1) % 3 for t in range(1, 40))
