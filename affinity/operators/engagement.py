@@ -20,6 +20,17 @@ from pyspark.sql import functions as F
 
 from affinity.sources.scores import as_scores
 
+__all__ = [
+    "event_polarity",
+    "event_support",
+    "net_event_support",
+    "score_events",
+    "best_event",
+    "engagement_ratings",
+    "build_engagement_ratings",
+    "engagement_ratings_explicit",
+]
+
 _TRIPLE = ["site", "user", "item"]
 
 

@@ -41,6 +41,27 @@ from pyspark.sql import functions as F
 from affinity.plans.materialize import materialize
 from affinity.plans.sequence import dense_index, sequence
 
+__all__ = [
+    "DAY_MS",
+    "CATEGORIES",
+    "observation_interval",
+    "user_index",
+    "item_index",
+    "index_tables",
+    "FeatureFrame",
+    "prepare",
+    "feature_matrix",
+    "feature_layout",
+    "feature_user_block",
+    "feature_item_block",
+    "feature_rated_block",
+    "feature_previous_block",
+    "feature_time_block",
+    "feature_event_block",
+    "feature_label",
+    "rating_rows",
+]
+
 # Fixed value: one day in milliseconds.
 DAY_MS = 86_400_000
 

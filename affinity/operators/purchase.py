@@ -21,6 +21,19 @@ from pyspark.sql import functions as F
 from affinity.functions.columns import half_up
 from affinity.plans.sequence import group_position
 
+__all__ = [
+    "build_transactions",
+    "user_order_totals",
+    "explode_transactions",
+    "item_support",
+    "raw_preference",
+    "item_max_preference",
+    "scale_preferences",
+    "purchase_preferences",
+    "build_purchase_preferences",
+    "purchase_ratings_explicit",
+]
+
 _USER = ["site", "user"]
 
 
