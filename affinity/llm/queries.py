@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from affinity.llm.packing import op8_best_fit_packing
 from affinity.llm.sharding import op3_sharding
 from affinity.llm.simhash_dedup import op1_simhash_dedup
 
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op3_sharding": op3_sharding,
+    "op8_best_fit_packing": op8_best_fit_packing,
 }
 
 #: DuckDB SQL over the same tables; the other queries are tested against brute force.
