@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from affinity.llm.line_dedup import OP5_SQL, op5_line_dedup
 from affinity.llm.packing import op8_best_fit_packing
 from affinity.llm.sharding import op3_sharding
 from affinity.llm.simhash_dedup import op1_simhash_dedup
@@ -10,9 +11,12 @@ from affinity.llm.substring_dedup import op10_substring_dedup
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op3_sharding": op3_sharding,
+    "op5_line_dedup": op5_line_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
 #: DuckDB SQL over the same tables; the other queries are tested against brute force.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": OP5_SQL,
+}
