@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from affinity.llm.decontamination import op4_decontamination
 from affinity.llm.line_dedup import OP5_SQL, op5_line_dedup
+from affinity.llm.lm_scoring import op2_lm_scoring
 from affinity.llm.packing import op8_best_fit_packing
 from affinity.llm.sharding import op3_sharding
 from affinity.llm.simhash_dedup import op1_simhash_dedup
@@ -11,6 +12,7 @@ from affinity.llm.substring_dedup import op10_substring_dedup
 
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_sharding": op3_sharding,
     "op4_decontamination": op4_decontamination,
     "op5_line_dedup": op5_line_dedup,
