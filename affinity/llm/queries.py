@@ -6,6 +6,7 @@ from affinity.llm.decontamination import op4_decontamination
 from affinity.llm.line_dedup import OP5_SQL, op5_line_dedup
 from affinity.llm.lm_scoring import op2_lm_scoring
 from affinity.llm.packing import op8_best_fit_packing
+from affinity.llm.personal_data import op7_personal_data
 from affinity.llm.quality import op9_quality_classifier
 from affinity.llm.sharding import op3_sharding
 from affinity.llm.simhash_dedup import op1_simhash_dedup
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_decontamination": op4_decontamination,
     "op5_line_dedup": op5_line_dedup,
+    "op7_personal_data": op7_personal_data,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_substring_dedup": op10_substring_dedup,
