@@ -5,6 +5,7 @@ from __future__ import annotations
 from affinity.llm.decontamination import op4_decontamination
 from affinity.llm.line_dedup import OP5_SQL, op5_line_dedup
 from affinity.llm.lm_scoring import op2_lm_scoring
+from affinity.llm.nearest import op6_nearest_neighbours
 from affinity.llm.packing import op8_best_fit_packing
 from affinity.llm.personal_data import op7_personal_data
 from affinity.llm.quality import op9_quality_classifier
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_decontamination": op4_decontamination,
     "op5_line_dedup": op5_line_dedup,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_personal_data": op7_personal_data,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_classifier": op9_quality_classifier,
