@@ -5,19 +5,25 @@ among its runs of ``gram`` words; it depends on the window's words alone, so
 equal windows have equal minimisers wherever they stand.  Consecutive windows
 with one minimiser form a *super-k-mer*.
 
-1. Every document gives its distinct minimisers.  Only those found in two
+1. The texts are stored once, bucketed by doc_id, so no later join moves them.
+2. Every document gives its distinct minimisers.  Only those found in two
    documents or more can hold a repeated window; nothing else needs to travel.
-2. The super-k-mers under such a minimiser travel as one packed string each to
-   the minimiser's bucket.  Equal strings are first combined into one row with
-   their smallest doc_id, so any number of copies weighs as one.
-3. A bucket sorts its windows by their words and gives every window the smallest
-   doc_id that holds it.  A bucket with many different strings is cut by window
-   content into tasks of bounded size; equal windows stay together.
-4. Per document, the windows held by a smaller doc_id cover the words that go.
+3. The super-k-mers under such a minimiser are listed by 128-bit hash.  Equal
+   ones are combined into one row with their smallest doc_id, so any number of
+   copies weighs as one.  Where a minimiser has one string only, all its windows
+   have that doc_id.
+4. Where it has several, one copy of each travels as a packed string to the
+   minimiser's bucket, which sorts the windows by their words and gives every
+   window the smallest doc_id that holds it.  A bucket with many different
+   strings is cut by window content into tasks of bounded size; equal windows
+   stay together.
+5. Per document, the windows held by a smaller doc_id cover the words that go.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -25,9 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinity.llm.shared import read_documents, stored
+from affinity.session import checkpoint_dir
 
 WIDTH = 50
-GRAM = 16
+GRAM = 8
 #: Windows in one packed string at most (periodic texts have long runs of one minimiser).
 RUN = 64
 #: Different strings of one bucket in a task at a time.
@@ -93,23 +100,36 @@ def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.astype(np.uint64).view(np.int64))
 
 
+def bucketed(source: DataFrame) -> DataFrame:
+    """Store the texts once, bucketed by doc_id: joins on doc_id then move only their other side."""
+    spark = source.sparkSession
+    name = f"texts_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    source.repartition(buckets, "doc_id").write.option("path", f"{checkpoint_dir(spark)}/{name}") \
+        .option("compression", "zstd").bucketBy(buckets, "doc_id").sortBy("doc_id").saveAsTable(name)
+    return spark.table(name)
+
+
 def document_minimisers(source: DataFrame, width: int, gram: int) -> DataFrame:
-    """Distinct ``(doc_id, text_key, h)`` of each document."""
+    """Distinct ``(doc_id, h)`` of each text."""
     def run(batches):
         cache = WordHashes()
         for batch in batches:
             found = [np.unique(window_minimisers(_hashes((t or b"").split(), cache), width, gram))
-                     for t in batch.column(2).to_pylist()]
+                     for t in batch.column(1).to_pylist()]
             times = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(times), batch.column(1).take(times),
-                 _signed(np.concatenate(found) if found else np.empty(0, np.uint64))], names=["doc_id", "text_key", "h"])
+                [batch.column(0).take(times), _signed(np.concatenate(found) if found else np.empty(0, np.uint64))],
+                names=["doc_id", "h"])
 
-    return source.mapInArrow(run, "doc_id long, text_key long, h long")
+    return source.select("doc_id", "text").mapInArrow(run, "doc_id long, h long")
 
 
-def packed_strings(flagged: DataFrame, width: int, gram: int) -> DataFrame:
-    """``(doc_id, text_key, at, h, packed)``: super-k-mers under the listed minimisers ``hs`` of each document."""
+def listed_strings(flagged: DataFrame, width: int, gram: int) -> DataFrame:
+    """``(doc_id, text_key, at, n, h, k1, k2)``: super-k-mers under the minimisers ``hs`` of each text, by hash."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+    names = ["doc_id", "text_key", "at", "n", "h", "k1", "k2"]
+
     def run(batches):
         cache = WordHashes()
         for batch in batches:
@@ -117,15 +137,34 @@ def packed_strings(flagged: DataFrame, width: int, gram: int) -> DataFrame:
                 words = (text or b"").split()
                 low = window_minimisers(_hashes(words, cache), width, gram).view(np.int64)
                 wanted = set(wanted)
-                rows = [(a, int(low[a]), b" ".join(words[a:a + n + width - 1])) for a, n in super_kmers(low) if int(low[a]) in wanted]
+                rows = []
+                for a, n in super_kmers(low):
+                    if int(low[a]) in wanted:
+                        digest = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words[a:a + n + width - 1])), "<i8")
+                        rows.append((doc, key, a, n, int(low[a]), int(digest[0]), int(digest[1])))
+                if rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return flagged.mapInArrow(run, "doc_id long, text_key long, at long, n long, h long, k1 long, k2 long")
+
+
+def packed_strings(chosen: DataFrame, width: int) -> DataFrame:
+    """``(h, k1, k2, packed, low, n)``: the strings listed in ``parts`` of each text; low is its doc_id."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+    names = ["h", "k1", "k2", "packed", "low", "n"]
+
+    def run(batches):
+        for batch in batches:
+            for doc, key, text, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = (text or b"").split()
+                rows = [(p["h"], p["k1"], p["k2"], b" ".join(words[p["at"]:p["at"] + p["n"] + width - 1]), doc, p["strings"])
+                        for p in parts if p["text_key"] == key]
                 for k in range(0, len(rows), 4096):
-                    at, h, packed = zip(*rows[k:k + 4096], strict=True)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([doc] * len(at), pa.int64()), pa.array([key] * len(at), pa.int64()),
-                         pa.array(at, pa.int64()), pa.array(h, pa.int64()), pa.array(packed, pa.binary())],
-                        names=["doc_id", "text_key", "at", "h", "packed"])
+                        [pa.array(c, t) for c, t in zip(zip(*rows[k:k + 4096], strict=True), kinds, strict=True)], names=names)
 
-    return flagged.mapInArrow(run, "doc_id long, text_key long, at long, h long, packed binary")
+    return chosen.mapInArrow(run, "h long, k1 long, k2 long, packed binary, low long, n long")
 
 
 def _word_bounds(packed: bytes) -> tuple[list[int], list[int]]:
@@ -217,29 +256,38 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     are treated alike.  Other columns are not read.
     """
     source = _source(docs, id_col, text_col)
-    known = source.where("doc_id is not null")
-    listed = stored(document_minimisers(known, width, gram), "minimisers")
+    texts = bucketed(source.where("doc_id is not null"))
+    listed = stored(document_minimisers(texts, width, gram), "minimisers")
     shared = listed.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
-    wanted = listed.join(shared, "h").groupBy("doc_id", "text_key").agg(F.collect_set("h").alias("hs"))
-    flagged = known.join(wanted, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "hs")
-    found = stored(packed_strings(flagged, width, gram).withColumns(
-        {"k1": F.xxhash64("packed"), "k2": F.xxhash64(F.lit(1), "packed")}), "superkmers")
-    strings = found.groupBy("h", "k1", "k2", "packed").agg(F.min("doc_id").alias("low"))
-    sizes = strings.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    lows = window_lows(_tasks(strings.join(sizes, "h"), width, bucket_strings), width)
+    wanted = listed.join(shared, "h").groupBy("doc_id").agg(F.collect_set("h").alias("hs"))
+    flagged = texts.join(wanted, "doc_id").select("doc_id", "text_key", "text", "hs")
+    found = stored(listed_strings(flagged, width, gram), "superkmers")
+    first = F.min(F.struct("doc_id", "text_key", "at", "n")).alias("first")
+    strings = stored(found.groupBy("h", "k1", "k2").agg(first), "strings")
+    sizes = strings.groupBy("h").agg(F.count(F.lit(1)).alias("strings"))
+    sized = stored(strings.join(sizes, "h"), "sized")
+    parts = sized.where("strings > 1").select("first.*", "h", "k1", "k2", "strings") \
+        .groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "at", "n", "h", "k1", "k2", "strings")).alias("parts"))
+    packed = packed_strings(texts.join(parts, "doc_id").select("doc_id", "text_key", "text", "parts"), width)
+    alone = sized.where("strings = 1").select(
+        "k1", "k2", F.lit(0).cast("long").alias("shift"),
+        F.array_repeat(F.col("first.doc_id"), F.col("first.n").cast("int")).alias("lows"))
+    lows = alone.unionByName(window_lows(_tasks(packed, width, bucket_strings), width))
     marks = found.select("doc_id", "text_key", "at", "k1", "k2").distinct().join(lows, ["k1", "k2"]) \
         .where(F.array_min("lows") < F.col("doc_id")) \
-        .groupBy("doc_id", "text_key").agg(F.collect_list(F.struct((F.col("at") + F.col("shift")).alias("at"), "lows")).alias("marks"))
-    both = source.join(marks, (source.doc_id == marks.doc_id) & (source.text_key == marks.text_key), "left") \
-        .select(source.doc_id, "text", "marks")
+        .groupBy("doc_id").agg(F.collect_list(F.struct("text_key", (F.col("at") + F.col("shift")).alias("at"), "lows")).alias("marks"))
+    bare = source.where("doc_id is null").withColumn("marks", F.lit(None).cast(dict(marks.dtypes)["marks"]))
+    both = [texts.join(marks, "doc_id", "left").select("doc_id", "text_key", "text", "marks"), bare]
 
     def run(batches):
         for batch in batches:
             counts, gone, kept = [], [], []
-            for doc, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, key, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = (text or b"").split()
                 cover = np.zeros(len(words) + 1, np.int32)
                 for span in spans or ():
+                    if span["text_key"] != key:
+                        continue
                     starts = span["at"] + np.flatnonzero(np.array(span["lows"]) < doc)
                     np.add.at(cover, starts, 1)
                     np.add.at(cover, starts + width, -1)
@@ -252,7 +300,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                  pa.array(kept, pa.binary()).cast(pa.string())],
                 names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return both.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    whole, rest = (part.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string") for part in both)
+    return whole.unionByName(rest)
 
 
 def op10_substring_dedup(spark, sf_dir):
