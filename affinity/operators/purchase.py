@@ -6,11 +6,13 @@ divided by the largest raw preference of that item over all users and sites,
 times 5, rounded half up: an integer 0..5 where the item's keenest buyer gets 5.
 
 Plan shape: two partial aggregates over the lines (support per user and item,
-order count per user), one hash join on the user, one aggregate per item
-(partial, so a hot item is combined map-side), and one hash join on the item.
-Both joins build on the side with one row per key, so no side is sorted.  No per-user
-collections are built, so a user or item holding a large share of the lines is
-spread over many map tasks, and AQE splits skewed join partitions.
+order count per user), one join on the user, one aggregate per item (partial, so
+a hot item is combined map-side), and one join on the item.  Both joins are
+salted: the large side is dealt over ``salts`` parts of a key by the other half
+of its identity, and the one-row-per-key side is copied once per part, so a user
+or item that holds most lines is spread over ``salts`` tasks.  The number of
+salts cannot change a result.  No build side is forced: small sides are
+broadcast by measured size, large ones are merged and can spill.
 """
 
 from __future__ import annotations
@@ -30,12 +32,23 @@ __all__ = [
     "item_max_preference",
     "scale_preferences",
     "purchase_preferences",
-    "build_purchase_preferences",
     "purchase_ratings_explicit",
 ]
 
 _USER = ["site", "user"]
 
+#: Parts a join key is dealt over.
+SALTS = 16
+
+
+def _copied(small: DataFrame, salts: int) -> DataFrame:
+    """One copy of every row per salt."""
+    return small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+
+def _salt(salts: int, *cols: str):
+    return F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int").alias("_salt")
+
 
 def build_transactions(lines: DataFrame) -> DataFrame:
     """Order lines grouped into time-ordered orders per user (N1), kept flat.
@@ -49,7 +62,7 @@ def build_transactions(lines: DataFrame) -> DataFrame:
     orders = lines.groupBy(*_USER, "group").agg(F.min("timestamp").alias("timestamp"))
     ranked = group_position(orders, group_cols=_USER, order_cols=["timestamp", "group"], name="seq")
     return (lines.drop("timestamp")
-            .join(ranked.hint("shuffle_hash"), [*_USER, "group"])  # one row per order builds
+            .join(ranked, [*_USER, "group"])
             .select(*_USER, "seq", "group", "timestamp", "item"))
 
 
@@ -58,12 +71,13 @@ def user_order_totals(lines: DataFrame) -> DataFrame:
     return lines.groupBy(*_USER).agg(F.count_distinct("group").alias("total"))
 
 
-def explode_transactions(transactions: DataFrame) -> DataFrame:
+def explode_transactions(lines: DataFrame) -> DataFrame:
     """All items of a user's orders as one multiset (N3): ``site, user, item``.
 
-    With flat transactions this is a projection; duplicates are kept.
+    A projection of the order lines (or of flat transactions, which hold the
+    same lines); duplicates are kept and no order needs to be built.
     """
-    return transactions.select(*_USER, "item")
+    return lines.select(*_USER, "item")
 
 
 def item_support(lines: DataFrame) -> DataFrame:
@@ -71,14 +85,12 @@ def item_support(lines: DataFrame) -> DataFrame:
     return lines.groupBy(*_USER, "item").agg(F.count(F.lit(1)).alias("support"))
 
 
-def raw_preference(support: DataFrame, totals: DataFrame) -> DataFrame:
+def raw_preference(support: DataFrame, totals: DataFrame, salts: int = SALTS) -> DataFrame:
     """``pref = ln(1 + support / total)`` (N5): ``site, user, item, pref``.
 
-    ``totals`` has one row per user, so it is the hash-join build side: the
-    support rows stream through without a sort, a hot user only lengthens the
-    stream (AQE splits it), and the build side stays one row per user.
+    A user's support rows are dealt over ``salts`` parts by item.
     """
-    return (support.join(totals.hint("shuffle_hash"), _USER)
+    return (support.select("*", _salt(salts, "item")).join(_copied(totals, salts), [*_USER, "_salt"])
             .select(*_USER, "item",
                     F.ln(F.lit(1.0) + F.col("support").cast("double") / F.col("total").cast("double")).alias("pref")))
 
@@ -88,22 +100,20 @@ def item_max_preference(prefs: DataFrame) -> DataFrame:
     return prefs.groupBy("item").agg(F.max("pref").alias("max_pref"))
 
 
-def scale_preferences(prefs: DataFrame, maxima: DataFrame) -> DataFrame:
-    """Attach the item maximum (N7) and scale to 0..5, half up."""
+def scale_preferences(prefs: DataFrame, maxima: DataFrame, salts: int = SALTS) -> DataFrame:
+    """Attach the item maximum (N7) and scale to 0..5, half up.
+
+    An item's preferences are dealt over ``salts`` parts by user.
+    """
     ratio = F.col("pref") / F.col("max_pref")
-    # One row per item on the build side; preferences stream through unsorted.
-    return (prefs.join(maxima.hint("shuffle_hash"), "item")
+    return (prefs.select("*", _salt(salts, *_USER)).join(_copied(maxima, salts), ["item", "_salt"])
             .select(*_USER, "item", half_up(F.lit(5.0) * ratio).cast("int").alias("score")))
 
 
-def purchase_preferences(lines: DataFrame) -> DataFrame:
+def purchase_preferences(lines: DataFrame, salts: int = SALTS) -> DataFrame:
     """Full implicit pipeline (N10): order lines -> ``site, user, item, score``."""
-    prefs = raw_preference(item_support(lines), user_order_totals(lines))
-    return scale_preferences(prefs, item_max_preference(prefs))
-
-
-# N10 under its job-level name.
-build_purchase_preferences = purchase_preferences
+    prefs = raw_preference(item_support(lines), user_order_totals(lines), salts)
+    return scale_preferences(prefs, item_max_preference(prefs), salts)
 
 
 def purchase_ratings_explicit(ratings: DataFrame) -> DataFrame:
