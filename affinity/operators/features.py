@@ -43,29 +43,21 @@ from affinity.plans.sequence import dense_index, sequence
 
 __all__ = [
     "DAY_MS",
-    "CATEGORIES",
     "observation_interval",
     "user_index",
     "item_index",
     "index_tables",
     "FeatureFrame",
     "prepare",
+    "prepare_own",
     "feature_matrix",
-    "feature_layout",
-    "feature_user_block",
-    "feature_item_block",
-    "feature_rated_block",
-    "feature_previous_block",
-    "feature_time_block",
-    "feature_event_block",
-    "feature_label",
-    "rating_rows",
 ]
 
 # Fixed value: one day in milliseconds.
 DAY_MS = 86_400_000
 
-CATEGORIES = ("user", "item", "context_categorical_set", "context_categorical", "context_numerical", "label")
+#: Parts a user's ratings are dealt over in the rated-items join.
+SALTS = 16
 
 
 def observation_interval(ratings: DataFrame) -> DataFrame:
@@ -204,8 +196,10 @@ class FeatureFrame:
     def rated_block(self) -> DataFrame:
         """per user, every rated item (duplicates kept) with weight 1/N."""
         counts = self.rows.groupBy("urow").agg(F.count(F.lit(1)).alias("_n"))
-        # one row per user on the hash-join build side; the ratings stream through
-        return (self._ctx(self.rows.join(counts.hint("shuffle_hash"), "urow"))
+        # A user's ratings are dealt over SALTS parts, the counts copied once per part.
+        counts = counts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = self.rows.withColumn("_salt", F.pmod("row", F.lit(SALTS)).cast("int"))
+        return (self._ctx(dealt.join(counts, ["urow", "_salt"]))
                 .select(F.col("urow").alias("user_row"), (self.c + F.col("icol")).cast("long").alias("col"),
                         F.lit("context_categorical_set").alias("cat"),
                         (F.lit(1.0) / F.col("_n").cast("double")).alias("value")))
@@ -237,22 +231,39 @@ def prepare(ratings: DataFrame, users: DataFrame | None = None, items: DataFrame
             partitions: int | None = None, stored: bool = False) -> FeatureFrame:
     """Index and number the ratings.
 
-    ``users``/``items`` may be given (for instance read back from where they
-    were written); else they are built.  Ratings are read several times (keys,
-    join, start time), so unless ``stored`` says they already come from a
-    written table they are checkpointed first and computed only once.
+    Given indexes (``site, user, row`` and ``item, col``, numbered from 0) are
+    joined, and may hold more keys than these ratings; a rating whose user or
+    item is missing there fails the job.  Indexes not given are built.  Ratings
+    are read several times (keys, join, start time), so unless ``stored`` says
+    they already come from a written table they are checkpointed first and
+    computed only once.
     """
     if not stored:
         ratings = materialize(ratings)
     if users is None or items is None:
-        users, items = index_tables(ratings, partitions)
-    # The user index is the dense rank of (site, user) in the row order, so
-    # only the item index is joined; the user index table has the same numbers.
-    # ``_rid`` (position in the stored ratings) is stable when tasks rerun; it
-    # splits groups of identical explicit ratings over range partitions.
+        own_users, own_items = index_tables(ratings, partitions)
+    frame = prepare_own(ratings, own_users if users is None else users, own_items if items is None else items, partitions)
+    if users is not None:
+        numbers = users.select("site", "user", F.col("row").alias("_given"))
+        missing = F.raise_error(F.concat(F.lit("user is not in the index: "), F.col("user")))
+        given = F.when(F.col("_given").isNull(), missing.cast("long")).otherwise(F.col("_given"))
+        frame.rows = frame.rows.drop("urow").join(numbers, ["site", "user"], "left").withColumn("urow", given).drop("_given")
+    return frame
+
+
+def prepare_own(ratings: DataFrame, users: DataFrame, items: DataFrame, partitions: int | None = None) -> FeatureFrame:
+    """``prepare`` for fixed ratings whose own user index is ``users``.
+
+    The user index is the dense rank of (site, user) in the row order, so only
+    the item index is joined; Spark broadcasts it if it is small.  ``_rid``
+    (position in the fixed ratings) is stable when tasks rerun; it splits groups
+    of identical explicit ratings over range partitions.
+    """
     keyed = ratings.withColumn("_rid", F.monotonically_increasing_id())
-    indexed = (keyed.join(items.hint("shuffle_hash"), "item")
-               .select("site", "user", F.col("col").alias("icol"), "timestamp", "event", "rating", "_rid"))
+    missing = F.raise_error(F.concat(F.lit("item is not in the index: "), F.col("item")))
+    icol = F.when(F.col("col").isNull(), missing.cast("long")).otherwise(F.col("col"))
+    indexed = (keyed.join(items, "item", "left")
+               .select("site", "user", icol.alias("icol"), "timestamp", "event", "rating", "_rid"))
     rows = sequence(indexed, ["site", "user", "timestamp", "icol", "event", "rating"], index="row",
                     group_cols=["site", "user"], run_cols=["timestamp", "icol"], lag={"prev_col": "icol"},
                     group_index="urow", partitions=partitions, tie="_rid")
@@ -274,41 +285,3 @@ def feature_matrix(ratings: DataFrame, partitions: int | None = None) -> tuple[D
     """Matrix entries (F13) and rated-items sets (F7) of ``ratings``."""
     ff = prepare(ratings, partitions=partitions)
     return ff.matrix(), ff.rated_block()
-
-
-# Block-level entry points (F4-F12) over a prepared ``FeatureFrame``.
-
-def feature_layout(ff: FeatureFrame) -> DataFrame:
-    return ff.layout()
-
-
-def feature_user_block(ff: FeatureFrame) -> DataFrame:
-    return ff.user_block()
-
-
-def feature_item_block(ff: FeatureFrame) -> DataFrame:
-    return ff.item_block()
-
-
-def feature_rated_block(ff: FeatureFrame) -> DataFrame:
-    return ff.rated_block()
-
-
-def feature_previous_block(ff: FeatureFrame) -> DataFrame:
-    return ff.previous_block()
-
-
-def feature_time_block(ff: FeatureFrame) -> DataFrame:
-    return ff.time_block()
-
-
-def feature_event_block(ff: FeatureFrame) -> DataFrame:
-    return ff.event_block()
-
-
-def feature_label(ff: FeatureFrame) -> DataFrame:
-    return ff.label()
-
-
-def rating_rows(ff: FeatureFrame) -> DataFrame:
-    return ff.rating_rows()

@@ -9,8 +9,9 @@ repaired from a summary with one row per partition (bounded by the partition
 count, so broadcasting it is safe).
 
 Passes: one range shuffle and sort; one narrow per-partition scan (JVM when only
-the position is wanted, Arrow batches through pandas when a group rank or a
-previous value is wanted); a reliable checkpoint, so that both following passes
+the position is wanted; on Arrow batches when a group rank or a previous value
+is wanted, where the scan compares the key columns and appends its results, and
+every other column passes through untouched); a reliable checkpoint, so that both following passes
 see identical partitions; a tiny summary job; and a broadcast join of the
 summary.
 """
@@ -20,7 +21,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,9 +114,8 @@ def sequence(df: DataFrame, order_cols: Sequence[str], *, index: str | None = No
            T.StructField(GL, T.LongType()), T.StructField(GS, T.LongType()), T.StructField(HG, T.BooleanType())]
         + [T.StructField(o, schema[s].dataType) for o, s in lag.items()]
     )
-    integral = {o: isinstance(schema[s].dataType, T.IntegralType) for o, s in lag.items()}
-    scan = _partition_scan(group_cols, group_cols + run_cols, lag, integral)
-    fixed = materialize(ranged.mapInPandas(scan, out_schema))
+    scan = _partition_scan(group_cols, group_cols + run_cols, lag)
+    fixed = materialize(ranged.mapInArrow(scan, out_schema))
 
     # Summary: first and last row of every non-empty partition.
     g = F.struct(*group_cols) if group_cols else F.lit(True)
@@ -182,9 +183,21 @@ def sequence(df: DataFrame, order_cols: Sequence[str], *, index: str | None = No
     return out.select(*cols)
 
 
-def _partition_scan(group_cols, run_key, lag, integral):
+def _changes(batch: pa.RecordBatch, cols: Sequence[str]) -> np.ndarray:
+    """For every row but the first: does any of ``cols`` differ from the row before?"""
+    out = np.zeros(max(0, batch.num_rows - 1), dtype=bool)
+    for name in cols:
+        column = batch.column(name)
+        before, after = column.slice(0, batch.num_rows - 1), column.slice(1)
+        differs = pc.coalesce(pc.not_equal(before, after), pc.not_equal(pc.is_null(before), pc.is_null(after)))
+        out |= differs.to_numpy(zero_copy_only=False)
+    return out
+
+
+def _partition_scan(group_cols, run_key, lag):
     """Per-partition scan: local position, in-partition previous values, and
-    flags for rows whose values depend on earlier partitions."""
+    flags for rows whose values depend on earlier partitions.  Only key columns
+    are read; all columns of a batch go on as they came."""
     lag_items = list(lag.items())
 
     def scan(batches):
@@ -194,20 +207,16 @@ def _partition_scan(group_cols, run_key, lag, integral):
         local = 0
         carry = None  # last row of the previous batch of this partition
         pending = None
-        for pdf in batches:
-            n = len(pdf)
+        for batch in batches:
+            n = batch.num_rows
             if n == 0:
                 continue
-            gk = pdf[group_cols].to_numpy(dtype=object) if group_cols else np.zeros((n, 0), dtype=object)
-            rk = pdf[run_key].to_numpy(dtype=object)
-            new_group = np.ones(n, dtype=bool)
-            new_run = np.ones(n, dtype=bool)
-            if n > 1:
-                new_group[1:] = ~(gk[1:] == gk[:-1]).all(axis=1) if group_cols else False
-                new_run[1:] = ~(rk[1:] == rk[:-1]).all(axis=1)
+            ends = [{c: batch.column(c)[k].as_py() for c in dict.fromkeys([*group_cols, *run_key])} for k in (0, n - 1)]
+            new_group, new_run = np.ones(n, dtype=bool), np.ones(n, dtype=bool)
+            new_group[1:], new_run[1:] = _changes(batch, group_cols), _changes(batch, run_key)
             if carry is not None:
-                new_group[0] = tuple(gk[0]) != carry["g"] if group_cols else False
-                new_run[0] = tuple(rk[0]) != carry["r"]
+                new_group[0] = any(ends[0][c] != carry["key"][c] for c in group_cols)
+                new_run[0] = any(ends[0][c] != carry["key"][c] for c in run_key)
             rid = np.cumsum(new_run) - 1  # -1: continues the previous batch's last run
             gl = (carry["gl"] if carry is not None else -1) + np.cumsum(new_group)
             # local position of each row's group start; rows of a group that
@@ -216,46 +225,39 @@ def _partition_scan(group_cols, run_key, lag, integral):
             gstart = np.where(new_group, positions, -1)
             gstart[0] = gstart[0] if new_group[0] else carry["gs"]
             gstart = np.maximum.accumulate(gstart)
-            head_group = gl == 0  # the partition's first group (may continue from before)
             starts = np.flatnonzero(new_run)
             head = np.zeros(n, dtype=bool)
             if carry is None:
                 head[rid == 0] = True  # first run of the partition: resolved later
             elif carry["head"]:
                 head[rid == -1] = True
-            out = pdf.copy()
-            for o, s in lag_items:
-                vals = pdf[s].to_numpy(dtype=object)
-                shifted = np.empty(n, dtype=object)
-                shifted[1:] = vals[:-1]
-                shifted[0] = carry["v"][s] if carry is not None else None
-                start_prev = np.where(new_group[starts], None, shifted[starts])
-                res = np.empty(n, dtype=object)
-                inside = rid >= 0
-                res[inside] = start_prev[rid[inside]]
-                res[~inside] = carry["p"][o] if carry is not None else None
-                out[o] = pd.array(res, dtype="Int64") if integral[o] else pd.Series(res, dtype=object).values
-            out[PID] = np.int32(pid)
-            out[LOCAL] = np.arange(local, local + n, dtype=np.int64)
-            out[HEAD] = head
-            out[TAIL] = False
-            out[GL] = gl.astype(np.int64)
-            out[GS] = gstart
-            out[HG] = head_group
+            # Where each row's previous value stands: 0 the carried run's, 1 the
+            # carried last row's, 2 + i row i of this batch, none at a group start.
+            origin = np.zeros(n, dtype=np.int64)
+            inside = rid >= 0
+            origin[inside] = (starts + 1)[rid[inside]]
+            none = np.zeros(n, dtype=bool)
+            none[inside] = new_group[starts][rid[inside]]
+            origin = pa.array(origin, pa.int64(), mask=none)
+            columns, last = list(batch.columns), {}
+            added = {PID: pa.array(np.full(n, pid, dtype=np.int32)), LOCAL: pa.array(positions),
+                     HEAD: pa.array(head), TAIL: pa.array(np.zeros(n, dtype=bool)), GL: pa.array(gl.astype(np.int64)),
+                     GS: pa.array(gstart), HG: pa.array(gl == 0)}
+            for out, source in lag_items:
+                column = batch.column(source)
+                before = (carry["p"][out], carry["v"][source]) if carry is not None else (None, None)
+                added[out] = pa.concat_arrays([pa.array(before, column.type), column]).take(origin)
+                last[out] = added[out][n - 1].as_py()
             local += n
-            carry = {"g": tuple(gk[-1]), "r": tuple(rk[-1]), "head": bool(head[-1]), "gl": int(gl[-1]),
-                     "gs": int(gstart[-1]),
-                     "v": {s: pdf[s].iloc[-1] for s in set(lag.values())},
-                     "p": {o: out[o].iloc[-1] for o, _ in lag_items}}
-            for o in lag:
-                if pd.isna(carry["p"][o]):
-                    carry["p"][o] = None
+            carry = {"key": ends[1], "head": bool(head[-1]), "gl": int(gl[-1]), "gs": int(gstart[-1]),
+                     "v": {s: batch.column(s)[n - 1].as_py() for s in lag.values()}, "p": last}
             if pending is not None:
                 yield pending
-            pending = out
+            pending = pa.RecordBatch.from_arrays(columns + list(added.values()), names=[*batch.schema.names, *added])
         if pending is not None:
-            pending.iloc[-1, pending.columns.get_loc(TAIL)] = True
-            yield pending
+            tail = np.zeros(pending.num_rows, dtype=bool)
+            tail[-1] = True
+            yield pending.set_column(pending.schema.get_field_index(TAIL), TAIL, pa.array(tail))
 
     return scan
 

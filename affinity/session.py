@@ -2,8 +2,8 @@
 directory handling.
 
 Library code never creates a session; it takes the session of the DataFrames it
-is given.  ``checkpoint_dir`` reads ``spark.checkpoint.dir`` from the session and
-only falls back to a scratch folder when the master is local.
+is given.  ``checkpoint_dir`` reads ``spark.checkpoint.dir`` from the session;
+only ``local_session`` chooses a folder itself, where none is configured.
 """
 
 from __future__ import annotations
@@ -15,8 +15,11 @@ from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "affinity") -> SparkSession:
-    """Session for tests and benchmarks (local mode, UI off, UTC, AQE on)."""
-    return (
+    """Session for tests and benchmarks (local mode, UI off, UTC, AQE on).
+
+    Where no ``spark.checkpoint.dir`` is configured it gets a scratch folder.
+    """
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
@@ -30,14 +33,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir() and not sc.getConf().get("spark.checkpoint.dir"):
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="affinity-ckpt-", dir=os.environ.get("TMPDIR", "/tmp")))
+    return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Make sure the SparkContext has a reliable checkpoint directory.
+    """The reliable checkpoint directory of the session's SparkContext.
 
-    Order: an already active directory, then ``spark.checkpoint.dir`` from the
-    session, then (local master only) a fresh scratch folder.  On a cluster the
-    setting must name a shared folder; a machine-local one is refused.
+    An already active directory, else the one ``spark.checkpoint.dir`` names; on
+    a cluster that must be a folder all executors share.  Without either this
+    raises, on any master.
     """
     try:
         sc = spark.sparkContext
@@ -47,19 +54,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-        return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
+    if not configured:
         raise RuntimeError(
             "spark.checkpoint.dir is not set; set it to a shared folder (HDFS, object store) "
             "so checkpoints survive the loss of an executor"
         )
-    path = tempfile.mkdtemp(prefix="affinity-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(path)
+    sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
-
-
-def default_partitions(spark: SparkSession) -> int:
-    """Partition count for range-partitioned passes: the shuffle partition setting."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
