@@ -27,7 +27,6 @@ __all__ = [
     "score_events",
     "best_event",
     "engagement_ratings",
-    "build_engagement_ratings",
     "engagement_ratings_explicit",
 ]
 
@@ -63,16 +62,19 @@ def score_events(net: DataFrame, scores=None, on_unknown: str = "error") -> Data
     """Score each net count (E6): ``scores[min(net, len)]``, 1-based.
 
     An event code missing from the score table fails the job (E7) unless
-    ``on_unknown="drop"``.  The score table is configuration with a checked
-    size, so it is broadcast.
+    ``on_unknown="drop"``; so does a code listed twice.  The table may have any
+    size: Spark broadcasts it if it is small.
     """
     if on_unknown not in ("error", "drop"):
         raise ValueError("on_unknown must be 'error' or 'drop'")
     table = as_scores(net.sparkSession, scores).select("event", "scores")
+    table = table.join(table.groupBy("event").agg(F.count(F.lit(1)).alias("_listed")), "event")
     how = "inner" if on_unknown == "drop" else "left"
-    joined = net.join(F.broadcast(table), "event", how)
+    joined = net.join(table, "event", how)
     pick = F.element_at(F.col("scores"), F.least(F.col("net"), F.size("scores")).cast("int"))
-    rating = F.when(F.col("scores").isNull(),
+    rating = F.when(F.col("_listed") > 1,
+                    F.raise_error(F.concat(F.lit("event is listed twice: "), F.col("event").cast("string"))))
+    rating = rating.when(F.col("scores").isNull(),
                     F.raise_error(F.concat(F.lit("event is unknown: "), F.col("event").cast("string"))))
     rating = rating.when(F.size("scores") == 0,
                          F.raise_error(F.concat(F.lit("event has no scores: "), F.col("event").cast("string"))))
@@ -101,10 +103,6 @@ def engagement_ratings(events: DataFrame, scores=None, on_unknown: str = "error"
     return best_event(scored)
 
 
-# E11 under its job-level name.
-build_engagement_ratings = engagement_ratings
-
-
 def engagement_ratings_explicit(events: DataFrame) -> DataFrame:
     """Given event scores passed through (E10): columns reordered, all events
     (negative and zero too) and duplicates kept."""

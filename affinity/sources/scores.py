@@ -2,12 +2,12 @@
 
 A rating for ``n`` net events of code ``e`` is ``scores[min(n, len(scores))]``
 (1-based), so the last score saturates.  Negative codes are reversals and carry
-no scores.  The table is configuration, not data: it is size-checked so that it
-can be broadcast.
+no scores.  A code must be listed once.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,19 +30,16 @@ DEFAULT_EVENT_SCORES = [
     (-4, "removed from wish list", []),
 ]
 
-# Upper bound on score table rows, so that broadcasting it stays cheap.
-MAX_SCORE_EVENTS = 10_000
-
 
 def default_scores(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(DEFAULT_EVENT_SCORES, EVENT_SCORE)
+    return scores_from_rows(spark, DEFAULT_EVENT_SCORES)
 
 
 def scores_from_rows(spark: SparkSession, rows) -> DataFrame:
-    rows = list(rows)
-    if len(rows) > MAX_SCORE_EVENTS:
-        raise ValueError(f"score table has {len(rows)} events, more than {MAX_SCORE_EVENTS}")
-    return spark.createDataFrame(rows, EVENT_SCORE)
+    """A score table from (event, description, scores) rows, as a local relation whose size Spark knows."""
+    columns = zip(("event", "description", "scores"), zip(*rows, strict=True), strict=True)
+    kinds = {"event": pa.int32(), "description": pa.string(), "scores": pa.list_(pa.int32())}
+    return spark.createDataFrame(pa.table({name: pa.array(values, kinds[name]) for name, values in columns}), EVENT_SCORE)
 
 
 def load_scores(spark: SparkSession, path: str) -> DataFrame:
@@ -53,16 +50,12 @@ def load_scores(spark: SparkSession, path: str) -> DataFrame:
     raw = (spark.read.format("xml").option("rowTag", "EventScore")
            .schema("type string, description string, scores string").load(path))
     parts = F.split(F.trim(F.coalesce(F.col("scores"), F.lit(""))), r"\s*,\s*")
-    table = raw.select(
+    return raw.select(
         strict_cast(F.trim(F.col("type")), T.IntegerType(), "score type").alias("event"),
         F.col("description"),
         F.when(F.trim(F.coalesce(F.col("scores"), F.lit(""))) == "", F.array().cast("array<int>"))
         .otherwise(F.transform(parts, lambda s: strict_cast(s, T.IntegerType(), "score"))).alias("scores"),
     )
-    n = table.count()
-    if n > MAX_SCORE_EVENTS:
-        raise ValueError(f"score table has {n} events, more than {MAX_SCORE_EVENTS}")
-    return table
 
 
 def as_scores(spark: SparkSession, scores) -> DataFrame:
@@ -70,8 +63,6 @@ def as_scores(spark: SparkSession, scores) -> DataFrame:
     if scores is None:
         return default_scores(spark)
     if isinstance(scores, DataFrame):
-        if scores.limit(MAX_SCORE_EVENTS + 1).count() > MAX_SCORE_EVENTS:
-            raise ValueError(f"score table has more than {MAX_SCORE_EVENTS} events")
         return scores
     if isinstance(scores, str):
         return load_scores(spark, scores)
