@@ -2,16 +2,23 @@
 
 Layout under ``base/name/uid/``: ``1`` ratings; for engagement also ``2`` user
 index, ``3`` item index, ``4`` matrix entries and ``5`` rated-items sets.
-Sinks: ``PARQUET`` (default) and ``FILE`` (CSV with a header).  Existing output
-is never overwritten.
+Sinks: ``PARQUET`` (default) and ``FILE`` (CSV with a header; every value is
+quoted, quotes are doubled, blanks, empty strings and line ends are kept, a null
+is ``\\N``).  Existing output is never overwritten.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from affinity.plans.materialize import materialize
+
 SINKS = ("PARQUET", "FILE")
 
+#: The same for writing and reading, so that values come back as they were.
+CSV_OPTIONS = {"header": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+               "nullValue": "\\N", "emptyValue": "", "quote": '"', "escape": '"', "lineSep": "\n"}
+
 
 def table_path(base: str, name: str, uid: str, part: int) -> str:
     return f"{base.rstrip('/')}/{name}/{uid}/{part}"
@@ -23,7 +30,7 @@ def write_table(df: DataFrame, path: str, sink: str = "PARQUET") -> None:
     if sink == "PARQUET":
         writer.parquet(path)
     elif sink == "FILE":
-        writer.option("header", "true").csv(path)
+        writer.options(**CSV_OPTIONS, quoteAll="true").csv(path)
     else:
         raise ValueError(f"unknown sink '{sink}', expected one of {SINKS}")
 
@@ -31,7 +38,7 @@ def write_table(df: DataFrame, path: str, sink: str = "PARQUET") -> None:
 def read_table(spark, path: str, sink: str, schema) -> DataFrame:
     if sink.upper() == "PARQUET":
         return spark.read.parquet(path)
-    return spark.read.schema(schema).option("header", "true").option("mode", "FAILFAST").csv(path)
+    return spark.read.schema(schema).options(**CSV_OPTIONS, multiLine="true", mode="FAILFAST").csv(path)
 
 
 def write_purchase(prefs: DataFrame, base: str, name: str, uid: str, sink: str = "PARQUET") -> str:
@@ -43,24 +50,17 @@ def write_purchase(prefs: DataFrame, base: str, name: str, uid: str, sink: str =
 
 def write_engagement(ratings: DataFrame, base: str, name: str, uid: str, sink: str = "PARQUET",
                      partitions: int | None = None) -> dict[int, str]:
-    """K2: ratings, then indexes and matrix built from the written ratings.
+    """K2: ratings, indexes and matrix, all from one checkpoint of the ratings.
 
-    Each table is written once and read back before the next step uses it, so
-    nothing upstream is recomputed and lineage stays short.
+    Nothing is computed from what a sink wrote, so every sink gets the same
+    tables and nothing upstream is recomputed.
     """
-    from affinity import schemas
-    from affinity.operators.features import index_tables, prepare
+    from affinity.operators.features import index_tables, prepare_own
 
-    spark = ratings.sparkSession
     paths = {i: table_path(base, name, uid, i) for i in range(1, 6)}
-    write_table(ratings, paths[1], sink)
-    stored = read_table(spark, paths[1], sink, schemas.ENGAGEMENT_RATING)
-    users, items = index_tables(stored, partitions)
-    write_table(users, paths[2], sink)
-    write_table(items, paths[3], sink)
-    users = read_table(spark, paths[2], sink, schemas.USER_INDEX)
-    items = read_table(spark, paths[3], sink, schemas.ITEM_INDEX)
-    ff = prepare(stored, users, items, partitions, stored=True)
-    write_table(ff.matrix(), paths[4], sink)
-    write_table(ff.rated_block(), paths[5], sink)
+    fixed = materialize(ratings)
+    users, items = index_tables(fixed, partitions)
+    ff = prepare_own(fixed, users, items, partitions)
+    for part, table in enumerate((fixed, users, items, ff.matrix(), ff.rated_block()), 1):
+        write_table(table, paths[part], sink)
     return paths
