@@ -6,6 +6,7 @@ row caps or id subsets.  Column names match ``affinity.oracle.ORACLE_SQL``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -18,7 +19,10 @@ from affinity.operators import purchase as P
 from affinity.sources import shop_tables as S
 from affinity.sources.fieldspec import apply_field_spec
 from affinity.sources.orderlog import order_item_log
-from affinity.sources.readers import map_orders, read_events_parquet
+from affinity.sources.readers import map_orders, read_events_documents, read_events_parquet, read_orders_documents
+from affinity.sources.scores import DEFAULT_EVENT_SCORES
+from affinity.job import PreferenceRequest, build
+from affinity.session import checkpoint_dir
 from affinity import schemas
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,6 +96,45 @@ def _q_read_orders_explicit(spark, sf):
     return map_orders(S.order_lines_source(spark, sf), S.ORDER_SPEC_EXPLICIT, explicit=True)
 
 
+def _as_strings(df, mapped=False):
+    """Logical records as documents: all-string columns, or one map column."""
+    text = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+    if not mapped:
+        return text
+    return text.select(F.create_map(*[x for c in df.columns for x in (F.lit(c), F.col(c))]).alias("doc"))
+
+
+def _q_order_documents(spark, sf, explicit=False, mapped=False):
+    """Order lines given as documents; the document field of the order is ``order``."""
+    lines = _q_read_orders_explicit(spark, sf) if explicit else lines_one_shop(spark, sf).withColumnRenamed("group", "order")
+    return read_orders_documents(spark, _as_strings(lines, mapped), explicit=explicit, map_column="doc" if mapped else None)
+
+
+def _q_event_documents(spark, sf, explicit=False, mapped=False):
+    records = events_explicit(spark, sf) if explicit else events(spark, sf)
+    return read_events_documents(spark, _as_strings(records, mapped), explicit=explicit, map_column="doc" if mapped else None)
+
+
+def _q_order_item_log_kept(spark, sf):
+    return order_item_log(S.order_item_log_source(spark, sf), LOG_SITE, _ntz(LOG_START), _ntz(LOG_END), drop_deleted=True)
+
+
+# A score table without the two commonest codes: their events are dropped.
+KNOWN_SCORES = [row for row in DEFAULT_EVENT_SCORES if row[0] not in (6, 7)]
+
+
+def _q_score_known_events(spark, sf):
+    return E.score_events(E.net_event_support(E.event_support(events(spark, sf))), KNOWN_SCORES, on_unknown="drop")
+
+
+def _q_build_engagement(spark, sf):
+    """The job path: one request, five written tables; the ratings as read back."""
+    request = PreferenceRequest(uid=uuid.uuid4().hex, name="catalog", algorithm="EPREF", source="PARQUET",
+                                output=checkpoint_dir(spark),
+                                source_args={"path": f"{sf}/events.parquet", "spec": S.EVENT_SPEC})
+    return spark.read.schema(schemas.ENGAGEMENT_RATING).parquet(build(request, spark)[1])
+
+
 def _features(spark, sf, explicit=False):
     return FT.prepare(ratings_explicit(spark, sf) if explicit else ratings(spark, sf))
 
@@ -102,12 +145,19 @@ QUERIES: dict[str, Query] = {
     "read_events_parquet_explicit": events_explicit,
     "read_orders_parquet": lines_one_shop,
     "read_orders_parquet_explicit": _q_read_orders_explicit,
+    "read_events_documents": _q_event_documents,
+    "read_events_documents_explicit": lambda s, sf: _q_event_documents(s, sf, explicit=True),
+    "read_events_documents_map": lambda s, sf: _q_event_documents(s, sf, mapped=True),
+    "read_orders_documents": _q_order_documents,
+    "read_orders_documents_explicit": lambda s, sf: _q_order_documents(s, sf, explicit=True),
+    "read_orders_documents_map": lambda s, sf: _q_order_documents(s, sf, mapped=True),
     "order_item_log": _q_order_item_log,
+    "order_item_log_kept": _q_order_item_log_kept,
     "apply_field_spec": _q_apply_field_spec,
     # purchase preferences
     "build_transactions": lambda s, sf: P.build_transactions(lines_one_shop(s, sf)),
     "user_order_totals": lambda s, sf: P.user_order_totals(lines_one_shop(s, sf)),
-    "explode_transactions": lambda s, sf: P.explode_transactions(P.build_transactions(lines_one_shop(s, sf))),
+    "explode_transactions": lambda s, sf: P.explode_transactions(lines_one_shop(s, sf)),
     "item_support": lambda s, sf: P.item_support(lines_one_shop(s, sf)),
     "raw_preference": _q_raw_preference,
     "item_max_preference": _q_item_max_preference,
@@ -119,9 +169,10 @@ QUERIES: dict[str, Query] = {
     "event_support": lambda s, sf: E.event_support(events(s, sf)),
     "net_event_support": lambda s, sf: E.net_event_support(E.event_support(events(s, sf))),
     "score_events": lambda s, sf: E.score_events(E.net_event_support(E.event_support(events(s, sf)))),
+    "score_known_events": _q_score_known_events,
     "engagement_ratings": lambda s, sf: E.best_event(
         E.score_events(E.net_event_support(E.event_support(events(s, sf))))),
-    "build_engagement_ratings": ratings,
+    "build_engagement_ratings": _q_build_engagement,
     "engagement_ratings_explicit": ratings_explicit,
     # feature matrix
     "observation_interval": lambda s, sf: FT.observation_interval(ratings(s, sf)),

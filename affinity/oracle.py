@@ -147,6 +147,11 @@ FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey""",
   (l.l_returnflag = 'R') AS deleted
 FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
 WHERE o.o_orderpriority = '{LOG_SITE}' AND o.o_orderdate > {_ts(LOG_START)} AND o.o_orderdate < {_ts(LOG_END)}""",
+    "order_item_log_kept": f"""SELECT o.o_orderpriority AS idsite, o.o_custkey AS idvisitor, o.o_orderdate AS server_time,
+  o.o_orderkey AS idorder, l.l_partkey AS idaction_sku, l.l_extendedprice AS price, l.l_quantity AS quantity, false AS deleted
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+WHERE o.o_orderpriority = '{LOG_SITE}' AND o.o_orderdate > {_ts(LOG_START)} AND o.o_orderdate < {_ts(LOG_END)}
+  AND l.l_returnflag <> 'R'""",
     "apply_field_spec": _with(_LP) + 'SELECT site, "user", "group", "timestamp", item FROM lines',
     "build_transactions": _with(_L1) + """, ord AS (
   SELECT site, "user", "group", min("timestamp") AS "timestamp" FROM lines GROUP BY site, "user", "group"),
@@ -170,6 +175,7 @@ FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey""",
     "event_support": _with(_EVENTS, _SUPPORT) + 'SELECT * FROM sup',
     "net_event_support": _with(_EVENTS, _SUPPORT, _NET) + 'SELECT * FROM net',
     "score_events": _with(_EVENTS, _SUPPORT, _NET, _SCORED) + 'SELECT * FROM scored',
+    "score_known_events": _with(_EVENTS, _SUPPORT, _NET, _SCORED) + "SELECT * FROM scored WHERE event NOT IN (6, 7)",
     "engagement_ratings": _with(*_EP) + 'SELECT * FROM ratings',
     "build_engagement_ratings": _with(*_EP) + 'SELECT * FROM ratings',
     "engagement_ratings_explicit": _with(_EVENTS, _RATINGS_EXPLICIT) + 'SELECT * FROM ratings',
@@ -194,3 +200,7 @@ FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey""",
     "feature_matrix_explicit": _FEAT_X + 'SELECT "row", CAST(col AS BIGINT) AS col, cat, value FROM blocks',
     "feature_rated_block_explicit": _FEAT_X + "SELECT * FROM rated",
 }
+# Document readers give the records they were made from.
+for _name in ("events", "orders"):
+    ORACLE_SQL[f"read_{_name}_documents"] = ORACLE_SQL[f"read_{_name}_documents_map"] = ORACLE_SQL[f"read_{_name}_parquet"]
+    ORACLE_SQL[f"read_{_name}_documents_explicit"] = ORACLE_SQL[f"read_{_name}_parquet_explicit"]

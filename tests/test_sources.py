@@ -129,8 +129,13 @@ def test_order_item_log_pushdown(spark):
     from affinity.catalog import _q_order_item_log
     from tests.conftest import SF_SMALL
 
-    plan = _q_order_item_log(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    try:
+        plan = _q_order_item_log(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "PushedFilters: [IsNotNull(o_orderpriority), IsNotNull(o_orderdate), EqualTo(o_orderpriority,1-URGENT)" in plan
+    assert "GreaterThan(o_orderdate," in plan and "LessThan(o_orderdate," in plan
 
 
 def test_order_documents_explicit(spark, scratch):
