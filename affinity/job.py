@@ -14,10 +14,12 @@ from pyspark.sql import SparkSession
 from affinity.operators.engagement import engagement_ratings, engagement_ratings_explicit
 from affinity.operators.purchase import purchase_preferences, purchase_ratings_explicit
 from affinity.sinks import SINKS, write_engagement, write_purchase
+from affinity.sources.orderlog import read_log_lines
 from affinity.sources.readers import SOURCE_KINDS, read_source
 
 ALGORITHMS = ("EPREF", "NPREF")
 RATINGS = ("explicit", "implicit")
+LOG = "LOG"
 
 
 @dataclass(frozen=True)
@@ -31,6 +33,10 @@ class PreferenceRequest:
     output: str = ""
     source_args: dict = field(default_factory=dict)
     scores: object = None  # score table for EPREF: None (default), path, rows or DataFrame
+    # Source LOG (purchases from the order-item log): one site and an open time interval.
+    site: object = None
+    startdate: object = None
+    enddate: object = None
 
     def validate(self) -> None:
         """Raise ``ValueError`` naming the first bad argument."""
@@ -40,8 +46,14 @@ class PreferenceRequest:
             raise ValueError("missing name")
         if self.algorithm not in ALGORITHMS:
             raise ValueError(f"unknown algorithm '{self.algorithm}', expected one of {ALGORITHMS}")
-        if self.source.upper() not in SOURCE_KINDS:
-            raise ValueError(f"unknown source '{self.source}', expected one of {SOURCE_KINDS}")
+        if self.source.upper() not in (*SOURCE_KINDS, LOG):
+            raise ValueError(f"unknown source '{self.source}', expected one of {(*SOURCE_KINDS, LOG)}")
+        if self.source.upper() == LOG:
+            if (self.algorithm, self.rating) != ("NPREF", "implicit"):
+                raise ValueError("the order-item log gives implicit purchases (NPREF) only")
+            for name in ("site", "startdate", "enddate"):
+                if getattr(self, name) is None:
+                    raise ValueError(f"missing {name}")
         if self.rating not in RATINGS:
             raise ValueError(f"unknown rating '{self.rating}', expected one of {RATINGS}")
         if self.sink.upper() not in SINKS:
@@ -54,7 +66,11 @@ def build(request: PreferenceRequest, spark: SparkSession) -> dict[int, str]:
     """Validate, read, compute and write; returns the written paths by table number."""
     request.validate()
     explicit = request.rating == "explicit"
-    data = read_source(spark, request.algorithm, request.source, explicit, **request.source_args)
+    if request.source.upper() == LOG:
+        data = read_log_lines(spark, site=request.site, start=request.startdate, end=request.enddate,
+                              **request.source_args)
+    else:
+        data = read_source(spark, request.algorithm, request.source, explicit, **request.source_args)
     if request.algorithm == "NPREF":
         prefs = purchase_ratings_explicit(data) if explicit else purchase_preferences(data)
         return {1: write_purchase(prefs, request.output, request.name, request.uid, request.sink)}

@@ -12,7 +12,7 @@ import xml.etree.ElementTree as ET
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,9 +81,9 @@ class FieldSpec:
         return FieldSpec(fields)
 
     @staticmethod
-    def load(path: str) -> "FieldSpec":
-        with open(path, encoding="utf-8") as fh:
-            return FieldSpec.from_xml(fh.read())
+    def load(path: str, spark: SparkSession) -> "FieldSpec":
+        """Read a spec file from any storage Spark reads."""
+        return FieldSpec.from_xml(spark.read.text(path, wholetext=True).first()[0])
 
 
 def default_spec(algorithm: str, explicit: bool) -> FieldSpec:

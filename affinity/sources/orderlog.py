@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinity.sources.fieldspec import FieldSpec
+from affinity.sources.readers import jdbc_options, map_orders
 
 # Columns of the order-item log, in order.
 LOG_ITEM_FIELDS = ["idsite", "idvisitor", "server_time", "idorder", "idaction_sku", "price", "quantity", "deleted"]
@@ -32,10 +33,18 @@ def order_item_log(log: DataFrame, site, start, end, drop_deleted: bool = False)
     return log.where(cond).select(*LOG_ITEM_FIELDS)
 
 
+def log_options(url: str, table: str, start, end, partitions: int, properties: dict | None = None) -> dict[str, str]:
+    """JDBC options of a log read: its time interval is cut into ``partitions`` strides of the server time."""
+    return jdbc_options(url, table, properties, "server_time", start, end, partitions)
+
+
 def read_order_item_log(spark, url: str, table: str, site, start, end, properties: dict | None = None,
-                        drop_deleted: bool = False) -> DataFrame:
-    """The log table over JDBC; the filter reaches the database as a WHERE clause."""
-    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table)
-    for key, value in (properties or {}).items():
-        reader = reader.option(key, value)
-    return order_item_log(reader.load(), site, start, end, drop_deleted)
+                        drop_deleted: bool = False, partitions: int = 16) -> DataFrame:
+    """The log table over JDBC, read in strides of the server time; the filter reaches the database as a WHERE clause."""
+    log = spark.read.format("jdbc").options(**log_options(url, table, start, end, partitions, properties)).load()
+    return order_item_log(log, site, start, end, drop_deleted)
+
+
+def read_log_lines(spark, url: str, table: str, site, start, end, **options) -> DataFrame:
+    """The log as purchase lines, ready for the purchase preferences."""
+    return map_orders(read_order_item_log(spark, url, table, site, start, end, **options), LOG_LINE_SPEC)

@@ -96,17 +96,25 @@ def read_orders_parquet(spark: SparkSession, path: str, spec: FieldSpec | None =
 
 # ---------------------------------------------------------------- JDBC
 
-def _read_jdbc(spark: SparkSession, url: str, table: str, properties: dict | None,
-               partition_column: str | None, lower_bound, upper_bound, num_partitions: int | None) -> DataFrame:
-    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table)
-    for key, value in (properties or {}).items():
-        reader = reader.option(key, value)
-    if partition_column is not None:
-        # Parallel read: one query per stride of the partition column.
-        reader = (reader.option("partitionColumn", partition_column)
-                  .option("lowerBound", str(lower_bound)).option("upperBound", str(upper_bound))
-                  .option("numPartitions", str(num_partitions or 1)))
-    return reader.load()
+def jdbc_options(url: str, table: str, properties: dict | None = None, partition_column: str | None = None,
+                 lower_bound=None, upper_bound=None, num_partitions: int | None = None) -> dict[str, str]:
+    """Reader options of a JDBC read: one query per stride of ``partition_column``.
+
+    A read by one task must be asked for (``num_partitions=1``); without that,
+    the partition column, its bounds and the number of partitions are required.
+    """
+    options = {"url": url, "dbtable": table, **{k: str(v) for k, v in (properties or {}).items()}}
+    if num_partitions == 1 and partition_column is None:
+        return options
+    if partition_column is None or lower_bound is None or upper_bound is None or not num_partitions:
+        raise ValueError("a JDBC read needs partition_column, lower_bound, upper_bound and num_partitions, "
+                         "or num_partitions=1 for a read by one task")
+    return {**options, "partitionColumn": partition_column, "lowerBound": str(lower_bound),
+            "upperBound": str(upper_bound), "numPartitions": str(num_partitions)}
+
+
+def _read_jdbc(spark: SparkSession, *args) -> DataFrame:
+    return spark.read.format("jdbc").options(**jdbc_options(*args)).load()
 
 
 def read_events_jdbc(spark: SparkSession, url: str, table: str, spec: FieldSpec | None = None,
@@ -136,7 +144,8 @@ def _read_documents(spark: SparkSession, source, spec: FieldSpec, map_column: st
     if isinstance(source, DataFrame):
         if map_column is not None:
             return source.select(*[F.col(f"`{map_column}`").getItem(k).alias(k) for k in keys])
-        return source.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in keys])
+        # (explicit ratings need no order; a required field that is missing fails in the mapping)
+        return source.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in keys if c in source.columns])
     schema = T.StructType([T.StructField(c, T.StringType()) for c in dict.fromkeys(spec.sources())])
     return spark.read.schema(schema).option("mode", "FAILFAST").json(source)
 

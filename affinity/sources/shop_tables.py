@@ -74,7 +74,3 @@ def order_item_log_source(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_partkey").alias("idaction_sku"), F.col("l_extendedprice").alias("price"),
         F.col("l_quantity").alias("quantity"), (F.col("l_returnflag") == "R").alias("deleted"),
     ).select(*LOG_ITEM_FIELDS)
-
-
-def events_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events")
