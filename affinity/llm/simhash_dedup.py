@@ -82,6 +82,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 # ------------------------------------------------------------------ keys
 
+def _ones(width: int) -> int:
+    """A signed 64-bit number with the lowest ``width`` bits set."""
+    return (1 << width) - 1 if width < BITS else -1
+
+
 def _cuts(width: int, parts: int) -> list[tuple[int, int]]:
     """(shift, width) of ``parts`` nearly equal blocks of ``width`` bits."""
     edges = [width * k // parts for k in range(parts + 1)]
@@ -92,12 +97,12 @@ def block_keys(fp, max_distance: int) -> list:
     """The ``(max_distance + 1)**2`` key columns (strings of table, outer and inner block)."""
     keys = []
     for at, wide in _cuts(BITS, max_distance + 1):
-        outer = F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << wide) - 1))
-        low = fp.bitwiseAND(F.lit((1 << at) - 1))
+        outer = F.shiftrightunsigned(fp, at).bitwiseAND(F.lit(_ones(wide)))
+        low = fp.bitwiseAND(F.lit(_ones(at)))
         high = F.shiftrightunsigned(fp, at + wide) if at + wide < BITS else F.lit(0).cast("long")
         rest = F.shiftleft(high, at).bitwiseOR(low)
         for inner_at, inner_wide in _cuts(BITS - wide, max_distance + 1):
-            inner = F.shiftrightunsigned(rest, inner_at).bitwiseAND(F.lit((1 << inner_wide) - 1))
+            inner = F.shiftrightunsigned(rest, inner_at).bitwiseAND(F.lit(_ones(inner_wide)))
             keys.append(F.struct(F.lit(len(keys)).alias("t"), outer.alias("a"), inner.alias("b")))
     return keys
 
