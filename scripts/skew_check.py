@@ -1,4 +1,4 @@
-"""One user holding every row: does the sequence pass split it, and stay exact?
+"""One user holding every row: does the sequence pass split it, and stay exact?  (Joins: tests/test_skew.py.)
 
     python scripts/skew_check.py [sf_dir] [partitions]
 
@@ -20,6 +20,7 @@ from pyspark.sql import Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from affinity.catalog import lines_one_shop  # noqa: E402
+from affinity.plans.materialize import materialize  # noqa: E402
 from affinity.plans.sequence import _ranged, sequence  # noqa: E402
 from affinity.session import local_session  # noqa: E402
 
@@ -31,7 +32,7 @@ def main():
     spark.sparkContext.setLogLevel("ERROR")
     hot = (lines_one_shop(spark, sf).select(F.lit("hot").alias("user"), "timestamp", "item")
            .withColumn("rid", F.monotonically_increasing_id()))
-    hot = hot.checkpoint()
+    hot = materialize(hot)
     keys = ["user", "timestamp", "item"]
     spread = (_ranged(hot, keys, partitions, "rid").groupBy(F.spark_partition_id().alias("p")).count()
               .agg(F.count("*").alias("partitions"), F.max("count").alias("largest"), F.sum("count").alias("rows"))
