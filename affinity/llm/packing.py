@@ -32,10 +32,10 @@ from affinity.plans.materialize import materialize
 
 CAPACITY = 1024
 END_ID = 2
-CELL_ITEMS = 4096
+CELL_ITEMS = 16384
 ISLANDS = 2
 EPOCHS = 2
-GENERATIONS = 12
+GENERATIONS = 24
 POPULATION = 4
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
