@@ -10,21 +10,18 @@ are bucketed by the join key, a batch never makes the history shuffle again.
 
 from __future__ import annotations
 
-import uuid
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinity.llm.shared import BLANKS, ascii_lower, read_documents, stored
-from affinity.session import checkpoint_dir
+from affinity.llm.shared import BLANKS, ascii_lower, read_documents, stored, stored_in_buckets
 
 KEY = ["k1", "k2"]
 MIN_CHARS = 20
 MIN_DOCS = 3
 BATCHES = 4
 FAN_OUT = 2
-BUCKETS = 24
 
 
 class Run(NamedTuple):
@@ -37,17 +34,15 @@ class Run(NamedTuple):
 class LineRuns:
     """Levelled sorted runs ``(k1, k2, n, hi)``; every table is written once and never changed."""
 
-    def __init__(self, spark: SparkSession, fan_out: int = FAN_OUT, buckets: int = BUCKETS):
-        self.spark, self.fan_out, self.buckets = spark, fan_out, buckets
+    def __init__(self, spark: SparkSession, fan_out: int = FAN_OUT, buckets: int | None = None):
+        # As many buckets as shuffles have partitions: sums and joins by key come out in buckets already.
+        self.spark, self.fan_out = spark, fan_out
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[Run]] = []
         self.updates: list[Run] = []
 
     def _run(self, rows: DataFrame) -> Run:
-        name = f"line_run_{uuid.uuid4().hex}"
-        path = f"{checkpoint_dir(self.spark)}/{name}"
-        rows.repartition(self.buckets, *KEY).write.option("path", path) \
-            .option("compression", "zstd").bucketBy(self.buckets, *KEY).sortBy(*KEY).saveAsTable(name)
-        return Run(self.spark.table(name), path)
+        return Run(*stored_in_buckets(rows, "line_run", self.buckets, KEY))
 
     def _rows(self, runs: list[Run]) -> DataFrame:
         # The files are read without their buckets here: a union of bucketed scans claims a
@@ -70,7 +65,7 @@ class LineRuns:
         self.levels[0].append(own)
         for at in range(len(self.levels)):
             if len(self.levels[at]) >= self.fan_out:
-                merged = self._run(self._rows(self.levels[at]))  # no key is in two runs
+                merged = self._run(self._rows(self.levels[at]).repartition(self.buckets, *KEY))  # no key is in two runs
                 self.levels[at] = []
                 if at + 1 == len(self.levels):
                     self.levels.append([])
@@ -99,7 +94,7 @@ def line_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
                   min_docs: int = MIN_DOCS, batches: int = BATCHES, fan_out: int = FAN_OUT,
-                  buckets: int = BUCKETS) -> DataFrame:
+                  buckets: int | None = None) -> DataFrame:
     """``(doc_id, text_key, drops)``: positions of the lines that go, per document that loses any."""
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
     keyed = stored(line_keys(docs, id_col, text_col, min_chars).withColumn("batch", batch), "lines", partition_by="batch")

@@ -41,6 +41,22 @@ def stored(df: DataFrame, label: str, partition_by: str | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_in_buckets(df: DataFrame, label: str, buckets: int, keys: list[str]) -> tuple[DataFrame, str]:
+    """Write ``df`` once in the shared checkpoint folder, bucketed and sorted by ``keys``.
+
+    Returns the table, whose joins and groups by ``keys`` need no shuffle of its
+    rows, and the folder of its files.  The name it needs while it is written is
+    taken off the catalog again; the files stay.
+    """
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/{name}"
+    df.write.option("path", path).option("compression", "zstd").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table, path
+
+
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """Connected components of the undirected ``edges``: one row ``(node, root)`` per node.
 
