@@ -25,7 +25,6 @@ The automaton grows with the corpus, so no task holds it whole:
 from __future__ import annotations
 
 import math
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinity.llm.shared import read_documents, stored
-from affinity.session import checkpoint_dir
+from affinity.llm.shared import read_documents, stored, stored_in_buckets
 
 #: Added to every count of the unigram level.
 PRIOR = 0.1
@@ -193,16 +191,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts.  Repeated rows count and are scored each.  ``base_score`` is the root's
     score alone.  An empty table gives no rows.  Other columns are not read.
     """
-    spark = docs.sparkSession
     size = docs.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 1)).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
-    name = f"blocks_{uuid.uuid4().hex}"
-    docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"),
-                F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("text"),
-                F.pmod(F.xxhash64(id_col, F.xxhash64(text_col)), F.lit(blocks)).cast("int").alias("block")) \
-        .repartition(blocks, "block").write.option("path", f"{checkpoint_dir(spark)}/{name}") \
-        .option("compression", "zstd").bucketBy(blocks, "block").saveAsTable(name)
-    texts = spark.table(name)
+    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"),
+                         F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("text"),
+                         F.pmod(F.xxhash64(id_col, F.xxhash64(text_col)), F.lit(blocks)).cast("int").alias("block"))
+    texts, _ = stored_in_buckets(dealt.repartition(blocks, "block"), "blocks", blocks, ["block"])
     answers = stored(totals(listings(texts, blocks)), "totals")
     seen = answers.where(F.col("kind") == WORDS).agg(F.sum("tokens"), F.sum("different")).first()
     return scored(texts, answers, blocks, seen[0] or 0, seen[1] or 0, prior, successors, growth)

@@ -22,16 +22,13 @@ with one minimiser form a *super-k-mer*.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinity.llm.shared import read_documents, stored
-from affinity.session import checkpoint_dir
+from affinity.llm.shared import read_documents, stored, stored_in_buckets
 
 WIDTH = 50
 GRAM = 8
@@ -102,12 +99,8 @@ def _signed(values: np.ndarray) -> pa.Array:
 
 def bucketed(source: DataFrame) -> DataFrame:
     """Store the texts once, bucketed by doc_id: joins on doc_id then move only their other side."""
-    spark = source.sparkSession
-    name = f"texts_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    source.repartition(buckets, "doc_id").write.option("path", f"{checkpoint_dir(spark)}/{name}") \
-        .option("compression", "zstd").bucketBy(buckets, "doc_id").sortBy("doc_id").saveAsTable(name)
-    return spark.table(name)
+    buckets = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored_in_buckets(source.repartition(buckets, "doc_id"), "texts", buckets, ["doc_id"])[0]
 
 
 def document_minimisers(source: DataFrame, width: int, gram: int) -> DataFrame:
