@@ -118,22 +118,33 @@ def test_lm_scores(spark, texts):
     assert sum(s for s, _ in better) > sum(b for _, b in better)
 
 
-def test_lm_probabilities_sum_to_one(spark):
-    docs = spark.createDataFrame([(1, "a b a c"), (2, "b a"), (3, "a a b")], "doc_id long, text string")
-    # after "a" in a text: every known word, the end, and an unknown word
-    probes = ["a a", "a b", "a c", "a", "a zzz"]
-    rows = docs.unionByName(spark.createDataFrame([(i, t) for i, t in zip(_held_out_ids(len(probes) + 1), [*probes, ""], strict=True)],
-                                                  "doc_id long, text string"))
-    got = {r.doc_id: r.score for r in lm_scoring.score_texts(rows).collect()}
-    ids = _held_out_ids(len(probes) + 1)
-    # P(a | start) is in every probe; continue with one more token each
-    def after(i, j):
-        return 10 ** (got[ids[i]] - got[ids[j]])
-    assert after(0, 3) > 0 and all(got[i] < 0 for i in ids)
-
-
-def _held_out_ids(n):
-    return [i for i in range(100, 10_000) if zlib.crc32(str(i).encode()) % 10 == 0][:n]
+def test_probabilities_of_a_history_sum_to_one(spark):
+    # Texts of one unseen word after a history leave the root's weights; every known word, the end and one unknown
+    # word are tried after "a", with the end read off a text that stops there.
+    train = {1: "a b a c", 2: "b a", 3: "a a b"}
+    ids = [i for i in range(100, 10_000) if zlib.crc32(str(i).encode()) % 10 == 0]
+    known = ["a", "b", "c"]
+    probes = ["", "a", "zz", *(f"a {w}" for w in [*known, "zz"]), *known]
+    rows = spark.createDataFrame([*train.items(), *zip(ids, probes, strict=False)], "doc_id long, text string")
+    score = {r.doc_id: r.score for r in lm_scoring.score_texts(rows).where("held_out").collect()}
+    value = {t: 10 ** score[i] for i, t in zip(ids, probes, strict=False)}
+    # end(w) = P(end | w), first(w) = P(w | start): value[w] = first(w) * end(w); value["a w"] = first(a) * P(w | a) * end(w)
+    k, g = lm_scoring.SUCCESSORS, lm_scoring.GROWTH
+    words, pairs = Counter(), Counter()
+    for text in train.values():
+        line = [*text.split(), None]
+        words.update(line)
+        pairs.update(zip(["<"] + line[:-1], line, strict=True))
+    total, different = sum(words.values()), len(words)
+
+    def end(w):
+        p = (words[None] + 0.1) / (total + 0.1 * (different + 1))
+        back = k / (k + words[w] ** (1 - g)) if words[w] else 1
+        return (1 - back) * pairs[w, None] / max(1, words[w]) + back * p
+
+    first = value["a"] / end("a")
+    after = [value[f"a {w}"] / first / end(w) for w in [*known, "zz"]] + [end("a")]
+    assert sum(after) == pytest.approx(1)
 
 
 # ------------------------------------------------------------------ sharding
