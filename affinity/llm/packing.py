@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinity.llm.shared import read_documents, stored
+from affinity.llm.shared import read_documents, small_batches, stored
 from affinity.plans.materialize import materialize
 
 CAPACITY = 1024
@@ -67,7 +67,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
 
     def run(batches):
         encoder = load_encoder(path)
-        for batch in batches:
+        for batch in small_batches(batches):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.append(encoder.encode_to_numpy(text or "", disallowed_special=()), end_id).astype("<u4")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinity.llm.shared import read_documents
+from affinity.llm.shared import read_documents, small_batches
 
 #: Kinds of spans, in the order of the contract (fixed values).
 KINDS = ("email", "ip", "card", "phone")
@@ -233,7 +233,7 @@ def tagged_spans(run: list, tags: list[int], text: str):
 def labelled_table(docs: DataFrame, id_col: str, text_col: str, lines: int) -> list:
     """At most ``lines`` runs of active words with their rule tags, those of the smallest hashes (bounded, on the driver)."""
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             feats, tags = [], []
             for text in batch.column(0).to_pylist():
                 spans = rule_spans(text)
@@ -266,7 +266,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             base = [rule_spans(t) for t in texts]
             found = [[(a, k, b, True) for a, k, b in spans] for spans in base]

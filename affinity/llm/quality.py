@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinity.llm.shared import read_documents
+from affinity.llm.shared import read_documents, small_batches
 from affinity.plans.materialize import materialize
 
 FEATURES = 1 << 16
@@ -83,7 +83,7 @@ def class_counts(labelled: DataFrame) -> DataFrame:
     """``(feature, bad, good)`` over all rows of ``labelled`` ``(text, y)``, plus feature -1 with the row counts."""
     def run(batches):
         counts = np.zeros((FEATURES + 1, 2), np.int64)
-        for batch in batches:
+        for batch in small_batches(batches):
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 counts[text_features(text), y] += 1
                 counts[FEATURES, y] += 1
@@ -159,7 +159,7 @@ def train(labelled: DataFrame, sample: DataFrame, cost: float = COST, rounds: in
     scale = ratios(counts[:FEATURES], size)
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             feats = [text_features(t).astype("<i4").tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(feats, pa.binary()), batch.column(2)],
                                              names=["doc_id", "f", "y"])
@@ -191,7 +191,8 @@ def scores(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     def score(texts: pa.Array) -> pa.Array:
         m = shared.value
         a, b = m["curve"]
-        margins = np.array([_margin(text_features(t), m["weights"], m["scale"]) for t in texts.to_pylist()])
+        # (one text as an object at a time)
+        margins = np.array([_margin(text_features(t.as_py()), m["weights"], m["scale"]) for t in texts])
         return pa.array(1 / (1 + np.exp(-np.clip(a * margins + b, -30, 30))))
 
     return docs.withColumn("__score", score(F.col(text_col).cast("binary")))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinity.llm.shared import components
+from affinity.llm.shared import components, small_batches, stored
 from affinity.plans.materialize import materialize
 
 BITS = 64
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     doc_id.  Null and empty texts get fingerprint 0.
     """
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = batch.column(2).to_pylist()
             fps = pa.array([fingerprint(t, shingle) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps], names=["doc_id", "text_key", "fp"])
@@ -234,7 +234,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left") \
         .select("fp", "first", F.coalesce("root", "fp").alias("root"))
     heads = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marked.join(placed.join(heads, "root").select("fp", "component_id"), "fp")
+    # Stored, so that the join shuffles both sides itself and Spark can split a fingerprint with very many copies.
+    found = stored(placed.join(heads, "root").select("fp", "component_id"), "components")
+    return marked.join(found, "fp")
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
@@ -250,11 +252,13 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # without an id the fingerprint stands for the group
     group = F.when(F.col("component_id").isNull(), F.col("fp"))
     best = heads.groupBy("component_id", group.alias("g")).agg(F.min("k").alias("k"))
-    keepers = best.select(F.col("k.doc_id").alias("__id"), F.col("k.text_key").alias("__key")).distinct()
-    rows = docs.withColumns({"__id": F.col(id_col).cast("long"), "__key": F.xxhash64(text_col)})
-    kept = rows.join(keepers.withColumnsRenamed({"__id": "__kid", "__key": "__kkey"}),
-                     F.col("__id").eqNullSafe(F.col("__kid")) & (F.col("__key") == F.col("__kkey")), "left_semi")
-    return kept.dropDuplicates(["__id", "__key"]).drop("__id", "__key")
+    # Keys without nulls: the semi-join and the last step share one partitioning, so texts move once.
+    key = ["__nil", "__id", "__key"]
+    keepers = best.select(F.col("k.doc_id").isNull().alias("__nil"), F.coalesce("k.doc_id", F.lit(0)).alias("__id"),
+                          F.col("k.text_key").alias("__key")).distinct()
+    own = F.col(id_col).cast("long")
+    rows = docs.withColumns({"__nil": own.isNull(), "__id": F.coalesce(own, F.lit(0)), "__key": F.xxhash64(text_col)})
+    return rows.join(keepers, key, "left_semi").dropDuplicates(key).drop(*key)
 
 
 def op1_simhash_dedup(spark, sf_dir):

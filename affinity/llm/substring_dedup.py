@@ -28,14 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinity.llm.shared import read_documents, stored, stored_in_buckets
+from affinity.llm.shared import read_documents, small_batches, stored, stored_in_buckets
 
 WIDTH = 50
 GRAM = 8
 #: Windows in one packed string at most (periodic texts have long runs of one minimiser).
 RUN = 64
 #: Different strings of one bucket in a task at a time.
-BUCKET_STRINGS = 4096
+BUCKET_STRINGS = 1024
 CACHE_WORDS = 200_000
 BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -107,7 +107,7 @@ def document_minimisers(source: DataFrame, width: int, gram: int) -> DataFrame:
     """Distinct ``(doc_id, h)`` of each text."""
     def run(batches):
         cache = WordHashes()
-        for batch in batches:
+        for batch in small_batches(batches):
             found = [np.unique(window_minimisers(_hashes((t or b"").split(), cache), width, gram))
                      for t in batch.column(1).to_pylist()]
             times = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
@@ -125,7 +125,7 @@ def listed_strings(flagged: DataFrame, width: int, gram: int) -> DataFrame:
 
     def run(batches):
         cache = WordHashes()
-        for batch in batches:
+        for batch in small_batches(batches):
             for doc, key, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = (text or b"").split()
                 low = window_minimisers(_hashes(words, cache), width, gram).view(np.int64)
@@ -148,7 +148,7 @@ def packed_strings(chosen: DataFrame, width: int) -> DataFrame:
     names = ["h", "k1", "k2", "packed", "low", "n"]
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             for doc, key, text, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = (text or b"").split()
                 rows = [(p["h"], p["k1"], p["k2"], b" ".join(words[p["at"]:p["at"] + p["n"] + width - 1]), doc, p["strings"])
@@ -273,7 +273,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     both = [texts.join(marks, "doc_id", "left").select("doc_id", "text_key", "text", "marks"), bare]
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             counts, gone, kept = [], [], []
             for doc, key, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = (text or b"").split()
