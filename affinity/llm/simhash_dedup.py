@@ -248,10 +248,10 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     only null ids keeps its row of the smallest text hash.
     """
     groups = simhash_groups(docs, id_col, text_col, shingle, max_distance)
-    heads = groups.groupBy("fp", "component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("k"))
-    # without an id the fingerprint stands for the group
+    # (without an id the fingerprint stands for the group; summed before the shuffle, however large the group)
     group = F.when(F.col("component_id").isNull(), F.col("fp"))
-    best = heads.groupBy("component_id", group.alias("g")).agg(F.min("k").alias("k"))
+    best = groups.groupBy("component_id", group.alias("g")).agg(
+        F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("k"))
     # Keys without nulls: the semi-join and the last step share one partitioning, so texts move once.
     key = ["__nil", "__id", "__key"]
     keepers = best.select(F.col("k.doc_id").isNull().alias("__nil"), F.coalesce("k.doc_id", F.lit(0)).alias("__id"),
