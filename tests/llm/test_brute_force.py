@@ -277,6 +277,28 @@ def test_copies_and_norms(spark):
         assert [v for _, v in sorted(got[q])] == expected
 
 
+@pytest.mark.parametrize("norms", ["one long vector", "spread", "extreme"])
+def test_recall_with_unequal_norms(spark, norms):
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(6000, 64))
+    vectors /= np.sqrt((vectors * vectors).sum(1, keepdims=True))
+    if norms == "spread":
+        vectors *= rng.lognormal(0, 0.5, (6000, 1))
+    vectors[7] *= 10
+    if norms == "extreme":  # the square of the longest one is no double
+        vectors = np.concatenate([vectors * 1e-100, [[1e160, *[0.0] * 63]]])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in nearest.nearest(df, F.col("vec_id") % 50 == 1).collect():
+        got[r.query_id].add(r.vec_id)
+    found = 0
+    for q in range(1, 6000, 50):
+        score = vectors @ vectors[q]
+        score[q] = -np.inf
+        found += len(got[q] & set(np.argsort(-score, kind="stable")[:20].tolist()))
+    assert found / (20 * 120) >= 0.95
+
+
 # ------------------------------------------------------------------ personal data
 
 EMAIL, IP, CARD, PHONE = map(re.compile, (
