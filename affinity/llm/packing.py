@@ -46,8 +46,24 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Ids of the added tokens that the tokenizer's JSON beside the rank file lists; none if there is no such file."""
+    import json
+    import os
+
+    path = path.removesuffix(".tiktoken") + ".json"
+    if not os.path.exists(path):
+        return {}
+    with open(path, encoding="utf-8") as file:
+        listed = json.load(file)["added_tokens"]
+    for token in listed:
+        if token["single_word"] or token["lstrip"] or token["rstrip"] or token["normalized"]:
+            raise ValueError(f"added token with its own matching rules: {token}")
+    return {token["content"]: token["id"] for token in listed}
+
+
 def load_encoder(path: str):
-    """Byte-level BPE from a rank file; strings of special tokens in a text are ordinary text."""
+    """Byte-level BPE from a rank file; texts are split at the strings of the added tokens, as the JSON's tokenizer does."""
     import base64
 
     import public_tokenizers
@@ -55,7 +71,7 @@ def load_encoder(path: str):
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens(path))
 
 
 # ------------------------------------------------------------------ pieces
@@ -70,7 +86,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
         for batch in small_batches(batches):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.append(encoder.encode_to_numpy(text or "", disallowed_special=()), end_id).astype("<u4")
+                ids = np.append(encoder.encode_to_numpy(text or "", allowed_special="all"), end_id).astype("<u4")
                 cuts = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
                 for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     part = ids[lo:hi].tobytes()

@@ -403,6 +403,25 @@ def test_packing_round_trip(spark, texts):
     assert len(sequences) <= 1.02 * math.ceil(sum(r.length for r in got) / 1024) + 1
 
 
+def test_tokens_of_texts_with_added_tokens(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(12)
+    pieces = ["<|endoftext|>", "<|endoftext|>", "<|endoftext", "|>", "<", " ", "  ", "\n", "a", " word", "'s", "12", "é", "日本", "🙂", "\u00a0", "<|startoftext|>"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>", *("".join(rng.choices(pieces, k=12)) for _ in range(2000)),
+             "<|endoftext|> many words " * 700]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = defaultdict(dict)
+    for r in packing.pieces(df).collect():
+        got[r.doc_id][r.piece] = r.ids
+    for i, text in enumerate(texts):
+        ids = np.frombuffer(b"".join(got[i][k] for k in sorted(got[i])), "<u4").tolist()
+        assert ids == [*tokenizer.encode(text, add_special_tokens=False).ids, 2], text
+    assert np.frombuffer(got[0][0], "<u4").tolist() == [64, 220, 50256, 275, 2]
+
+
 def test_evolution_never_gets_worse_and_keeps_every_piece():
     rng = np.random.default_rng(1)
     lengths = rng.integers(200, 500, 300)
