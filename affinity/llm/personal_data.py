@@ -2,7 +2,10 @@
 
 The rules find e-mail addresses, IP addresses, card numbers and phone numbers.
 The field adds spans the rules miss.  It is trained here from a small labelled
-table: words of at most ``labelled_lines`` lines, labelled by the rules.  A word's
+table: about ``labelled_lines`` different runs of words of the corpus, labelled by
+the rules, dealt evenly over the kinds they hold and weighted to their numbers in
+the corpus (so copies change nothing), and the fixed lines of ``FORMS``, which hold
+forms the rules miss.  A word's
 features are its own shape and those of the words around it.  Only words that
 hold a digit or an ``@`` (*active* words) can be tagged, a constraint of the
 field itself; other words are outside every span, so each run of active words is
@@ -21,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinity.llm.shared import read_documents, small_batches
+from affinity.llm.shared import read_documents, small_batches, stored
 
 #: Kinds of spans, in the order of the contract (fixed values).
 KINDS = ("email", "ip", "card", "phone")
@@ -31,6 +34,20 @@ STEPS = 80
 #: Tags: outside, then beginning and inside of each kind.
 TAGS = 1 + 2 * len(KINDS)
 
+#: Labelled lines of forms the rules miss (spans as ``[kind:text]``), and of words that look like them.
+FORMS = [
+    *(line.replace("#", number) for line in ("call [phone:#] now", "tel [phone:#]", "Phone: [phone:#]", "my number is [phone:#]", "or [phone:#] today")
+      for number in ("(253) 555-0199", "253-555-0199", "(030) 1234567", "253.555.0199")),
+    *(line.replace("#", number) for line in ("card [card:#] please", "paid with [card:#]", "Card: [card:#]")
+      for number in ("4111.1111.1111.1111", "4111/1111/1111/1111")),
+    *(line.replace("#", name) for line in ("mail [email:#] now", "write to [email:#]", "Mail: [email:#]")
+      for name in ("root@localhost", "jane.doe@mailhost", "info9@intranet")),
+    "card 4111.1111.1111.1112 please", "paid with 4111/1111/1111/1112", "version 4.11.2 of 2024", "on 2024-05-01 at 10:30", "pages 253-255 of 300",
+    "ask @jane now", "thanks @team9", "part 253-55 and 12 more", "room (253) on floor 5", "about 1234567 items", "price 25.99 or 30.50", "in 1999",
+]
+#: Share of the labelled table's weight that the lines of ``FORMS`` have.
+FORMS_SHARE = 0.1
+
 ACTIVE = re.compile("[0-9@]")
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -150,14 +167,15 @@ def _lse(x, axis):
     return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
 
 
-def train_field(chains: list, tags: list, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Emission, transition and start weights by gradient ascent (AdaGrad) on the likelihood, forward-backward in batches."""
+def train_field(chains: list, tags: list, steps: int = STEPS, weights: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Emission, transition and start weights by gradient ascent (AdaGrad) on the likelihood (each chain with its weight), forward-backward in batches."""
+    mass = np.ones(len(chains)) if weights is None else np.array(weights, float)
     emit, move, first = np.zeros((FEATURES, TAGS)), np.zeros((TAGS, TAGS)), np.zeros(TAGS)
     grown = [np.full_like(x, 1e-6) for x in (emit, move, first)]
-    batches = [(feats, np.array([tags[k] for k in part])) for part, feats in _by_length(chains)]
+    batches = [(feats, np.array([tags[k] for k in part]), mass[part]) for part, feats in _by_length(chains)]
     for _ in range(steps):
         slope = [-1e-3 * x for x in (emit, move, first)]
-        for feats, gold in batches:
+        for feats, gold, times in batches:
             n, size, _ = feats.shape
             local = emit[feats].sum(2)
             forward = [first + local[:, 0]]
@@ -168,13 +186,13 @@ def train_field(chains: list, tags: list, steps: int = STEPS) -> tuple[np.ndarra
                 backward.insert(0, _lse(move + (local[:, t] + backward[0])[:, None, :], 2))
             whole = _lse(forward[-1], 1)
             for t in range(size):
-                gap = np.eye(TAGS)[gold[:, t]] - np.exp(forward[t] + backward[t] - whole[:, None])
+                gap = times[:, None] * (np.eye(TAGS)[gold[:, t]] - np.exp(forward[t] + backward[t] - whole[:, None]))
                 for f in range(feats.shape[2]):
                     np.add.at(slope[0], feats[:, t, f], gap)
                 if t:
                     pair = np.exp(forward[t - 1][:, :, None] + move + (local[:, t] + backward[t])[:, None, :] - whole[:, None, None])
-                    slope[1] -= pair.sum(0)
-                    np.add.at(slope[1], (gold[:, t - 1], gold[:, t]), 1)
+                    slope[1] -= (times[:, None, None] * pair).sum(0)
+                    np.add.at(slope[1], (gold[:, t - 1], gold[:, t]), times)
                 else:
                     slope[2] += gap.sum(0)
         for x, g, total in zip((emit, move, first), slope, grown, strict=True):
@@ -230,8 +248,38 @@ def tagged_spans(run: list, tags: list[int], text: str):
         at = stop
 
 
-def labelled_table(docs: DataFrame, id_col: str, text_col: str, lines: int) -> list:
-    """At most ``lines`` runs of active words with their rule tags, those of the smallest hashes (bounded, on the driver)."""
+def form_table() -> tuple[list, list]:
+    """Runs of active words of ``FORMS`` and their tags."""
+    chains, tags = [], []
+    for line in FORMS:
+        text, spans, at = "", [], 0
+        for m in re.finditer(r"\[(\w+):([^]]+)\]", line):
+            text += line[at:m.start()]
+            spans.append((len(text), KINDS.index(m[1]), len(text) + len(m[2])))
+            text, at = text + m[2], m.end()
+        text += line[at:]
+        for chain in runs(text):
+            chains.append([f for _, _, f in chain])
+            tags.append(rule_tags(chain, spans))
+    return chains, tags
+
+
+def shares(sizes: dict[int, int], lines: int) -> dict[int, int]:
+    """``lines`` dealt evenly over strata of these sizes; what a small one leaves goes to the others."""
+    out, left = {}, lines
+    for at, (key, size) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        out[key] = min(size, left // (len(sizes) - at))
+        left -= out[key]
+    return out
+
+
+def labelled_table(docs: DataFrame, id_col: str, text_col: str, lines: int) -> tuple[list, list, list]:
+    """Chains, tags and weights of at most ``lines`` different runs of active words with their rule tags (bounded, on the driver).
+
+    The strata are the sets of kinds a run holds.  Each gives the runs of its
+    smallest hashes, weighted by their counts and, if it gives only some, up to
+    the count of the whole stratum; all weights sum to ``lines``.
+    """
     def run(batches):
         for batch in small_batches(batches):
             feats, tags = [], []
@@ -241,14 +289,44 @@ def labelled_table(docs: DataFrame, id_col: str, text_col: str, lines: int) -> l
                     if len(chain) <= 16:
                         feats.append([f for _, _, f in chain])
                         tags.append(rule_tags(chain, spans))
-            yield pa.RecordBatch.from_arrays([pa.array(feats, pa.list_(pa.list_(pa.int32()))), pa.array(tags, pa.list_(pa.int32()))],
-                                             names=["features", "tags"])
+            held = [sum({1 << (t - 1) // 2 for t in row if t}) for row in tags]
+            yield pa.RecordBatch.from_arrays([pa.array(feats, pa.list_(pa.list_(pa.int32()))), pa.array(tags, pa.list_(pa.int32())),
+                                              pa.array(held, pa.int32())], names=["features", "tags", "held"])
 
-    # every text with an active word is read; the smallest hashes are a sample that does not depend on order
+    # every text with an active word is read; copies of a run are one row with their count, combined before the shuffle
     texts = docs.where(F.col(text_col).rlike("[0-9@]")).select(text_col)
-    table = texts.mapInArrow(run, "features array<array<int>>, tags array<int>")
-    key = F.xxhash64(F.to_json(F.struct("features")))
-    return table.orderBy(key, F.to_json(F.struct("tags"))).limit(lines).collect()
+    every = texts.mapInArrow(run, "features array<array<int>>, tags array<int>, held int")
+    table = stored(every.groupBy("features", "tags", "held").agg(F.count(F.lit(1)).alias("n")), "runs")
+    sizes = {r.held: r for r in table.groupBy("held").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).collect()}  # 16 at most
+    if not sizes:
+        return [], [], []
+    wanted = shares({k: r["rows"] for k, r in sizes.items()}, lines)
+    # hashes are even, so the smallest ones of a stratum are those under a bound
+    key = F.xxhash64(F.to_json(F.struct("features", "tags")))
+    bound = F.get(F.array(*(F.lit(float(2 * wanted.get(k, 0) / sizes[k]["rows"] if k in sizes else 0)) for k in range(1 << len(KINDS)))), F.col("held"))
+    some = table.withColumn("key", key).where(F.shiftrightunsigned("key", 1) / float(1 << 63) <= bound).collect()  # 2 * lines, about
+    chains, tags, weights = [], [], []
+    for held, most in sorted(wanted.items()):
+        rows = sorted((r for r in some if r.held == held), key=lambda r: (r.key, r.features, r.tags))[:most]
+        scale = sizes[held]["n"] / sum(r.n for r in rows) if rows else 0
+        chains += [[list(f) for f in r.features] for r in rows]
+        tags += [list(r.tags) for r in rows]
+        weights += [r.n * scale for r in rows]
+    total = sum(weights)
+    return chains, tags, [w * lines / total for w in weights]
+
+
+def training_table(docs: DataFrame, id_col: str, text_col: str, lines: int) -> tuple[list, list, list]:
+    """The corpus' labelled runs and those of ``FORMS``, whose tags hold where the features are equal."""
+    chains, tags = form_table()
+    known = {str(c) for c in chains}
+    weights = [FORMS_SHARE * lines / len(chains)] * len(chains)
+    for chain, own, weight in zip(*labelled_table(docs, id_col, text_col, lines), strict=True):
+        if str(chain) not in known:
+            chains.append(chain)
+            tags.append(own)
+            weights.append(weight)
+    return chains, tags, weights
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -259,9 +337,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     touch no base span.  Null and empty texts have none; null ids stay null;
     repeated rows repeat their result.  Other columns are not read.
     """
-    table = labelled_table(docs, id_col, text_col, labelled_lines)
-    chains = [[list(f) for f in r.features] for r in table]
-    field = train_field(chains, [list(r.tags) for r in table], steps) if chains else None
+    chains, tags, weights = training_table(docs, id_col, text_col, labelled_lines)
+    field = train_field(chains, tags, steps, weights)
     shared = docs.sparkSession.sparkContext.broadcast(field)  # fixed size
     kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 
@@ -271,7 +348,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             base = [rule_spans(t) for t in texts]
             found = [[(a, k, b, True) for a, k, b in spans] for spans in base]
             owned = [(d, chain) for d, text in enumerate(texts) if ACTIVE.search(text) for chain in runs(text)]
-            if shared.value is not None and owned:
+            if owned:
                 best = viterbi([[f for _, _, f in chain] for _, chain in owned], shared.value)
                 for (d, chain), tags in zip(owned, best, strict=True):
                     for a, k, b in tagged_spans(chain, tags, texts[d]):

@@ -374,6 +374,27 @@ def test_field_learns_what_the_rules_show():
     assert personal_data.viterbi(chains, field) == tags
 
 
+def test_copies_of_lines_change_nothing(spark):
+    # few lines hold each kind, the others are many different ones; then a thousand copies of all, with one hotter still
+    kinds = ["mail a.b@c.org now", "host 10.1.2.3 is up", "card 4111 1111 1111 1111 ok", "call +1 (253) 555-0199 now"]
+    plain = [f"{a} {'9' * k}{m} {b}" for a in ("item", "Row", "the") for b in ("of", "Of", "IN", "x.") for k in range(1, 6) for m in ("", "-", "/", "a", "%")]
+    one = spark.createDataFrame(list(enumerate(kinds + plain)), "doc_id long, text string")
+    many = one.crossJoin(spark.range(1000).select()).unionByName(one.limit(1).crossJoin(spark.range(1000).select()))
+    table = personal_data.labelled_table(one, "doc_id", "text", 120)
+    copied = personal_data.labelled_table(many, "doc_id", "text", 120)
+    assert copied[:2] == table[:2] and 60 < len(table[0]) <= 120
+    for held in (table, copied):
+        assert {(t - 1) // 2 for tags in held[1] for t in tags if t} == set(range(4)) and sum(held[2]) == pytest.approx(120)
+    missed = {"call (253) 555-0147 now": "phone:5:19", "card 4012.8888.8888.1881 please": "card:5:24", "write to jane.roe@mailhost": "email:9:26",
+              "card 4012.8888.8888.1882 please": "", "on 2023-04-05 at 11:20": ""}
+    assert not any(personal_data.rule_spans(t) for t in missed)
+    asked = spark.createDataFrame([(1000 + k, t) for k, t in enumerate(missed)], one.schema)
+    for docs in (one, many):
+        got = personal_data.find_personal_data(docs.unionByName(asked)).where("doc_id >= 1000")
+        got = got.select("doc_id", personal_data.spans_text(F.col("spans")).alias("spans")).collect()
+        assert [r.spans for r in sorted(got)] == list(missed.values())
+
+
 # ------------------------------------------------------------------ packing
 
 def test_packing_round_trip(spark, texts):
