@@ -8,7 +8,8 @@ repeats) of at least ``similarity``.
    can be similar, and sliding a window to the right up to its next shared
    shingle loses nothing; so windows start at shared shingles (or end with the
    text).  No other window can be better.
-2. *SimHash* of every such window and of every item: 64 bits by majority vote.
+2. *SimHash* of every such window and of every item: 64 bits by majority vote of its
+   shingles, repeated ones numbered, so that each has a vote of its own.
 3. *Multi-index Hamming blocks.*  Fingerprints within ``radius`` bits differ in
    at most ``radius // blocks`` bits on one of the blocks; items are listed under
    every value within that distance of their blocks, windows look up their own
@@ -65,8 +66,8 @@ def numbered(hashes):
 
 
 def simhash(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys`` and ``fp``: the fingerprint of each row's array ``hs`` (bit set if set in over half the hashes)."""
-    spread = rows.select(*keys, F.explode("hs").alias("h"))
+    """``keys`` and ``fp``: the fingerprint of each row's array ``hs``, numbered (bit set if set in over half the hashes)."""
+    spread = rows.select(*keys, F.explode(numbered(F.col("hs"))).alias("h"))
     votes = spread.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(
         F.sum(F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1))).alias(f"b{b}") for b in range(BITS)))
     bits = F.lit(0).cast("long")

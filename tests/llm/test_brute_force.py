@@ -210,6 +210,15 @@ def test_contaminations(spark):
     assert {d for d, _ in expected} >= {90002, 90003, 90005}
 
 
+def test_near_copies_with_repeated_shingles(spark):
+    rng = random.Random(14)
+    bench = {k: [f"w{rng.getrandbits(40)}" for _ in range(105)] for k in range(60)}
+    docs = {100 + k: words[:94] + [f"filler{k}"] * 11 for k, words in bench.items()}  # 90 shingles of 101 shared, one repeated 7 times
+    tables = [spark.createDataFrame([(k, " ".join(w)) for k, w in x.items()], f"{n} long, text string") for x, n in ((docs, "doc_id"), (bench, "item_id"))]
+    got = decontamination.contaminations(*tables).collect()
+    assert {(r.doc_id - 100, r.item_id): r.similarity for r in got} == {(k, k): 90 / 112 for k in bench}
+
+
 # ------------------------------------------------------------------ line dedup
 
 def test_lines_equal_sql(spark):
