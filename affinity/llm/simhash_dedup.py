@@ -220,12 +220,13 @@ def fingerprint_links(fps: DataFrame, max_distance: int = 3, piece: int = PIECE)
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                    max_distance: int = 3) -> DataFrame:
-    """Near-duplicate groups: ``(doc_id, text_key, fp, component_id)``, one row per row of ``docs``.
+    """Near-duplicate groups: ``(doc_id, text_key, fp, component_id, root)``, one row per row of ``docs``.
 
     ``component_id`` is the smallest doc_id reachable over links of at most
     ``max_distance`` differing bits, the row's own included.  Null and empty
     texts have fingerprint 0 and are linked like any other; a null doc_id never
     becomes a component id unless its group has no other (then it is null).
+    ``root`` is the group's smallest fingerprint, its own even where two groups share a component id.
     Repeated rows stay repeated.  Other columns of ``docs`` are not read.
     """
     marked = materialize(fingerprints(docs, id_col, text_col, shingle))
@@ -235,7 +236,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .select("fp", "first", F.coalesce("root", "fp").alias("root"))
     heads = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     # Stored, so that the join shuffles both sides itself and Spark can split a fingerprint with very many copies.
-    found = stored(placed.join(heads, "root").select("fp", "component_id"), "components")
+    found = stored(placed.join(heads, "root").select("fp", "component_id", "root"), "components")
     return marked.join(found, "fp")
 
 
@@ -248,9 +249,8 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     only null ids keeps its row of the smallest text hash.
     """
     groups = simhash_groups(docs, id_col, text_col, shingle, max_distance)
-    # (without an id the fingerprint stands for the group; summed before the shuffle, however large the group)
-    group = F.when(F.col("component_id").isNull(), F.col("fp"))
-    best = groups.groupBy("component_id", group.alias("g")).agg(
+    # (by the root, as a doc_id with two texts can be the smallest of two groups; summed before the shuffle, however large the group)
+    best = groups.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("k"))
     # Keys without nulls: the semi-join and the last step share one partitioning, so texts move once.
     key = ["__nil", "__id", "__key"]

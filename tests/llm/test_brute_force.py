@@ -75,6 +75,13 @@ def test_bit_sliced_links_find_every_component(spark, radius, piece):
     assert links.count() <= (radius + 1) ** 2 * len(signed)  # forests, never all pairs
 
 
+def test_groups_that_share_their_smallest_id_keep_a_row_each(spark):
+    near = " ".join(f"w{k}" for k in range(60))
+    rows = [(5, "quite another text of its own"), (5, near), (9, near.upper()), (None, "no id here at all"), (None, "NO id here at all")]
+    kept = simhash_dedup.keep_one_per_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text.lower()) for r in kept) == [(0, "no id here at all"), (5, "quite another text of its own"), (5, near)]
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(k, k + 1) for k in range(100)] + [(rng.randrange(1000, 1300), rng.randrange(1000, 1300)) for _ in range(200)] + [(5000, 5000)]
