@@ -97,9 +97,15 @@ def _blocks(fp, blocks: int, widen: int):
 def contaminated_texts(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id",
                        item_text: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY,
                        radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """``(t1, t2, item_id, start, n_words, similarity)``: each text (two hashes) and item it holds, best window."""
-    items = stored(shingled(benchmark, [F.col(item_id).cast("long").alias("item_id")], item_text, size)
-                   .where(F.size("hs") > 0).withColumn("m", F.size("hs")), "items")
+    """``(t1, t2, item_id, start, n_words, similarity)``: each text (two hashes) and item it holds, best window.
+
+    Items are searched by their text (two hashes), one row each.  Ids come last: an id with several texts gives its best
+    one, and the rows without an id are one item whose id is null.
+    """
+    item = [F.xxhash64(item_text).alias("i1"), F.xxhash64(F.lit(1), item_text).alias("i2")]
+    names = benchmark.select(F.col(item_id).cast("long").alias("item_id"), *item).distinct()
+    own = benchmark.select(*item, F.col(item_text).alias("__text")).dropDuplicates(["i1", "i2"])
+    items = stored(shingled(own, ["i1", "i2"], "__text", size).where(F.size("hs") > 0).withColumn("m", F.size("hs")), "items")
     marks = items.select(F.explode("hs").alias("h"), "m").distinct()
     text = [F.xxhash64(text_col).alias("t1"), F.xxhash64(F.lit(1), text_col).alias("t2")]
     source = shingled(docs, text, text_col, size)
@@ -119,19 +125,20 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     windows = stored(windows.dropDuplicates(["t1", "t2", "m", "start"]), "windows")
     prints = simhash(windows, ["t1", "t2", "m", "start"])
     looked = prints.select("*", F.explode(_blocks(F.col("fp"), blocks, 0)).alias("b")).select("*", "b.k", "b.v").drop("b")
-    item_prints = simhash(items, ["item_id", "m"])
-    listed = item_prints.select("item_id", "m", F.col("fp").alias("item_fp"),
+    item_prints = simhash(items, ["i1", "i2", "m"])
+    listed = item_prints.select("i1", "i2", "m", F.col("fp").alias("item_fp"),
                                 F.explode(_blocks(F.col("fp"), blocks, radius // blocks)).alias("b")) \
-        .select("item_id", "m", "item_fp", "b.k", "b.v")
+        .select("i1", "i2", "m", "item_fp", "b.k", "b.v")
     near = looked.join(listed, ["m", "k", "v"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius) \
-        .select("t1", "t2", "m", "start", "item_id").distinct()
+        .select("t1", "t2", "m", "start", "i1", "i2").distinct()
     pairs = near.join(windows, ["t1", "t2", "m", "start"]) \
-        .join(items.select("item_id", F.col("hs").alias("item_hs")), "item_id")
+        .join(items.select("i1", "i2", F.col("hs").alias("item_hs")), ["i1", "i2"])
     shared = F.size(F.array_intersect(numbered(F.col("hs")), numbered(F.col("item_hs"))))
     scored = pairs.withColumn("shared", shared).withColumn(
         "similarity", F.col("shared") / (F.size("hs") + F.size("item_hs") - F.col("shared")))
-    best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), (F.size("hs") + size - 1).alias("n_words"))).alias("best")
-    return scored.where(F.col("similarity") >= similarity).groupBy("t1", "t2", "item_id").agg(best) \
+    window = F.struct("similarity", (-F.col("start")).alias("back"), (F.size("hs") + size - 1).alias("n_words"))
+    held = scored.where(F.col("similarity") >= similarity).groupBy("t1", "t2", "i1", "i2").agg(F.max(window).alias("best"))
+    return held.join(names, ["i1", "i2"]).groupBy("t1", "t2", "item_id").agg(F.max("best").alias("best")) \
         .select("t1", "t2", "item_id", (-F.col("best.back")).alias("start"), "best.n_words", "best.similarity")
 
 
@@ -141,7 +148,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 
     ``start`` and ``n_words`` give the best window (in words; the first of equal
     ones).  Null, empty and short texts, and items of fewer than ``size`` words,
-    hold and match nothing.  Null ids stay null; repeated rows repeat their
+    hold and match nothing.  Null ids, of items too, stay null; an id with several
+    texts is found by each of them; repeated rows repeat their
     result; other columns are not read.
     """
     found = stored(contaminated_texts(docs, benchmark, text_col, **options), "contaminated")

@@ -226,6 +226,18 @@ def test_near_copies_with_repeated_shingles(spark):
     assert {(r.doc_id - 100, r.item_id): r.similarity for r in got} == {(k, k): 90 / 112 for k in bench}
 
 
+def test_items_without_an_id_or_with_a_shared_one(spark):
+    texts = [" ".join(f"{name}{k}" for k in range(30)) for name in ("a", "b", "c", "d")]
+    docs = spark.createDataFrame([(k, f"some words before {t} and after") for k, t in enumerate(texts)] + [(9, "clean words only in this one")],
+                                 "doc_id long, text string")
+    bench = spark.createDataFrame([(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (5, texts[3]), (6, texts[3]), (7, None)],
+                                  "item_id long, text string")
+    got = decontamination.contaminations(docs, bench).collect()
+    assert sorted(((r.doc_id, r.item_id) for r in got), key=str) == [(0, None), (1, None), (2, 5), (3, 5), (3, 6)]
+    assert all(r.similarity == 1 and r.start == 3 and r.n_words == 30 for r in got)
+    assert [r.doc_id for r in decontamination.decontaminated(docs, bench).collect()] == [9]
+
+
 # ------------------------------------------------------------------ line dedup
 
 def test_lines_equal_sql(spark):
