@@ -9,6 +9,8 @@ from affinity.llm.nearest import op6_nearest_neighbours
 from affinity.llm.packing import op8_best_fit_packing
 from affinity.llm.personal_data import op7_personal_data
 from affinity.llm.quality import op9_quality_classifier
+from affinity.llm.ranked_search import OP12_SQL, op12_ranked_search
+from affinity.llm.sentencepieces import op11_sentencepiece
 from affinity.llm.sharding import op3_sharding
 from affinity.llm.simhash_dedup import op1_simhash_dedup
 from affinity.llm.substring_dedup import op10_substring_dedup
@@ -24,9 +26,12 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_sentencepiece": op11_sentencepiece,
+    "op12_ranked_search": op12_ranked_search,
 }
 
 #: DuckDB SQL over the same tables; the other queries are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": OP5_SQL,
+    "op12_ranked_search": OP12_SQL,
 }
