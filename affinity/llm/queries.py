@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from affinity.llm.conversation_repair import OP13_SQL, op13_conversation_repair
 from affinity.llm.decontamination import op4_decontamination
 from affinity.llm.line_dedup import OP5_SQL, op5_line_dedup
 from affinity.llm.lm_scoring import op2_lm_scoring
@@ -28,10 +29,12 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_sentencepiece": op11_sentencepiece,
     "op12_ranked_search": op12_ranked_search,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 #: DuckDB SQL over the same tables; the other queries are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": OP5_SQL,
     "op12_ranked_search": OP12_SQL,
+    "op13_conversation_repair": OP13_SQL,
 }
