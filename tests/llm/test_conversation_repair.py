@@ -1,0 +1,175 @@
+"""Conversation repair against brute force: lattices, whole tables, segments, hot conversations, awkward rows."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import pytest
+
+from affinity.llm import conversation_repair as C
+from tests.conftest import SF_SMALL
+
+FORM = re.compile(r"(s?(ua)+)?\Z")
+SCHEMA = "conv_id long, turn long, role string, text string"
+
+
+def every_repair(rows, most):
+    """All (cost, audit, roles) within a number of insertions, by trying every edit sequence that gives a well-formed result."""
+    found = []
+
+    def go(at, done, cost, audit, inserts):
+        initials = "".join(r[0] if r else "-" for r in done)
+        if at == len(rows) and FORM.match(initials):
+            found.append((cost, audit, done))
+        if inserts:
+            for role in ("user", "assistant"):
+                go(at, [*done, role], cost + 2, audit + "I", inserts - 1)
+        if at < len(rows):
+            initial, fault = rows[at]
+            go(at + 1, done, cost + 3, audit + "D", inserts)
+            if fault not in (C.BLANK, C.DUPLICATE):
+                more = fault == C.TRUNCATED
+                go(at + 1, [*done, initial], cost + more, audit + "K", inserts)
+                for role in ("user", "assistant"):
+                    go(at + 1, [*done, role], cost + 2 + more, audit + "R", inserts)
+
+    go(0, [], 0, "", most)
+    return found
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_lattice_against_every_edit_sequence(seed):
+    rnd = random.Random(seed)
+    rows = [(rnd.choice("ssuuuaaat"), rnd.choice([0, 0, 0, 1, 2, 3])) for _ in range(rnd.randint(0, 3))]
+    assert C.cheapest(rows, C.NOTHING, C.ENDS) == min(every_repair(rows, 3))[:2]
+
+
+def labels(rows, start, ends, every=True):
+    """Cheapest labels state by state, with every equal-cost audit or the least one."""
+    held = {start: {(0, "")}}
+
+    def close(held):
+        for _ in range(3):
+            for st, some in list(held.items()):
+                held.setdefault(C.following(st), set()).update({(c + 2, a + "I") for c, a in some})
+        return {st: {x for x in some if x[0] == min(some)[0]} if every else {min(some)} for st, some in held.items()}
+
+    held = close(held)
+    for initial, fault in rows:
+        now: dict = {}
+        for st, some in held.items():
+            for c, a in some:
+                now.setdefault(st, set()).add((c + 3, a + "D"))
+                if fault not in (C.BLANK, C.DUPLICATE):
+                    now.setdefault(C.following(st), set()).add((c + 2 + (fault == C.TRUNCATED), a + "R"))
+                    if (kept := C.kept_state(st, initial)) is not None:
+                        now.setdefault(kept, set()).add((c + (fault == C.TRUNCATED), a + "K"))
+        held = close(now)
+    some = [x for e in ends if e in held for x in held[e]]
+    return min(some) if some else (-1, "")
+
+
+def test_lattice_between_any_states():
+    rnd = random.Random(7)
+    for _ in range(1500):
+        rows = [(rnd.choice("ssuuuaaat"), rnd.choice([0, 0, 0, 0, 1, 2, 3])) for _ in range(rnd.randint(0, 12))]
+        start, end = rnd.randrange(4), rnd.randrange(4)
+        assert C.cheapest(rows, start, (end,)) == labels(rows, start, (end,))
+        assert C.cheapest(rows, C.NOTHING, C.ENDS) == labels(rows, C.NOTHING, C.ENDS)
+
+
+def brute(rows):
+    """The contract in plain Python over (conv_id, turn, role, text)."""
+    out, convs = {}, {}
+    for conv, turn, role, text in rows:
+        kind = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        role = "user" if kind == 4 else role
+        convs.setdefault(conv, []).extend([(turn, role, text)] * (0 if kind == 0 else 2 if kind == 3 else 1))
+    for conv, own in convs.items():
+        own.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], hashlib.md5(r[2].encode()).hexdigest()))
+        seen, lattice = set(), []
+        for _, role, text in own:
+            body = text.strip(" \t\n\x0b\x0c\r")
+            fault = 1 if not body else 2 if (role, text) in seen else 3 if body[-1] not in ".!?" else 0
+            seen.add((role, text))
+            lattice.append((role[:1], fault))
+        turns = {t for t, _, _ in own if t is not None}
+        cost, audit = labels(lattice, C.NOTHING, C.ENDS, every=False)
+        lines, at, state = [], 0, C.NOTHING
+        for letter in audit:
+            if letter != "I":
+                turn, role, text = own[at]
+                at += 1
+            if letter == "D":
+                continue
+            if letter == "K":
+                state = C.kept_state(state, role[:1])
+                lines.append(f"{role}:{text}")
+            else:
+                state = C.following(state)
+                lines.append(("assistant:" if state == C.AFTER_A else "user:") + (text if letter == "R" else ""))
+        faults, initials = [f for _, f in lattice], [r for r, _ in lattice]
+        illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:], strict=False))
+        out[conv] = (max(turns) - min(turns) + 1 - len(turns) if turns else 0, *(faults.count(k) for k in (1, 2, 3)), illegal, cost, audit,
+                     hashlib.sha256("\n".join(lines).encode()).hexdigest())
+    return out
+
+
+def _result(found):
+    return {r.conv_id: tuple(r)[1:] for r in found.collect()}
+
+
+def test_whole_table(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF_SMALL}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    assert _result(C.op13_conversation_repair(spark, SF_SMALL)) == brute(rows)
+
+
+def _made(rnd):
+    texts = ["", " ", "Ok.", "Yes!", "no", "Why?", "cut off", None, "a.  \n", ".", "Ok. "]
+    roles = ["user", "assistant", "system", "tool", None, "", "User"]
+    rows = [(conv, turn, rnd.choice(roles[:3] * 4 + roles), rnd.choice(texts + [f"line {turn}." for _ in range(8)]))
+            for conv in (1, 2, 3, None) for turn in range(rnd.randint(0, 25)) if rnd.random() < 0.9]
+    return rows + [(9, None, "user", "x."), (9, None, None, None), (9, 5, "user", "x."), (9, 5, "user", "x."), (9, 5, "assistant", "y"), (9, 900, "user", "z!")]
+
+
+@pytest.mark.parametrize("seed,segment", [(1, 1), (2, 3), (3, 1024), (4, 7)])
+def test_segments_of_one_conversation(spark, seed, segment):
+    rows = _made(random.Random(seed))
+    df = C.damaged(spark.createDataFrame(rows, SCHEMA).repartition(5))
+    assert _result(C.repair_digests(df, C.repairs(df, segment))) == brute(rows)
+
+
+def test_hot_conversation_is_cut_into_segments(spark):
+    rnd = random.Random(8)
+    rows = [(7, t, rnd.choice(["user", "assistant"]), rnd.choice(["same.", f"own {t}.", "cut"])) for t in range(3000)]
+    rows += [(100 + t, 0, "user", "hello.") for t in range(300)]
+    df = C.damaged(spark.createDataFrame(rows, SCHEMA))
+    assert _result(C.repair_digests(df, C.repairs(df, 512))) == brute(rows)
+
+
+def test_repaired_rows_are_well_formed(spark):
+    rows = _made(random.Random(12))
+    df = C.damaged(spark.createDataFrame(rows, SCHEMA))
+    got: dict = {}
+    for r in C.repaired_rows(df, C.repairs(df)).orderBy("conv_id", "place").collect():
+        got.setdefault(r.conv_id, []).append(r)
+    want = brute(rows)
+    for conv, own in got.items():
+        assert [r.place for r in own] == list(range(len(own)))
+        assert FORM.match("".join(r.role[:1] for r in own))
+        assert hashlib.sha256("\n".join(f"{r.role}:{r.text}" for r in own).encode()).hexdigest() == want[conv][-1]
+
+
+def test_extra_columns_dropped_conversations_and_empty_tables(spark):
+    lost = next(c for c in range(1000) if zlib.crc32(f"{c}:0".encode()) % 20 == 0)
+    rows = [(lost, 0, "user", "Hi."), (lost + 1, 3, "user", "Hi.")]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS key", "2 AS copies", "3 AS nth", "'x' AS kind", "4 AS fault", "5 AS found")
+    damaged = C.damaged(df)
+    got = _result(C.repair_digests(damaged, C.repairs(damaged)))
+    assert got == brute(rows)
+    assert got[lost] == (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
+    none = C.damaged(df.where("false"))
+    assert C.repair_digests(none, C.repairs(none)).count() == 0
