@@ -38,6 +38,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from affinity.plans.heavy import dealt_join, heavy_keys
 from affinity.plans.materialize import materialize
 from affinity.plans.sequence import dense_index, sequence
 
@@ -56,9 +57,6 @@ __all__ = [
 # Fixed value: one day in milliseconds.
 DAY_MS = 86_400_000
 
-#: Parts a user's ratings are dealt over in the rated-items join.
-SALTS = 16
-
 
 def observation_interval(ratings: DataFrame) -> DataFrame:
     """Earliest and latest rating time (F1): one row ``begin, end``."""
@@ -196,10 +194,9 @@ class FeatureFrame:
     def rated_block(self) -> DataFrame:
         """per user, every rated item (duplicates kept) with weight 1/N."""
         counts = self.rows.groupBy("urow").agg(F.count(F.lit(1)).alias("_n"))
-        # A user's ratings are dealt over SALTS parts, the counts copied once per part.
-        counts = counts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        dealt = self.rows.withColumn("_salt", F.pmod("row", F.lit(SALTS)).cast("int"))
-        return (self._ctx(dealt.join(counts, ["urow", "_salt"]))
+        # The ratings of users who hold a large share of all are dealt over parts.
+        heavy = heavy_keys(self.rows, ["urow"])
+        return (self._ctx(dealt_join(self.rows, counts, ["urow"], ["row"], heavy))
                 .select(F.col("urow").alias("user_row"), (self.c + F.col("icol")).cast("long").alias("col"),
                         F.lit("context_categorical_set").alias("cat"),
                         (F.lit(1.0) / F.col("_n").cast("double")).alias("value")))

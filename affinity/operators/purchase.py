@@ -5,13 +5,13 @@ inside one order) has raw preference ``ln(1 + s/t)``.  Each raw preference is
 divided by the largest raw preference of that item over all users and sites,
 times 5, rounded half up: an integer 0..5 where the item's keenest buyer gets 5.
 
-Plan shape: two partial aggregates over the lines (support per user and item,
-order count per user), one join on the user, one aggregate per item (partial, so
-a hot item is combined map-side), and one join on the item.  Both joins are
-salted: the large side is dealt over ``salts`` parts of a key by the other half
-of its identity, and the one-row-per-key side is copied once per part, so a user
-or item that holds most lines is spread over ``salts`` tasks.  The number of
-salts cannot change a result.  No build side is forced: small sides are
+Plan shape: the input is read once, into a stored table of line counts per (site,
+user, order, item), whose first aggregate combines before its shuffle.  Support
+per user and item, orders per user, and the keys that hold a large share of the
+lines (sketched while the table is written) come from it.  Support joins the totals on the user, and the
+preferences join their maxima on the item; users and items with a large share are dealt over
+parts in proportion to their lines (``plans.heavy``), all others join plainly.
+The parts cannot change a result.  No build side is forced: small sides are
 broadcast by measured size, large ones are merged and can spill.
 """
 
@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinity.functions.columns import half_up
+from affinity.plans.heavy import SHARE, dealt_join, key_sketch, listed
+from affinity.plans.materialize import written
 from affinity.plans.sequence import group_position
 
 __all__ = [
@@ -28,6 +30,7 @@ __all__ = [
     "user_order_totals",
     "explode_transactions",
     "item_support",
+    "line_counts",
     "raw_preference",
     "item_max_preference",
     "scale_preferences",
@@ -37,19 +40,6 @@ __all__ = [
 
 _USER = ["site", "user"]
 
-#: Parts a join key is dealt over.
-SALTS = 16
-
-
-def _copied(small: DataFrame, salts: int) -> DataFrame:
-    """One copy of every row per salt."""
-    return small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-
-
-def _salt(salts: int, *cols: str):
-    return F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int").alias("_salt")
-
-
 def build_transactions(lines: DataFrame) -> DataFrame:
     """Order lines grouped into time-ordered orders per user (N1), kept flat.
 
@@ -85,14 +75,18 @@ def item_support(lines: DataFrame) -> DataFrame:
     return lines.groupBy(*_USER, "item").agg(F.count(F.lit(1)).alias("support"))
 
 
-def raw_preference(support: DataFrame, totals: DataFrame, salts: int = SALTS) -> DataFrame:
+def line_counts(lines: DataFrame) -> DataFrame:
+    """How often each item stands in each order: ``site, user, group, item, lines``; N2 and N4 roll up from it."""
+    return lines.groupBy(*_USER, "group", "item").agg(F.count(F.lit(1)).alias("lines"))
+
+
+def raw_preference(support: DataFrame, totals: DataFrame, heavy_users: DataFrame | None = None) -> DataFrame:
     """``pref = ln(1 + support / total)`` (N5): ``site, user, item, pref``.
 
-    A user's support rows are dealt over ``salts`` parts by item.
+    The support rows of ``heavy_users`` are dealt over parts by item.
     """
-    return (support.select("*", _salt(salts, "item")).join(_copied(totals, salts), [*_USER, "_salt"])
-            .select(*_USER, "item",
-                    F.ln(F.lit(1.0) + F.col("support").cast("double") / F.col("total").cast("double")).alias("pref")))
+    return dealt_join(support, totals, _USER, ["item"], heavy_users).select(
+        *_USER, "item", F.ln(F.lit(1.0) + F.col("support").cast("double") / F.col("total").cast("double")).alias("pref"))
 
 
 def item_max_preference(prefs: DataFrame) -> DataFrame:
@@ -100,20 +94,27 @@ def item_max_preference(prefs: DataFrame) -> DataFrame:
     return prefs.groupBy("item").agg(F.max("pref").alias("max_pref"))
 
 
-def scale_preferences(prefs: DataFrame, maxima: DataFrame, salts: int = SALTS) -> DataFrame:
+def scale_preferences(prefs: DataFrame, maxima: DataFrame, heavy_items: DataFrame | None = None) -> DataFrame:
     """Attach the item maximum (N7) and scale to 0..5, half up.
 
-    An item's preferences are dealt over ``salts`` parts by user.
+    The preferences of ``heavy_items`` are dealt over parts by user.
     """
     ratio = F.col("pref") / F.col("max_pref")
-    return (prefs.select("*", _salt(salts, *_USER)).join(_copied(maxima, salts), ["item", "_salt"])
-            .select(*_USER, "item", half_up(F.lit(5.0) * ratio).cast("int").alias("score")))
+    return dealt_join(prefs, maxima, ["item"], _USER, heavy_items).select(
+        *_USER, "item", half_up(F.lit(5.0) * ratio).cast("int").alias("score"))
 
 
-def purchase_preferences(lines: DataFrame, salts: int = SALTS) -> DataFrame:
-    """Full implicit pipeline (N10): order lines -> ``site, user, item, score``."""
-    prefs = raw_preference(item_support(lines), user_order_totals(lines), salts)
-    return scale_preferences(prefs, item_max_preference(prefs), salts)
+def purchase_preferences(lines: DataFrame, share: float = SHARE) -> DataFrame:
+    """Full implicit pipeline (N10): order lines -> ``site, user, item, score``.
+
+    A user or item with at least ``share`` of the lines is dealt over parts.
+    """
+    spark = lines.sparkSession
+    counts, seen = written(line_counts(lines), "line-counts", users=key_sketch(_USER, share), items=key_sketch(["item"], share))
+    heavy_users, heavy_items = (listed(spark, seen[k], seen["rows"], share) for k in ("users", "items"))
+    support = counts.groupBy(*_USER, "item").agg(F.sum("lines").alias("support"))
+    prefs = raw_preference(support, user_order_totals(counts), heavy_users)
+    return scale_preferences(prefs, item_max_preference(prefs), heavy_items)
 
 
 def purchase_ratings_explicit(ratings: DataFrame) -> DataFrame:

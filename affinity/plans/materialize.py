@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import functions as F
 
 from affinity.session import checkpoint_dir
 
@@ -15,3 +18,17 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, label: str, **seen: Column) -> tuple[DataFrame, dict]:
+    """Write ``df`` once as Parquet in the checkpoint directory; the table, and aggregates of its rows.
+
+    Smaller on disk than a checkpoint and pruned by column when it is read, but
+    without the partitioning of ``df``.  The aggregates ``seen`` are observed in
+    the tasks that write, so they cost no pass of their own.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    watch = Observation()
+    df.observe(watch, F.count(F.lit(1)).alias("rows"), *(c.alias(n) for n, c in seen.items())).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), watch.get

@@ -33,8 +33,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
+    return with_local_checkpoints(spark)
+
+
+def with_local_checkpoints(spark: SparkSession) -> SparkSession:
+    """Give a session on one machine (master ``local``) a scratch checkpoint folder if it has none; others are left as they are."""
     sc = spark.sparkContext
-    if not sc.getCheckpointDir() and not sc.getConf().get("spark.checkpoint.dir"):
+    one_machine = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
+    if one_machine and not sc.getCheckpointDir() and not sc.getConf().get("spark.checkpoint.dir"):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="affinity-ckpt-", dir=os.environ.get("TMPDIR", "/tmp")))
     return spark
 
@@ -49,7 +55,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     try:
         sc = spark.sparkContext
     except Exception:  # Spark Connect: the server's spark.checkpoint.dir applies
-        return spark.conf.get("spark.checkpoint.dir", "")
+        if not spark.conf.get("spark.checkpoint.dir", None):
+            raise RuntimeError("spark.checkpoint.dir is not set on the server") from None
+        return spark.conf.get("spark.checkpoint.dir")
     current = sc.getCheckpointDir()
     if current:
         return current
