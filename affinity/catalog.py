@@ -6,6 +6,7 @@ row caps or id subsets.  Column names match ``affinity.oracle.ORACLE_SQL``.
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 from datetime import datetime
@@ -18,11 +19,16 @@ from affinity.operators import features as FT
 from affinity.operators import purchase as P
 from affinity.sources import shop_tables as S
 from affinity.sources.fieldspec import apply_field_spec
+from affinity.plans.materialize import materialize
 from affinity.sources.orderlog import order_item_log
-from affinity.sources.readers import map_orders, read_events_documents, read_events_parquet, read_orders_documents
+from affinity.sources.readers import (EVENT_TEXT_EXPLICIT, EVENT_TEXT_IMPLICIT, ORDER_TEXT_EXPLICIT, ORDER_TEXT_IMPLICIT, map_orders,
+                                      read_events_documents, read_events_parquet, read_orders_documents, read_source)
+from affinity.sources.registry import find_spec, register_spec
 from affinity.sources.scores import DEFAULT_EVENT_SCORES
 from affinity.job import PreferenceRequest, build
 from affinity.session import checkpoint_dir
+from affinity.sinks import write_purchase
+from affinity.tableset import read_set
 from affinity import schemas
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,6 +141,94 @@ def _q_build_engagement(spark, sf):
     return spark.read.schema(schemas.ENGAGEMENT_RATING).parquet(build(request, spark)[1])
 
 
+def _in_common(part, df, keys, numbers, value=None):
+    """A table of a set in the columns that all of them fit in."""
+    keys, numbers = [*keys, None, None, None][:3], [*numbers, None, None][:2]
+    texts = [(F.col(c) if c else F.lit(None)).cast("string").alias(f"k{i}") for i, c in enumerate(keys, 1)]
+    longs = [(F.col(c) if c else F.lit(None)).cast("long").alias(f"n{i}") for i, c in enumerate(numbers, 1)]
+    return df.select(F.lit(part).alias("part"), *texts, *longs, (F.col(value) if value else F.lit(None)).cast("double").alias("value"))
+
+
+#: Per table of an engagement set: text keys, numbers and the value.
+SET_COLUMNS = {1: (("site", "user", "item"), ("timestamp", "event"), "rating"), 2: (("site", "user"), ("row",)), 3: (("item",), ("col",)),
+               4: (("cat",), ("row", "col"), "value"), 5: (("cat",), ("user_row", "col"), "value")}
+
+
+def _q_engagement_set(spark, sf):
+    """The job path: all five tables of one committed set, as read back."""
+    base, uid = checkpoint_dir(spark), uuid.uuid4().hex
+    build(PreferenceRequest(uid=uid, name="set", algorithm="EPREF", source="PARQUET", output=base, sink="FILE",
+                            source_args={"path": f"{sf}/events.parquet", "spec": S.EVENT_SPEC}), spark)
+    parts = [_in_common(k, df, *SET_COLUMNS[k]) for k, df in sorted(read_set(spark, base, "set", uid).items())]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _q_purchase_set(spark, sf):
+    """Purchases through the CSV sink (K1, K3), as read back from the committed set."""
+    base, uid = checkpoint_dir(spark), uuid.uuid4().hex
+    write_purchase(P.purchase_preferences(lines_one_shop(spark, sf)), base, "csv", uid, "FILE")
+    return read_set(spark, base, "csv", uid)[1]
+
+
+def _as_text(df, layout):
+    """Records as comma-separated text in a folder of its own; its path."""
+    path = f"{checkpoint_dir(df.sparkSession)}/text-{uuid.uuid4().hex}"
+    df.select(F.concat_ws(",", *[F.col(c).cast("string") for c in layout])).write.text(path)
+    return path
+
+
+def _q_events_text(spark, sf, explicit=False):
+    """Text input through the dispatch by source name."""
+    layout = EVENT_TEXT_EXPLICIT if explicit else EVENT_TEXT_IMPLICIT
+    path = _as_text((events_explicit if explicit else events)(spark, sf), layout)
+    return read_source(spark, "EPREF", "FILE", explicit, path=path)
+
+
+def _q_orders_text(spark, sf, explicit=False):
+    """Text input through the dispatch by source name."""
+    layout = ORDER_TEXT_EXPLICIT if explicit else ORDER_TEXT_IMPLICIT
+    path = _as_text(_q_read_orders_explicit(spark, sf) if explicit else lines_one_shop(spark, sf), layout)
+    return read_source(spark, "NPREF", "FILE", explicit, path=path)
+
+
+def _q_events_json(spark, sf):
+    """JSON documents through the dispatch by source name."""
+    path = f"{checkpoint_dir(spark)}/json-{uuid.uuid4().hex}"
+    _as_strings(events(spark, sf)).write.json(path)
+    return read_source(spark, "EPREF", "ELASTIC", False, source=path)
+
+
+def _q_xml_scores(spark, sf):
+    """Events scored by a score table that is read from XML."""
+    path = f"{checkpoint_dir(spark)}/scores-{uuid.uuid4().hex}"
+    rows = [f"<EventScore><type>{e}</type><description>{d}</description><scores>{','.join(map(str, s))}</scores></EventScore>"
+            for e, d, s in DEFAULT_EVENT_SCORES]
+    spark.createDataFrame([("<EventScores>" + "".join(rows) + "</EventScores>",)], "value string").coalesce(1).write.text(path)
+    return E.score_events(E.net_event_support(E.event_support(events(spark, sf))), path)
+
+
+#: Items per row of the nested sequences here: small, so that most users have several rows.
+NESTED_ITEMS = 16
+# Two versions of one registered spec, and the time between them.
+SPEC_TIMES = (datetime(2020, 1, 1), datetime(2021, 1, 1), datetime(2022, 1, 1))
+
+
+def _q_registered_spec(spark, sf):
+    """Order lines through the spec that was registered as of a time (S19): the first of two versions."""
+    path = f"{checkpoint_dir(spark)}/specs-{uuid.uuid4().hex}"
+    register_spec(spark, path, "shop", S.order_spec("o_orderpriority"), SPEC_TIMES[0])
+    register_spec(spark, path, "shop", S.order_spec(), SPEC_TIMES[2])
+    spec = find_spec(spark, "NPREF", False, key="shop", registry=path, at=SPEC_TIMES[1])
+    return apply_field_spec(S.order_lines_source(spark, sf), spec, schemas.ORDER_LINE)
+
+
+def _q_extended_index(spark, sf, index):
+    """An index of the ratings of the first half of the time, extended by the rest of them."""
+    rated = materialize(ratings(spark, sf))
+    begin, end = FT.observation_interval(rated).first()
+    return index(rated, known=index(rated.where(F.col("timestamp") < (begin + end) // 2)))
+
+
 def _features(spark, sf, explicit=False):
     return FT.prepare(ratings_explicit(spark, sf) if explicit else ratings(spark, sf))
 
@@ -151,11 +245,18 @@ QUERIES: dict[str, Query] = {
     "read_orders_documents": _q_order_documents,
     "read_orders_documents_explicit": lambda s, sf: _q_order_documents(s, sf, explicit=True),
     "read_orders_documents_map": lambda s, sf: _q_order_documents(s, sf, mapped=True),
+    "read_events_text": _q_events_text,
+    "read_events_text_explicit": lambda s, sf: _q_events_text(s, sf, explicit=True),
+    "read_orders_text": _q_orders_text,
+    "read_orders_text_explicit": lambda s, sf: _q_orders_text(s, sf, explicit=True),
+    "read_events_json": _q_events_json,
     "order_item_log": _q_order_item_log,
     "order_item_log_kept": _q_order_item_log_kept,
     "apply_field_spec": _q_apply_field_spec,
+    "apply_registered_spec": _q_registered_spec,
     # purchase preferences
     "build_transactions": lambda s, sf: P.build_transactions(lines_one_shop(s, sf)),
+    "nested_transactions": lambda s, sf: P.unnest_transactions(P.nested_transactions(lines_one_shop(s, sf), NESTED_ITEMS)),
     "user_order_totals": lambda s, sf: P.user_order_totals(lines_one_shop(s, sf)),
     "explode_transactions": lambda s, sf: P.explode_transactions(lines_one_shop(s, sf)),
     "item_support": lambda s, sf: P.item_support(lines_one_shop(s, sf)),
@@ -174,10 +275,16 @@ QUERIES: dict[str, Query] = {
         E.score_events(E.net_event_support(E.event_support(events(s, sf))))),
     "build_engagement_ratings": _q_build_engagement,
     "engagement_ratings_explicit": ratings_explicit,
+    "score_events_xml": _q_xml_scores,
+    # committed table sets
+    "build_engagement_set": _q_engagement_set,
+    "build_purchase_set": _q_purchase_set,
     # feature matrix
     "observation_interval": lambda s, sf: FT.observation_interval(ratings(s, sf)),
     "user_index": lambda s, sf: FT.user_index(ratings(s, sf)),
     "item_index": lambda s, sf: FT.item_index(ratings(s, sf)),
+    "extended_user_index": lambda s, sf: _q_extended_index(s, sf, FT.user_index),
+    "extended_item_index": lambda s, sf: _q_extended_index(s, sf, FT.item_index),
     "feature_layout": lambda s, sf: _features(s, sf).layout(),
     "feature_user_block": lambda s, sf: _features(s, sf).user_block(),
     "feature_item_block": lambda s, sf: _features(s, sf).item_block(),

@@ -7,6 +7,7 @@ source kind and reader arguments, sink and output base.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
 from pyspark.sql import SparkSession
@@ -62,8 +63,18 @@ class PreferenceRequest:
             raise ValueError("missing output base")
 
 
+    def digest(self) -> str:
+        """Identity of what is asked for; a build that failed goes on only for the same request."""
+        asked = (self.algorithm, self.source.upper(), self.rating, self.sink.upper(), sorted((k, str(v)) for k, v in self.source_args.items()),
+                 str(self.scores), str(self.site), str(self.startdate), str(self.enddate))
+        return hashlib.sha256(repr(asked).encode()).hexdigest()
+
+
 def build(request: PreferenceRequest, spark: SparkSession) -> dict[int, str]:
-    """Validate, read, compute and write; returns the written paths by table number."""
+    """Validate, read, compute and write; returns the written paths by table number.
+
+    The tables are committed together.  After a failure the same request goes on from the tables that were finished.
+    """
     request.validate()
     explicit = request.rating == "explicit"
     if request.source.upper() == LOG:
@@ -73,6 +84,6 @@ def build(request: PreferenceRequest, spark: SparkSession) -> dict[int, str]:
         data = read_source(spark, request.algorithm, request.source, explicit, **request.source_args)
     if request.algorithm == "NPREF":
         prefs = purchase_ratings_explicit(data) if explicit else purchase_preferences(data)
-        return {1: write_purchase(prefs, request.output, request.name, request.uid, request.sink)}
+        return {1: write_purchase(prefs, request.output, request.name, request.uid, request.sink, request.digest())}
     ratings = engagement_ratings_explicit(data) if explicit else engagement_ratings(data, request.scores)
-    return write_engagement(ratings, request.output, request.name, request.uid, request.sink)
+    return write_engagement(ratings, request.output, request.name, request.uid, request.sink, request=request.digest())

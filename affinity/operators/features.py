@@ -47,6 +47,7 @@ __all__ = [
     "observation_interval",
     "user_index",
     "item_index",
+    "extend_index",
     "index_tables",
     "FeatureFrame",
     "prepare",
@@ -63,13 +64,30 @@ def observation_interval(ratings: DataFrame) -> DataFrame:
     return ratings.agg(F.min("timestamp").alias("begin"), F.max("timestamp").alias("end"))
 
 
-def user_index(ratings: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Distinct (site, user) numbered 0..U-1 in sorted order (F2)."""
+def extend_index(known: DataFrame, keys: DataFrame, key_cols: list[str], name: str, partitions: int | None = None) -> DataFrame:
+    """``known`` (numbered 0..n-1) with the keys it lacks, numbered from n in sorted order.
+
+    Old numbers never change, so models and matrices made from earlier batches stay
+    valid.  Only keys that are new are sorted and numbered.
+    """
+    known = known.select(*key_cols, name)
+    size = known.count()
+    fresh = keys.select(*key_cols).distinct().join(known.select(*key_cols), key_cols, "left_anti")
+    numbered = dense_index(fresh, key_cols, name, partitions)
+    return known.unionByName(numbered.withColumn(name, F.col(name) + F.lit(size)))
+
+
+def user_index(ratings: DataFrame, partitions: int | None = None, known: DataFrame | None = None) -> DataFrame:
+    """Distinct (site, user) numbered 0..U-1 in sorted order (F2), after those of a ``known`` index."""
+    if known is not None:
+        return extend_index(known, ratings, ["site", "user"], "row", partitions)
     return dense_index(ratings, ["site", "user"], "row", partitions)
 
 
-def item_index(ratings: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Distinct item numbered 0..I-1 in sorted order."""
+def item_index(ratings: DataFrame, partitions: int | None = None, known: DataFrame | None = None) -> DataFrame:
+    """Distinct item numbered 0..I-1 in sorted order (F3), after those of a ``known`` index."""
+    if known is not None:
+        return extend_index(known, ratings, ["item"], "col", partitions)
     return dense_index(ratings, ["item"], "col", partitions)
 
 

@@ -27,6 +27,8 @@ from affinity.plans.sequence import group_position
 
 __all__ = [
     "build_transactions",
+    "nested_transactions",
+    "unnest_transactions",
     "user_order_totals",
     "explode_transactions",
     "item_support",
@@ -56,6 +58,27 @@ def build_transactions(lines: DataFrame) -> DataFrame:
             .select(*_USER, "seq", "group", "timestamp", "item"))
 
 
+def nested_transactions(lines: DataFrame, items_per_row: int = 4096) -> DataFrame:
+    """Transaction sequences per user in chunks of bounded size (N1, nested).
+
+    ``site, user, chunk, orders array<struct<seq, timestamp, items>>``: a user's
+    lines in order of (order position, item) are cut every ``items_per_row``
+    items, so no row and no group grows with a user's history; an order at
+    a cut continues in the next chunk with the same ``seq``.
+    """
+    placed = group_position(build_transactions(lines), group_cols=_USER, order_cols=["seq", "item"], name="_place")
+    chunked = placed.withColumn("chunk", F.floor(F.col("_place") / F.lit(items_per_row)).cast("long"))
+    orders = chunked.groupBy(*_USER, "chunk", "seq").agg(
+        F.min("timestamp").alias("timestamp"), F.sort_array(F.collect_list("item")).alias("items"))
+    return orders.groupBy(*_USER, "chunk").agg(F.sort_array(F.collect_list(F.struct("seq", "timestamp", "items"))).alias("orders"))
+
+
+def unnest_transactions(nested: DataFrame) -> DataFrame:
+    """One row per line of ``nested_transactions``: ``site, user, chunk, seq, timestamp, item``."""
+    return (nested.select(*_USER, "chunk", F.explode("orders").alias("_o"))
+            .select(*_USER, "chunk", "_o.seq", "_o.timestamp", F.explode("_o.items").alias("item")))
+
+
 def user_order_totals(lines: DataFrame) -> DataFrame:
     """Number of distinct orders per user (N2): ``site, user, total``."""
     return lines.groupBy(*_USER).agg(F.count_distinct("group").alias("total"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from affinity.catalog import LOG_END, LOG_SITE, LOG_START
+from affinity.catalog import LOG_END, LOG_SITE, LOG_START, NESTED_ITEMS, SET_COLUMNS
 from affinity.sources.scores import DEFAULT_EVENT_SCORES
 
 
@@ -200,7 +200,36 @@ FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey""",
     "feature_matrix_explicit": _FEAT_X + 'SELECT "row", CAST(col AS BIGINT) AS col, cat, value FROM blocks',
     "feature_rated_block_explicit": _FEAT_X + "SELECT * FROM rated",
 }
+
+
+def _numbered(keys: str, name: str) -> str:
+    """Keys of the first half of the time in sorted order, then the others in sorted order."""
+    return f"""SELECT {keys}, CAST(row_number() OVER (ORDER BY late, {keys}) - 1 AS BIGINT) AS {name}
+FROM (SELECT {keys}, min(CASE WHEN "timestamp" < mid THEN 0 ELSE 1 END) AS late
+      FROM ratings, (SELECT (min("timestamp") + max("timestamp")) // 2 AS mid FROM ratings) GROUP BY {keys})"""
+
+
+ORACLE_SQL["extended_user_index"] = _with(*_EP) + _numbered('site, "user"', '"row"')
+ORACLE_SQL["extended_item_index"] = _with(*_EP) + _numbered("item", "col")
+ORACLE_SQL["nested_transactions"] = f"""SELECT site, "user", CAST((row_number() OVER (PARTITION BY site, "user" ORDER BY seq, item) - 1) // {NESTED_ITEMS} AS BIGINT) AS chunk,
+  seq, "timestamp", item FROM ({ORACLE_SQL['build_transactions']})"""
+ORACLE_SQL["apply_registered_spec"] = ORACLE_SQL["apply_field_spec"]
+ORACLE_SQL["score_events_xml"] = ORACLE_SQL["score_events"]
+ORACLE_SQL["build_purchase_set"] = ORACLE_SQL["purchase_preferences"]
+ORACLE_SQL["read_events_json"] = ORACLE_SQL["read_events_parquet"]
+
+
+def _in_common(part: int, sql: str, keys, numbers, value=None) -> str:
+    texts = [f'CAST({c} AS VARCHAR) AS k{i}' for i, c in enumerate([*(f'"{k}"' for k in keys), "NULL", "NULL", "NULL"][:3], 1)]
+    longs = [f'CAST({c} AS BIGINT) AS n{i}' for i, c in enumerate([*(f'"{n}"' for n in numbers), "NULL", "NULL"][:2], 1)]
+    return f"""SELECT CAST({part} AS INTEGER) AS part, {', '.join(texts + longs)}, CAST({f'"{value}"' if value else 'NULL'} AS DOUBLE) AS value FROM ({sql})"""
+
+
+ORACLE_SQL["build_engagement_set"] = " UNION ALL ".join(_in_common(part, ORACLE_SQL[name], *SET_COLUMNS[part]) for part, name in enumerate(
+    ("engagement_ratings", "user_index", "item_index", "feature_matrix", "feature_rated_block"), 1))
 # Document readers give the records they were made from.
 for _name in ("events", "orders"):
     ORACLE_SQL[f"read_{_name}_documents"] = ORACLE_SQL[f"read_{_name}_documents_map"] = ORACLE_SQL[f"read_{_name}_parquet"]
+    ORACLE_SQL[f"read_{_name}_text"] = ORACLE_SQL[f"read_{_name}_parquet"]
+    ORACLE_SQL[f"read_{_name}_text_explicit"] = ORACLE_SQL[f"read_{_name}_parquet_explicit"]
     ORACLE_SQL[f"read_{_name}_documents_explicit"] = ORACLE_SQL[f"read_{_name}_parquet_explicit"]

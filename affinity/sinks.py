@@ -4,7 +4,8 @@ Layout under ``base/name/uid/``: ``1`` ratings; for engagement also ``2`` user
 index, ``3`` item index, ``4`` matrix entries and ``5`` rated-items sets.
 Sinks: ``PARQUET`` (default) and ``FILE`` (CSV with a header; every value is
 quoted, quotes are doubled, blanks, empty strings and line ends are kept, a null
-is ``\\N``).  Existing output is never overwritten.
+is ``\\N``).  A set is committed as a whole (``tableset``); existing output is never
+overwritten, a build that failed is run again.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from affinity.plans.materialize import materialize
+from affinity.tableset import TableSet
 
 SINKS = ("PARQUET", "FILE")
 
@@ -24,9 +26,9 @@ def table_path(base: str, name: str, uid: str, part: int) -> str:
     return f"{base.rstrip('/')}/{name}/{uid}/{part}"
 
 
-def write_table(df: DataFrame, path: str, sink: str = "PARQUET") -> None:
+def write_table(df: DataFrame, path: str, sink: str = "PARQUET", mode: str = "errorifexists") -> None:
     sink = sink.upper()
-    writer = df.write.mode("errorifexists")
+    writer = df.write.mode(mode)
     if sink == "PARQUET":
         writer.parquet(path)
     elif sink == "FILE":
@@ -37,30 +39,34 @@ def write_table(df: DataFrame, path: str, sink: str = "PARQUET") -> None:
 
 def read_table(spark, path: str, sink: str, schema) -> DataFrame:
     if sink.upper() == "PARQUET":
-        return spark.read.parquet(path)
+        return spark.read.schema(schema).parquet(path)
     return spark.read.schema(schema).options(**CSV_OPTIONS, multiLine="true", mode="FAILFAST").csv(path)
 
 
-def write_purchase(prefs: DataFrame, base: str, name: str, uid: str, sink: str = "PARQUET") -> str:
-    """K1: purchase preferences at ``base/name/uid/1``."""
-    path = table_path(base, name, uid, 1)
-    write_table(prefs, path, sink)
-    return path
+def write_purchase(prefs: DataFrame, base: str, name: str, uid: str, sink: str = "PARQUET", request: str = "") -> str:
+    """K1: purchase preferences at ``base/name/uid/1``, as a committed set of one table."""
+    tables = TableSet(prefs.sparkSession, base, name, uid, sink, request)
+    tables.write(1, prefs)
+    return tables.commit([1])[1]
 
 
 def write_engagement(ratings: DataFrame, base: str, name: str, uid: str, sink: str = "PARQUET",
-                     partitions: int | None = None) -> dict[int, str]:
-    """K2: ratings, indexes and matrix, all from one checkpoint of the ratings.
+                     partitions: int | None = None, request: str = "") -> dict[int, str]:
+    """K2: ratings, indexes and matrix as one committed set.
 
-    Nothing is computed from what a sink wrote, so every sink gets the same
-    tables and nothing upstream is recomputed.
+    The ratings are computed once, written, and read back; every other table is
+    computed from them, so a build that is run again after a failure goes on from the same
+    ratings even if the source has changed.
     """
     from affinity.operators.features import index_tables, prepare_own
 
-    paths = {i: table_path(base, name, uid, i) for i in range(1, 6)}
-    fixed = materialize(ratings)
+    tables = TableSet(ratings.sparkSession, base, name, uid, sink, request)
+    fixed = tables.write(1, ratings)
+    if sink.upper() != "PARQUET":
+        fixed = materialize(fixed)  # read several times below
     users, items = index_tables(fixed, partitions)
+    users, items = tables.write(2, users), tables.write(3, items)
     ff = prepare_own(fixed, users, items, partitions)
-    for part, table in enumerate((fixed, users, items, ff.matrix(), ff.rated_block()), 1):
-        write_table(table, paths[part], sink)
-    return paths
+    tables.write(4, ff.matrix())
+    tables.write(5, ff.rated_block())
+    return tables.commit([1, 2, 3, 4, 5])
