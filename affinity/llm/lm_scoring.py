@@ -1,24 +1,29 @@
-"""Language-model scores from a weighted backoff automaton over smoothed word bigrams.
-
-States are histories (the start of a text, a known word) and the root.  The arc of
-word ``w`` from history ``h`` weighs ``log10((1 - b) * c(hw) / c(h) + b * p(w))``
-if the bigram was seen; else the failure arc weighs ``log10(b)`` and leads to the
-root, where ``w`` weighs ``log10 p(w)``, with ``p(w) = (c(w) + a) / (N + a(V + 1))``.
-``b`` is the share of a history's mass that new successors take; by Heaps' law a
-history seen ``c`` times has about ``k * c**g`` different successors, so
-``b = k / (k + c**(1 - g))``.  Each text is read once, left to right: the state is
-carried along and the weights are summed.  For every history the probabilities of
-all words and the unknown word sum to 1.
+"""Language-model scores from a weighted backoff automaton over smoothed word n-grams.
+
+States are histories of up to ``order - 1`` tokens that training has seen (a text
+begins in the state of its start) and the root, the empty history.  From state ``h``
+the arc of token ``w`` exists if ``hw`` was seen; it weighs
+``log10((1 - b) * c(hw) / c(h) + b * p(w | h'))`` and leads to the longest seen
+history that ends ``hw``.  Else the failure arc of ``h`` weighs ``log10(b)`` and leads to ``h'``,
+``h`` without its first token; at the root every token has an arc of
+``log10 p(w)``, ``p(w) = (c(w) + a) / (N + a(V + 1))``.  ``b`` is the share of a
+history's mass that new successors take; by Heaps' law a history seen ``c`` times has
+about ``k * c**g`` different successors, so ``b = k / (k + c**(1 - g))``.  For every history the
+probabilities of all words and the unknown word sum to 1.  Each text is read once, left to
+right, with its state; all texts of a block walk side by side.
 
 The automaton grows with the corpus, so no task holds it whole:
 
-1. Texts are dealt by hash into blocks of bounded size and stored, bucketed by
-   block.
-2. Every block lists its different words and bigrams with their training counts,
-   as packed hash lists, one per part of the hash space.
+1. Rows are dealt by number into blocks of bounded size (equal rows lie apart)
+   and stored, in a bounded number of buckets.
+2. Every block lists its different n-grams with their training counts, as packed
+   hash lists, one per part of the hash space.
 3. Every part adds up the lists of all blocks and answers each block with the
-   totals of what it listed: one number per word or bigram, whatever its count.
-4. Every block builds its piece of the automaton from the answers and reads its
+   totals of what it listed: one number per n-gram, whatever its count.  There are
+   at most ``FAN`` parts.  If they would not fit a task, the lists of ``FAN`` blocks are merged
+   into the list of a joint source, which is cut again by the next bits, and the answers
+   travel back the same way.  The number of lists so grows in proportion to the corpus.
+4. Every block builds its piece of the automaton from the answers and walks its
    texts through it.
 """
 
@@ -34,148 +39,270 @@ from pyspark.sql import functions as F
 
 from affinity.llm.shared import read_documents, stored, stored_in_buckets
 
+#: Longest n-gram.
+ORDER = 3
 #: Added to every count of the unigram level.
 PRIOR = 0.1
 #: Heaps' law of a history's successors (see above).
 SUCCESSORS, GROWTH = 2.0, 0.8
-BLOCK_BYTES = 12 << 20
-WORDS, BIGRAMS = 0, 1
-#: Bytes of a hash that are listed; the part it is listed for stands for the others.
-KEY_BYTES = {WORDS: 8, BIGRAMS: 6}
+#: Text of a block; n-grams that one part holds in memory; parts of one cut; buckets of the stored texts.
+BLOCK_BYTES = 4 << 20
+PART_ENTRIES = 3_000_000
+FAN = 256
+BUCKETS = 20_000
 START, END = 0, 1
 
+_LISTS = "source long, kind int, part long, keys binary, counts binary"
+_ANSWERS = "source long, kind int, part long, totals binary, different long, tokens long"
+
+
+# ------------------------------------------------------------------ n-grams of a block
+
+class Grams:
+    """The n-grams of some texts: per length n, which one ends at each position, its history and its suffix."""
+
+    def __init__(self, texts: list, order: int):
+        ids: dict = {}
+        lines = []
+        for text in texts:
+            words = (text or b"").lower().split()
+            line = np.empty(len(words) + 1, np.int32)
+            line[:-1] = [ids.setdefault(w, len(ids)) for w in words]
+            line[:-1] += 2
+            line[-1] = END
+            lines.append(line)
+        sizes = np.array([len(x) for x in lines])
+        self.tokens = np.concatenate(lines).astype(np.int64)
+        self.starts = np.cumsum(sizes) - sizes
+        first = np.empty(len(ids) + 2, np.uint64)
+        first[START], first[END] = xxhash.xxh64_intdigest(b"\n"), xxhash.xxh64_intdigest(b"\n\n")  # words hold no line ends
+        first[2:] = np.fromiter(map(xxhash.xxh64_intdigest, ids), np.uint64, len(ids))
+        # place[n]: index of the n-gram that ends at a position, -1 where the text is too short;
+        # history[n], suffix[n]: index of the (n-1)-gram before the last token, and of the one without the first token
+        self.place, self.hash = {1: self.tokens}, {1: first}
+        self.history: dict = {}
+        self.suffix: dict = {}
+        at_start = np.zeros(len(self.tokens), bool)
+        at_start[self.starts] = True
+        for n in range(2, order + 1):
+            before = np.empty_like(self.tokens)
+            before[0], before[1:] = -1, self.place[n - 1][:-1]
+            before[at_start] = START if n == 2 else -1
+            ok = np.flatnonzero(before >= 0)
+            pairs, where, inverse = np.unique(before[ok] << 32 | self.tokens[ok], return_index=True, return_inverse=True)
+            place = np.full(len(self.tokens), -1, np.int64)
+            place[ok] = inverse
+            mixed = self.hash[n - 1][pairs >> 32] * np.uint64(0x9E3779B97F4A7C15) + first[pairs & 0xFFFFFFFF] + np.uint64(n)
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            self.place[n], self.hash[n] = place, mixed ^ (mixed >> np.uint64(32))
+            self.history[n], self.suffix[n] = pairs >> 32, self.place[n - 1][ok[where]]
+
+    def counts(self, n: int, weight: np.ndarray) -> np.ndarray:
+        """Occurrences of every n-gram, weighted by position."""
+        place = self.place[n]
+        return np.bincount(place[place >= 0], weight[place >= 0], len(self.hash[n])).astype(np.int64)
+
+
+class Automaton:
+    """A block's piece of the automaton: states, arcs with weights, failure arcs with weights."""
+
+    def __init__(self, grams: Grams, totals: dict[int, np.ndarray], order: int, root: np.ndarray, successors: float, growth: float):
+        self.grams, self.order = grams, order
+        seen = dict(totals)
+        seen[1] = totals[1].copy()
+        seen[1][START] = seen[1][END]  # every training text has one start and one end
+        #: Per length of history: is it a state, and what its failure arc weighs; it leads to the history's suffix.
+        self.state = {m: seen[m] > 0 for m in range(1, order)}
+        self.failure = {}
+        #: Per n-gram: is there an arc from its history, and its weight.  value: weight of the walk from the history.
+        self.arc, value = {}, {1: root}
+        for n in range(2, order + 1):
+            m = n - 1
+            known = np.maximum(seen[m], 1).astype(np.float64)
+            back = successors / (successors + known ** (1 - growth))
+            self.failure[m] = np.where(self.state[m], np.log10(back), 0.0)  # a history that is no state weighs nothing
+            history = grams.history[n]
+            self.arc[n] = totals[n] > 0
+            lower = value[m][grams.suffix[n]]
+            share = back[history]
+            weight = np.log10((1 - share) * totals[n] / known[history] + share * 10.0 ** lower)
+            value[n] = np.where(self.arc[n], weight, self.failure[m][history] + lower)
+        self.value = value
+
+    def walk(self) -> np.ndarray:
+        """Weight that the walk takes on at each token: the arc of its state, or failure arcs and the first arc below."""
+        out = self.value[1][self.grams.tokens]
+        for n in range(2, self.order + 1):
+            place = self.grams.place[n]
+            out = np.where(place >= 0, self.value[n][place], out)
+        return out
+
+
+# ------------------------------------------------------------------ lists and answers
+
+def _cut(keys: np.ndarray, parts: int, shift: int) -> np.ndarray:
+    """Part of each key by the bits below ``shift``."""
+    bits = (keys << np.uint64(64 - shift)) >> np.uint64(32) if shift < 64 else keys >> np.uint64(32)
+    return ((bits * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+
+
+def _ordered(keys: np.ndarray, parts: int, shift: int):
+    """Keys in order of part, and the bounds of the parts."""
+    part = _cut(keys, parts, shift)
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
+
+
+def _packed(keys: np.ndarray, width: int) -> np.ndarray:
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+
+
+def _unpacked(raw: bytes, width: int) -> np.ndarray:
+    wide = np.zeros((len(raw) // width, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
+    return wide.view("<u8").ravel()
+
+
+def _numbers(counts: np.ndarray) -> bytes:
+    """64-bit numbers, byte by byte: high bytes are runs of zeros, which compression removes."""
+    return counts.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _read_numbers(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
+
+
+def _summed(place: np.ndarray, counts, size: int) -> np.ndarray:
+    """Counts summed by place (in doubles, exact to 2**53)."""
+    return np.bincount(place, np.concatenate([_read_numbers(raw.as_py()) for raw in counts]), size).astype(np.int64)
+
+
+def _rows(columns: list, schema: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.table({name: pa.array(c, kinds[kind]) for c, (name, kind) in zip(columns, fields, strict=True)})
+
+
+def _row_order(table: pa.Table) -> pa.Table:
+    """A block's rows in a fixed order, so listing and scoring agree however rows arrive."""
+    return table.sort_by([("row", "ascending")])
+
 
-def _read(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token ids (words and one end per text), first token of each text, and the 64-bit hash of each id."""
-    ids: dict = {}
-    tokens, starts, at = [], [], 0
-    for text in texts:
-        words = (text or b"").lower().split()
-        line = np.empty(len(words) + 1, np.int32)
-        line[:-1] = [ids.setdefault(w, len(ids)) for w in words]
-        line[:-1] += 2
-        line[-1] = END
-        tokens.append(line)
-        starts.append(at)
-        at += len(line)
-    hashes = np.empty(len(ids) + 2, np.uint64)
-    hashes[START], hashes[END] = xxhash.xxh64_intdigest(b"\n"), xxhash.xxh64_intdigest(b"\n\n")  # words hold no line ends
-    hashes[2:] = np.fromiter(map(xxhash.xxh64_intdigest, ids), np.uint64, len(ids))
-    return np.concatenate(tokens), np.array(starts), hashes
-
-
-def _bigrams(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """History and token of every position, packed in one number."""
-    before = np.empty(len(tokens), np.int64)
-    before[1:] = tokens[:-1]
-    before[starts] = START
-    return before << 32 | tokens
-
-
-def _listing(tokens, starts, hashes, train: np.ndarray, parts: int):
-    """Per kind: the different items of a block, their hashes in listing order, bounds of the parts, training counts."""
-    weight = np.repeat(train, np.diff(np.append(starts, len(tokens)))).astype(np.float64)
-    pairs, place = np.unique(_bigrams(tokens, starts), return_inverse=True)
-    mixed = hashes[pairs >> 32] * np.uint64(0x9E3779B97F4A7C15) + hashes[pairs & 0xFFFFFFFF]
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    mixed ^= mixed >> np.uint64(32)
-    items = {WORDS: (hashes[1:], np.bincount(tokens, weight, len(hashes))[1:]),
-             BIGRAMS: (mixed, np.bincount(place, weight, len(pairs)))}
-    out = {}
-    for kind, (keys, counts) in items.items():
-        part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        bounds = np.searchsorted(part[order], np.arange(parts + 1))
-        out[kind] = order, keys[order], bounds, counts[order].astype("<u4")
-    return out, place
-
-
-def listings(texts: DataFrame, parts: int) -> DataFrame:
-    """``(block, kind, part, keys, counts)``: what each block holds, by part of the hash space."""
+def listings(texts: DataFrame, order: int, parts: int, width: int) -> DataFrame:
+    """``(source, kind, part, keys, counts)``: what each block holds, by part of the hash space."""
     def run(table: pa.Table) -> pa.Table:
-        block = table["block"][0].as_py()
-        train = ~table["held_out"].to_numpy()
-        rows, _ = _listing(*_read(table["text"].to_pylist()), train, parts)
+        table = _row_order(table)
+        source, grams = table["block"][0].as_py(), Grams(table["text"].to_pylist(), order)
+        train = np.repeat(~table["held_out"].to_numpy(), np.diff(np.append(grams.starts, len(grams.tokens)))).astype(np.float64)
         out = []
-        for kind, (_, keys, bounds, counts) in rows.items():
-            raw = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES[kind]]
-            out += [(block, kind, k, raw[a:b].tobytes(), counts[a:b].tobytes())
-                    for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if a < b]
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)],
-                                    names=["block", "kind", "part", "keys", "counts"])
-
-    ordered = texts.select("block", "held_out", "doc_id", "text_key", "text")
-    return ordered.groupBy("block").applyInArrow(lambda t: run(_fixed(t)), "block int, kind int, part int, keys binary, counts binary")
+        for n in range(1, order + 1):
+            at, bounds = _ordered(grams.hash[n], parts, 64)
+            raw, counts = _packed(grams.hash[n][at], width), grams.counts(n, train)[at]
+            out += [(source, n, k, raw[a:b].tobytes(), _numbers(counts[a:b])) for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if a < b]
+        return _rows(list(zip(*out, strict=True)), _LISTS)
 
-
-def _fixed(table: pa.Table) -> pa.Table:
-    """A block's rows in a fixed order, so listing and scoring agree however rows arrive."""
-    return table.sort_by([("doc_id", "ascending"), ("text_key", "ascending")])
+    return texts.select("block", "row", "held_out", "text").groupBy("block").applyInArrow(run, _LISTS)
 
 
-def totals(lists: DataFrame) -> DataFrame:
-    """Answers ``(block, kind, part, totals, different, tokens)``; ``different`` and ``tokens`` stand on one block's answer."""
+def totals(lists: DataFrame, width: int) -> DataFrame:
+    """Answers ``(source, kind, part, totals, different, tokens)``; ``different`` and ``tokens`` stand on one answer of a part."""
     def run(table: pa.Table) -> pa.Table:
-        width = KEY_BYTES[table["kind"][0].as_py()]
-        keys = []
-        for raw in table["keys"].to_pylist():
-            wide = np.zeros((len(raw) // width, 8), np.uint8)
-            wide[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
-            keys.append(wide.view("<u8").ravel())
-        sizes = [len(k) for k in keys]
+        keys = [_unpacked(raw, width) for raw in table["keys"].to_pylist()]
+        bounds = np.cumsum([0, *map(len, keys)])
         found, place = np.unique(np.concatenate(keys), return_inverse=True)
         del keys
-        counts = np.concatenate([np.frombuffer(c, "<u4") for c in table["counts"].to_pylist()])
-        sums = np.bincount(place, counts, len(found)).astype("<u8")
-        bounds = np.cumsum([0, *sizes])
-        answers = [sums[place[a:b]].astype("<u4").tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
-        first = np.arange(len(sizes)) == 0
-        return pa.table({"block": table["block"], "kind": table["kind"], "part": table["part"],
-                         "totals": pa.array(answers, pa.binary()),
-                         "different": pa.array(np.where(first, (sums > 0).sum(), 0).astype(np.int64)),
-                         "tokens": pa.array(np.where(first, sums.sum(), 0).astype(np.int64))})
-
-    return lists.groupBy("kind", "part").applyInArrow(
-        run, "block int, kind int, part int, totals binary, different long, tokens long")
-
-
-def scored(texts: DataFrame, answers: DataFrame, parts: int, tokens_seen: int, words_seen: int, prior: float,
+        sums = _summed(place, table["counts"], len(found))
+        first = np.arange(table.num_rows) == 0
+        return _rows([table["source"].to_pylist(), table["kind"].to_pylist(), table["part"].to_pylist(),
+                      [_numbers(sums[place[a:b]]) for a, b in zip(bounds, bounds[1:], strict=False)],
+                      np.where(first, (sums > 0).sum(), 0), np.where(first, sums.sum(), 0)], _ANSWERS)
+
+    return lists.groupBy("kind", "part").applyInArrow(run, _ANSWERS)
+
+
+def answered(lists: DataFrame, cuts: list[int], width: int, fan: int, bits: int = 64) -> DataFrame:
+    """Answers to lists that were cut into ``cuts[0]`` parts; further cuts are made of joint lists."""
+    if len(cuts) == 1:
+        return totals(lists, width)
+    bits -= math.ceil(math.log2(cuts[0]))
+    grouped = lists.withColumn("joint", F.floor(F.col("source") / fan).cast("long"))
+
+    def merge(table: pa.Table):
+        """Members of a joint list in order, their different keys, and each member's places among these."""
+        table = table.sort_by([("source", "ascending")])
+        keys = [_unpacked(raw, width) for raw in table["keys"].to_pylist()]
+        found, place = np.unique(np.concatenate(keys), return_inverse=True)
+        order, bounds = _ordered(found, cuts[1], bits)
+        return table, np.cumsum([0, *map(len, keys)]), found[order], np.argsort(order)[place], bounds
+
+    def join(table: pa.Table) -> pa.Table:
+        joint, kind, upper = table["joint"][0].as_py(), table["kind"][0].as_py(), table["part"][0].as_py()
+        table, ends, found, place, bounds = merge(table)
+        sums = _summed(place, table["counts"], len(found))
+        raw = _packed(found, width)
+        out = [(joint, kind, upper * cuts[1] + k, raw[a:b].tobytes(), _numbers(sums[a:b]))
+               for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if a < b]
+        return _rows(list(zip(*out, strict=True)), _LISTS)
+
+    def part(_, table: pa.Table, replies: pa.Table) -> pa.Table:
+        table, ends, found, place, bounds = merge(table)
+        filled = np.zeros(len(found), np.int64)
+        for k, raw in zip(replies["part"].to_pylist(), replies["totals"], strict=True):
+            k %= cuts[1]
+            filled[bounds[k]:bounds[k + 1]] = _read_numbers(raw.as_py())
+        first = np.arange(table.num_rows) == 0
+        return _rows([table["source"].to_pylist(), table["kind"].to_pylist(), table["part"].to_pylist(),
+                      [_numbers(filled[place[a:b]]) for a, b in zip(ends, ends[1:], strict=False)],
+                      *(np.where(first, sum(replies[c].to_pylist()), 0) for c in ("different", "tokens"))], _ANSWERS)
+
+    merged = stored(grouped.groupBy("kind", "part", "joint").applyInArrow(join, _LISTS), "lists")
+    below = answered(merged, cuts[1:], width, fan, bits)
+    below = below.withColumnRenamed("source", "joint").withColumn("upper", F.floor(F.col("part") / cuts[1]).cast("long"))
+    return grouped.groupBy("kind", "part", "joint").cogroup(below.groupBy("kind", "upper", "joint")).applyInArrow(part, _ANSWERS)
+
+
+def cuts_for(entries: int, fan: int, limit: int) -> list[int]:
+    """Numbers of parts, cut after cut, so that the last parts hold about ``limit`` of the entries."""
+    parts, cuts = max(1, math.ceil(entries / limit)), []
+    while parts > fan:
+        cuts.append(fan)
+        parts = math.ceil(parts / fan)
+    return [*cuts, parts]
+
+
+# ------------------------------------------------------------------ scores
+
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def scored(texts: DataFrame, answers: DataFrame, order: int, parts: int, tokens_seen: int, words_seen: int, prior: float,
            successors: float, growth: float) -> DataFrame:
     """Scores of every text of a block from the block's piece of the automaton."""
     norm = tokens_seen + prior * (words_seen + 1)
 
     def run(_, table: pa.Table, replies: pa.Table) -> pa.Table:
-        table = _fixed(table)
-        held_out = table["held_out"].to_numpy()
-        tokens, starts, hashes = _read(table["text"].to_pylist())
-        rows, place = _listing(tokens, starts, hashes, ~held_out, parts)
-        counts = {}
-        for kind, (order, _, bounds, own) in rows.items():
-            filled = np.zeros(len(own), np.int64)
-            for k, p, raw in zip(*(replies[c].to_pylist() for c in ("kind", "part", "totals")), strict=True):
-                if k == kind:
-                    filled[bounds[p]:bounds[p + 1]] = np.frombuffer(raw, "<u4")
-            counts[kind] = np.empty(len(own), np.int64)
-            counts[kind][order] = filled
-        word = np.append(0, counts[WORDS])
-        word[START] = word[END]  # every training text has one start and one end
-        history = word[_bigrams(tokens, starts) >> 32].astype(np.float64)
-        seen, pair = word[tokens], counts[BIGRAMS][place]
-        root = np.log10((seen + prior) / norm)
-        back = successors / (successors + np.maximum(history, 1.0) ** (1 - growth))
-        arc = np.where(pair > 0, np.log10((1 - back) * pair / np.maximum(history, 1.0) + back * 10 ** root), np.log10(back) + root)
-        arc = np.where(history > 0, arc, root)  # an unknown history is the root itself
-        return pa.table({
-            "doc_id": table["doc_id"], "held_out": table["held_out"],
-            "n_tokens": pa.array(np.diff(np.append(starts, len(tokens))).astype(np.int64)),
-            "n_known": pa.array(np.add.reduceat((seen > 0).astype(np.int64), starts)),
-            "train_tokens": pa.array(np.full(len(starts), tokens_seen, np.int64)),
-            "base_score": pa.array(np.add.reduceat(root, starts)), "score": pa.array(np.add.reduceat(arc, starts))})
-
-    return texts.select("block", "held_out", "doc_id", "text_key", "text").groupBy("block").cogroup(
-        answers.select("block", "kind", "part", "totals").groupBy("block")).applyInArrow(
-        run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        table = _row_order(table)
+        grams = Grams(table["text"].to_pylist(), order)
+        counted = {}
+        for n in range(1, order + 1):
+            at, bounds = _ordered(grams.hash[n], parts, 64)
+            filled = np.zeros(len(at), np.int64)
+            for kind, k, raw in zip(replies["kind"].to_pylist(), replies["part"].to_pylist(), replies["totals"], strict=True):
+                if kind == n:
+                    filled[bounds[k]:bounds[k + 1]] = _read_numbers(raw.as_py())
+            counted[n] = np.empty_like(filled)
+            counted[n][at] = filled
+        counted[1][START] = 0  # the start is no token
+        root = np.log10((counted[1] + prior) / norm)
+        walked = Automaton(grams, counted, order, root, successors, growth).walk()
+        seen = (counted[1][grams.tokens] > 0).astype(np.int64)
+        sizes = np.diff(np.append(grams.starts, len(grams.tokens)))
+        return _rows([table["doc_id"].combine_chunks(), table["held_out"].combine_chunks(), sizes, np.add.reduceat(seen, grams.starts),
+                      np.full(len(sizes), tokens_seen), np.add.reduceat(root[grams.tokens], grams.starts),
+                      np.add.reduceat(walked, grams.starts)], _SCORES)
+
+    replies = answers.select(F.col("source").alias("block"), "kind", "part", "totals")
+    return texts.select("block", "row", "held_out", "doc_id", "text").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, _SCORES)
 
 
 def held_out(id_col):
@@ -183,23 +310,33 @@ def held_out(id_col):
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES,
-                prior: float = PRIOR, successors: float = SUCCESSORS, growth: float = GROWTH) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, block_bytes: int = BLOCK_BYTES,
+                prior: float = PRIOR, successors: float = SUCCESSORS, growth: float = GROWTH, fan: int = FAN,
+                part_entries: int = PART_ENTRIES) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` per row of ``docs``.
 
     A null or empty text is one end token.  Rows with a null id are training
     texts.  Repeated rows count and are scored each.  ``base_score`` is the root's
-    score alone.  An empty table gives no rows.  Other columns are not read.
+    score alone.  An empty table gives no rows.  Other columns are not read.  Rows are
+    numbered as they are read, so ``docs`` should come from files or another stored table.
+    A text longer than ``block_bytes`` is a block of its own with those that share its number.
     """
+    if order < 1:
+        raise ValueError("order must be at least 1")
     size = docs.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 1)).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
-    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"),
-                         F.xxhash64(text_col).alias("text_key"), F.col(text_col).cast("binary").alias("text"),
-                         F.pmod(F.xxhash64(id_col, F.xxhash64(text_col)), F.lit(blocks)).cast("int").alias("block"))
-    texts, _ = stored_in_buckets(dealt.repartition(blocks, "block"), "blocks", blocks, ["block"])
-    answers = stored(totals(listings(texts, blocks)), "totals")
-    seen = answers.where(F.col("kind") == WORDS).agg(F.sum("tokens"), F.sum("different")).first()
-    return scored(texts, answers, blocks, seen[0] or 0, seen[1] or 0, prior, successors, growth)
+    row = F.monotonically_increasing_id()
+    numbered = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"),
+                           F.col(text_col).cast("binary").alias("text"), row.alias("row"))
+    dealt = numbered.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
+    buckets = min(blocks, BUCKETS)
+    texts, _ = stored_in_buckets(dealt.repartition(buckets, "block"), "blocks", buckets, ["block"])
+    cuts = cuts_for(order * size // 5, fan, part_entries)  # a token is five bytes or more with its blank, mostly
+    width = 5 if len(cuts) == 1 else 7  # bytes listed of a hash; its parts stand for the others
+    lists = listings(texts, order, cuts[0], width)
+    answers = stored(answered(lists if len(cuts) == 1 else stored(lists, "lists"), cuts, width, fan), "totals")
+    seen = answers.where(F.col("kind") == 1).agg(F.sum("tokens"), F.sum("different")).first()
+    return scored(texts, answers, order, cuts[0], seen[0] or 0, seen[1] or 0, prior, successors, growth)
 
 
 def op2_lm_scoring(spark, sf_dir):

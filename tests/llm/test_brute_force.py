@@ -94,35 +94,58 @@ def test_components(spark):
 # ------------------------------------------------------------------ language model
 
 def test_lm_scores(spark, texts):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     got = {r.doc_id: r for r in lm_scoring.op2_lm_scoring(spark, SF_SMALL).collect()}
-    small = lm_scoring.score_texts(spark.read.parquet(f"{SF_SMALL}/documents.parquet"), block_bytes=40_000)
-    again = {r.doc_id: r for r in small.collect()}
+    # many blocks; and lists that are cut three times, of four blocks at a time
+    small = {r.doc_id: r for r in lm_scoring.score_texts(docs, block_bytes=40_000).collect()}
+    cuts = lm_scoring.cuts_for(3 * docs.agg(F.sum(F.octet_length("text"))).first()[0] // 5, 4, 10_000)
+    assert len(cuts) == 3
+    deep = {r.doc_id: r for r in lm_scoring.score_texts(docs, block_bytes=40_000, fan=4, part_entries=10_000).collect()}
+    pairs_only = {r.doc_id: r for r in lm_scoring.score_texts(docs, order=2).collect()}
     tokens = {i: [*t.encode().lower().split(), None] for i, t in texts.items()}
     out = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in texts}
-    words, pairs = Counter(), Counter()
+    grams = Counter()
     for i, line in tokens.items():
         if not out[i]:
-            words.update(line)
-            pairs.update(zip(["<"] + line[:-1], line, strict=True))
-    total, different = sum(words.values()), len(words)
+            line = ["<", *line]
+            for n in (1, 2, 3):
+                grams.update(tuple(line[k:k + n]) for k in range(len(line) - n + 1))
+    texts_seen = grams.pop(("<",))
+    total, different = sum(c for g, c in grams.items() if len(g) == 1), sum(len(g) == 1 for g in grams)
     k, g = lm_scoring.SUCCESSORS, lm_scoring.GROWTH
-    better = []
+
+    def prob(history, w):
+        """Probability of a token after a history of up to two."""
+        if not history:
+            return (grams[w,] + 0.1) / (total + 0.1 * (different + 1))
+        c = texts_seen if history == ("<",) else grams[history]
+        lower = prob(history[1:], w)
+        if not c:
+            return lower
+        back = k / (k + c ** (1 - g))
+        return (1 - back) * grams[*history, w] / c + back * lower
+
+    sums = Counter()
     for i, line in tokens.items():
-        base = score = 0.0
-        for h, w in zip(["<"] + line[:-1], line, strict=True):
-            p = (words[w] + 0.1) / (total + 0.1 * (different + 1))
-            base += math.log10(p)
-            c = words[None] if h == "<" else words[h]
-            if c:
-                back = k / (k + c ** (1 - g))
-                p = (1 - back) * pairs[h, w] / c + back * p
-            score += math.log10(p)
-        for r in (got[i], again[i]):
-            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[i], len(line), sum(words[w] > 0 for w in line), total)
-            assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-9)
+        seen = ["<", *line]
+        base = sum(math.log10(prob((), w)) for w in line)
+        score = sum(math.log10(prob(tuple(seen[max(0, at - 1):at + 1]), w)) for at, w in enumerate(line))
+        two = sum(math.log10(prob(tuple(seen[at:at + 1]), w)) for at, w in enumerate(line))
+        for r, want in ((got[i], score), (small[i], score), (deep[i], score), (pairs_only[i], two)):
+            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (out[i], len(line), sum(grams[w,] > 0 for w in line), total)
+            assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(want, rel=1e-9)
         if out[i]:
-            better.append((score, base))
-    assert sum(s for s, _ in better) > sum(b for _, b in better)
+            sums.update({"base": base, "two": two, "three": score})
+    assert sums["two"] > sums["base"] and sums["three"] > sums["base"]
+
+
+def test_repeated_rows_and_very_frequent_tokens(spark):
+    """A row repeated on most of the table lies in many blocks; its copies count and are scored alike."""
+    rows = spark.range(30_000).select((F.col("id") % 3 + 1).alias("doc_id"), F.lit("same words again").alias("text")).unionByName(
+        spark.createDataFrame([(50, "other words")], "doc_id long, text string"))
+    got = lm_scoring.score_texts(rows, block_bytes=20_000).collect()
+    assert Counter(r.doc_id for r in got) == {1: 10_000, 2: 10_000, 3: 10_000, 50: 1}
+    assert len({(r.score, r.base_score, r.n_tokens, r.train_tokens) for r in got if r.doc_id in (1, 2, 3)}) == 1
 
 
 def test_probabilities_of_a_history_sum_to_one(spark):
@@ -133,7 +156,7 @@ def test_probabilities_of_a_history_sum_to_one(spark):
     known = ["a", "b", "c"]
     probes = ["", "a", "zz", *(f"a {w}" for w in [*known, "zz"]), *known]
     rows = spark.createDataFrame([*train.items(), *zip(ids, probes, strict=False)], "doc_id long, text string")
-    score = {r.doc_id: r.score for r in lm_scoring.score_texts(rows).where("held_out").collect()}
+    score = {r.doc_id: r.score for r in lm_scoring.score_texts(rows, order=2).where("held_out").collect()}
     value = {t: 10 ** score[i] for i, t in zip(ids, probes, strict=False)}
     # end(w) = P(end | w), first(w) = P(w | start): value[w] = first(w) * end(w); value["a w"] = first(a) * P(w | a) * end(w)
     k, g = lm_scoring.SUCCESSORS, lm_scoring.GROWTH
