@@ -10,13 +10,15 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass, field
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from affinity.operators.engagement import engagement_ratings, engagement_ratings_explicit
 from affinity.operators.purchase import purchase_preferences, purchase_ratings_explicit
+from affinity.schemas import EVENT, EVENT_RATING, ORDER_LINE, PURCHASE_RATING
 from affinity.sinks import SINKS, write_engagement, write_purchase
 from affinity.sources.orderlog import read_log_lines
 from affinity.sources.readers import SOURCE_KINDS, read_source
+from affinity.tableset import TableSetError, is_committed
 
 ALGORITHMS = ("EPREF", "NPREF")
 RATINGS = ("explicit", "implicit")
@@ -70,18 +72,37 @@ class PreferenceRequest:
         return hashlib.sha256(repr(asked).encode()).hexdigest()
 
 
-def build(request: PreferenceRequest, spark: SparkSession) -> dict[int, str]:
-    """Validate, read, compute and write; returns the written paths by table number.
+def plan(request: PreferenceRequest, spark: SparkSession) -> DataFrame:
+    """Everything about a request that can be told without reading rows; returns the unread input.
 
-    The tables are committed together.  After a failure the same request goes on from the tables that were finished.
+    Arguments, the source and its columns, the field spec and its types, and the
+    output are resolved by analysis (a Parquet source reads its footers); a mapped
+    column that is missing, a cast that cannot be, or a set that is already built raises here.
     """
     request.validate()
+    if is_committed(spark, request.output, request.name, request.uid):
+        raise TableSetError(f"{request.output}/{request.name}/{request.uid} is already built")
     explicit = request.rating == "explicit"
     if request.source.upper() == LOG:
         data = read_log_lines(spark, site=request.site, start=request.startdate, end=request.enddate,
                               **request.source_args)
     else:
         data = read_source(spark, request.algorithm, request.source, explicit, **request.source_args)
+    wanted = (EVENT_RATING if explicit else EVENT) if request.algorithm == "EPREF" else (PURCHASE_RATING if explicit else ORDER_LINE)
+    found = {f.name: f.dataType for f in data.schema.fields}
+    for f in wanted.fields:
+        if found.get(f.name) != f.dataType:
+            raise ValueError(f"input field '{f.name}' is {found.get(f.name)}, expected {f.dataType}")
+    return data
+
+
+def build(request: PreferenceRequest, spark: SparkSession) -> dict[int, str]:
+    """Plan, read, compute and write; returns the written paths by table number.
+
+    The tables are committed together.  After a failure the same request goes on from the tables that were finished.
+    """
+    data = plan(request, spark)
+    explicit = request.rating == "explicit"
     if request.algorithm == "NPREF":
         prefs = purchase_ratings_explicit(data) if explicit else purchase_preferences(data)
         return {1: write_purchase(prefs, request.output, request.name, request.uid, request.sink, request.digest())}

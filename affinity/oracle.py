@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from affinity.catalog import LOG_END, LOG_SITE, LOG_START, NESTED_ITEMS, SET_COLUMNS
+from affinity.catalog import BAD_EVERY, CUT_EVERY, LOG_END, LOG_SITE, LOG_START, NESTED_ITEMS, SET_COLUMNS
 from affinity.sources.scores import DEFAULT_EVENT_SCORES
 
 
@@ -216,6 +216,12 @@ ORACLE_SQL["nested_transactions"] = f"""SELECT site, "user", CAST((row_number()
 ORACLE_SQL["apply_registered_spec"] = ORACLE_SQL["apply_field_spec"]
 ORACLE_SQL["score_events_xml"] = ORACLE_SQL["score_events"]
 ORACLE_SQL["build_purchase_set"] = ORACLE_SQL["purchase_preferences"]
+ORACLE_SQL["read_orders_by_weight"] = ORACLE_SQL["read_orders_parquet"]
+_CUT_TEXT = f"""concat_ws(',', site, CASE WHEN item % {BAD_EVERY} = 0 THEN 'x' ELSE CAST("timestamp" AS VARCHAR) END, "user", "group")"""
+ORACLE_SQL["text_problems"] = f"""SELECT CASE WHEN item % {CUT_EVERY} = 0 THEN t ELSE t || ',' || item END AS value,
+  CASE WHEN item % {CUT_EVERY} = 0 THEN 'expected 5 fields' ELSE 'field ' || chr(39) || 'timestamp' || chr(39) END AS problem
+FROM (SELECT item, {_CUT_TEXT} AS t FROM ({ORACLE_SQL['read_orders_parquet']}))
+WHERE item % {CUT_EVERY} = 0 OR item % {BAD_EVERY} = 0"""
 ORACLE_SQL["read_events_json"] = ORACLE_SQL["read_events_parquet"]
 
 

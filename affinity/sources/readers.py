@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from affinity import schemas
+from affinity.plans.sequence import group_position
+from affinity.sources.strides import jdbc_predicates
 from affinity.functions.columns import required, required_cast
 from affinity.sources.fieldspec import FieldSpec, apply_field_spec, default_spec
 
@@ -42,15 +44,20 @@ def _order_schema(explicit: bool) -> T.StructType:
 
 # ---------------------------------------------------------------- text
 
-def _read_text(spark: SparkSession, path: str, layout: list[str], schema: T.StructType) -> DataFrame:
-    lines = spark.read.text(path)
+def _fields(layout: list[str]) -> tuple:
+    """Fields of a line as an array, and the columns by name."""
     # Trailing empty fields do not count, as with a plain string split.
     parts = F.split(F.regexp_replace(F.col("value"), ",+$", ""), ",", -1)
+    return parts, {name: F.element_at(F.col("_f"), i + 1) for i, name in enumerate(layout)}
+
+
+def _read_text(spark: SparkSession, path: str, layout: list[str], schema: T.StructType) -> DataFrame:
+    parts, by_name = _fields(layout)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"))
     checked = F.when(F.size(parts) != len(layout),
-                     F.raise_error(F.concat(F.lit(f"expected {len(layout)} fields: "), F.col("value")))
+                     F.raise_error(F.concat(F.lit(f"expected {len(layout)} fields: "), F.col("value"), F.lit(" in "), F.col("_file")))
                      ).otherwise(parts)
     fields = lines.select(checked.alias("_f"))
-    by_name = {name: F.element_at(F.col("_f"), i + 1) for i, name in enumerate(layout)}
     return fields.select(*[
         (required(by_name[f.name], f"field '{f.name}'") if f.dataType == T.StringType()
          else required_cast(by_name[f.name], f.dataType, f"field '{f.name}'")).alias(f.name)
@@ -58,6 +65,29 @@ def _read_text(spark: SparkSession, path: str, layout: list[str], schema: T.Stru
     ])
 
 
+def text_problems(spark: SparkSession, path: str, algorithm: str, explicit: bool = False) -> DataFrame:
+    """The lines that the text reader of ``algorithm`` refuses: ``file, line, value, problem``, lines from 1.
+
+    Lines are numbered per file over range partitions (``plans.sequence``), in order
+    of the blocks of a file and the rows of a block, so a file of any size is split.
+    """
+    if algorithm == "EPREF":
+        layout, schema = (EVENT_TEXT_EXPLICIT if explicit else EVENT_TEXT_IMPLICIT), _event_schema(explicit)
+    else:
+        layout, schema = (ORDER_TEXT_EXPLICIT if explicit else ORDER_TEXT_IMPLICIT), _order_schema(explicit)
+    parts, by_name = _fields(layout)
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_row"), "value", parts.alias("_f"))
+    problem = F.when(F.size("_f") != len(layout), F.lit(f"expected {len(layout)} fields"))
+    for f in schema.fields:
+        field = F.get("_f", F.lit(layout.index(f.name)))  # null past the end of a short line
+        problem = problem.when((field if f.dataType == T.StringType() else field.try_cast(f.dataType)).isNull(), F.lit(f"field '{f.name}'"))
+    marked = lines.select("file", "_start", "_row", problem.alias("problem"), F.when(problem.isNotNull(), F.col("value")).alias("value"))
+    placed = group_position(marked, ["file"], ["_start", "_row"], "_place")
+    return placed.where("problem is not null").select("file", (F.col("_place") + 1).alias("line"), "value", "problem")
+
+
 def read_events_text(spark: SparkSession, path: str, explicit: bool = False) -> DataFrame:
     """``site,user,item,time,event[,score]`` lines."""
     layout = EVENT_TEXT_EXPLICIT if explicit else EVENT_TEXT_IMPLICIT
@@ -113,8 +143,13 @@ def jdbc_options(url: str, table: str, properties: dict | None = None, partition
             "upperBound": str(upper_bound), "numPartitions": str(num_partitions)}
 
 
-def _read_jdbc(spark: SparkSession, *args) -> DataFrame:
-    return spark.read.format("jdbc").options(**jdbc_options(*args)).load()
+def _read_jdbc(spark: SparkSession, url, table, properties, partition_column, lower_bound, upper_bound, num_partitions) -> DataFrame:
+    """By the given strides; without bounds by predicates of equal weight, planned from the column (``sources.strides``)."""
+    if partition_column is not None and num_partitions and lower_bound is None and upper_bound is None:
+        predicates = jdbc_predicates(spark, url, table, properties or {}, partition_column, num_partitions)
+        return spark.read.jdbc(url, table, predicates=predicates, properties={k: str(v) for k, v in (properties or {}).items()})
+    return spark.read.format("jdbc").options(
+        **jdbc_options(url, table, properties, partition_column, lower_bound, upper_bound, num_partitions)).load()
 
 
 def read_events_jdbc(spark: SparkSession, url: str, table: str, spec: FieldSpec | None = None,

@@ -46,6 +46,16 @@ def _record(spark: SparkSession, root: str, label: str):
         raise
 
 
+def is_committed(spark: SparkSession, base: str, name: str, uid: str) -> bool:
+    """Whether a set has its final marker; lists files only."""
+    try:
+        return bool(spark.read.schema(RECORD).json(f"{set_root(base, name, uid)}/manifest/{COMMITTED}").inputFiles())
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" in (missing.getCondition() or ""):
+            return False
+        raise
+
+
 def _summary(df: DataFrame) -> list:
     """Row count and an order-free checksum over all columns."""
     hashed = F.xxhash64(*df.columns).cast("decimal(38,0)")

@@ -1,0 +1,111 @@
+"""Strides planned from the data, located text errors, requests refused before any row is read."""
+
+import os
+import random
+
+import pytest
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
+
+from affinity.job import PreferenceRequest, build, plan
+from affinity.sources import strides
+from affinity.sources.fieldspec import FieldSpec
+from affinity.sources.readers import read_orders_text, text_problems
+from affinity.tableset import TableSetError
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_every_row_has_one_predicate(seed):
+    import duckdb
+
+    rnd = random.Random(seed)
+    values = [rnd.choice([None, 7, 7, rnd.randint(-50, 50), int(rnd.paretovariate(0.4)) % 10**9]) for _ in range(3000)]
+    some = [v for v in values if v is not None]
+
+    def counts(low, high, step):
+        out: dict = {}
+        for v in some:
+            if low <= v < high:
+                out[(v - low) // step] = out.get((v - low) // step, 0) + 1
+        return out
+
+    found = strides.stride_predicates(counts, "c", min(some), max(some), len(some), 20, bins=16)
+    assert len(found) <= 2 * 20 + 2
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (c BIGINT)")
+    con.executemany("INSERT INTO t VALUES (?)", [(v,) for v in values])
+    hits = [f"CAST(coalesce({p}, false) AS INTEGER)" for p in found]
+    assert con.execute(f"SELECT min({' + '.join(hits)}), max({' + '.join(hits)}) FROM t").fetchone() == (1, 1)
+    share, most = len(some) / 20, max(some.count(v) for v in set(some))
+    assert max(con.execute(f"SELECT count(*) FROM t WHERE {p}").fetchone()[0] for p in found[:-1]) <= max(share, most) + 1
+    # the grouped query that a database answers gives the same counts
+    low, high, step = min(some), max(some) + 1, max(1, (max(some) - min(some)) // 16)
+    asked = con.execute(f"SELECT * FROM {strides.counts_query('t', 'c', low, high, step)}").fetchall()
+    assert {int(b): n for b, n in asked} == counts(low, high, step)
+    assert con.execute(f"SELECT * FROM {strides.bounds_query('t', 'c')}").fetchone() == (min(some), max(some), len(some))
+
+
+def test_empty_columns_and_one_value():
+    assert strides.stride_predicates(lambda *_: {}, "c", None, None, 0, 4) == ["c IS NULL", "c IS NOT NULL"]
+    assert strides.stride_predicates(lambda low, high, step: {0: 9}, "c", 5, 5, 9, 4) == ["c IS NOT NULL", "c IS NULL"]
+
+
+def test_strides_of_a_table(spark):
+    df = spark.range(2000).select(F.when(F.col("id") < 1500, F.lit(3)).when(F.col("id") % 9 > 0, F.col("id") * 1000).alias("k"), "id")
+    sizes = [df.where(p).count() for p in strides.table_predicates(df, "k", 8, bins=4)]
+    assert sum(sizes) == 2000 and sizes[0] == 1500 and max(sizes[1:]) <= 250
+
+
+def test_bad_lines_are_named(spark, scratch):
+    for name, rows in (("a.txt", ["s,1,u,g,5", "s,x,u,g,5", "s,1,u,g"]), ("b.txt", ["s,1,u,g,5"] * 400 + ["s,1,u,g,5,6", "", "s,1,u,g,z"])):
+        with open(os.path.join(scratch, name), "w", encoding="utf-8") as fh:
+            fh.write("\n".join(rows) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        got = {(os.path.basename(r.file), r.line): (r.value, r.problem) for r in text_problems(spark, scratch, "NPREF").collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {("a.txt", 2): ("s,x,u,g,5", "field 'timestamp'"), ("a.txt", 3): ("s,1,u,g", "expected 5 fields"),
+                   ("b.txt", 401): ("s,1,u,g,5,6", "expected 5 fields"), ("b.txt", 402): ("", "expected 5 fields"),
+                   ("b.txt", 403): ("s,1,u,g,z", "field 'item'")}
+    with pytest.raises(Exception, match=r"expected 5 fields: s,1,u,g,5,6 in .*b\.txt"):
+        read_orders_text(spark, os.path.join(scratch, "b.txt")).collect()
+
+
+def _jobs(spark, run):
+    sc = spark.sparkContext
+    sc.setJobGroup("plan-check", "requests that are refused")
+    try:
+        run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    return len(sc.statusTracker().getJobIdsForGroup("plan-check"))
+
+
+def test_requests_are_refused_without_a_job(spark, scratch):
+    path = os.path.join(scratch, "e.json")
+    with open(path, "w", encoding="utf-8") as fh:
+        fh.write('{"shop": "s", "user": "u", "item": "i", "timestamp": "1", "event": "7"}\n')
+    good = FieldSpec.of({"site": "shop", "user": "user", "item": "item", "timestamp": "timestamp", "event": "event"})
+
+    def request(spec, uid="1", **more):
+        args = dict(uid=uid, name="p", algorithm="EPREF", source="ELASTIC", output=os.path.join(scratch, "out"),
+                    source_args={"source": path, "spec": spec})
+        return PreferenceRequest(**{**args, **more})
+
+    assert sorted(build(request(good), spark)) == [1, 2, 3, 4, 5]
+    df = spark.createDataFrame([("s", "u", "i", 1, [7])], "shop string, user string, item string, timestamp long, event array<int>")
+
+    def refused():
+        for bad, error in ((request(good), TableSetError), (request(good.with_fields(site=("nowhere +", ""))), Exception),
+                           (request(FieldSpec.of({"site": "shop"}), "2"), KeyError), (request(good, "3", sink="REDIS"), ValueError),
+                           (request(good, "4", source_args={"source": df.select("shop", "user"), "spec": good}), AnalysisException),
+                           (request(good, "5", source="PARQUET", source_args={"path": os.path.join(scratch, "none"), "spec": good}), AnalysisException)):
+            with pytest.raises(error):
+                build(bad, spark)
+
+    assert _jobs(spark, refused) == 0
+    assert _jobs(spark, lambda: plan(request(good, "6"), spark)) == 0
+    from affinity.sources.readers import map_events
+    with pytest.raises(AnalysisException):
+        map_events(df, good)  # an array is no event code
