@@ -24,14 +24,14 @@ from affinity.llm.shared import read_documents, small_batches
 from affinity.plans.materialize import materialize
 
 FEATURES = 1 << 16
-#: Bound of the labelled ids of each class that are sampled: half of them fit the support vectors, half the curve.
+#: Bound of the labelled ids of each class that are sampled, and of their different texts: half of these fit the support vectors, half the curve.
 SAMPLE_ROWS = 3000
 #: The labels are broadcast if they have at most this many rows (16 bytes each); beyond, Spark joins by shuffle.
 BROADCAST_ROWS = 500_000
 COST = 1.0
 ROUNDS = 20
 THRESHOLD = 0.3
-#: Bytes of a text turned into features at a time.
+#: Bytes of a text turned into features at a time; cut between words.
 SLICE = 1 << 20
 #: Class of each byte in a word's shape: lower, upper, digit, other ASCII mark, beyond ASCII.
 _CLASS = np.full(256, 4, np.uint32)
@@ -48,12 +48,30 @@ def _hash(values: np.ndarray) -> np.ndarray:
     return (mixed >> np.uint64(64 - FEATURES.bit_length() + 1)).astype(np.int64)
 
 
+def _slices(data: np.ndarray) -> list[tuple[int, int, bool]]:
+    """Byte ranges of about ``SLICE`` bytes that end before a word, and whether a range begins two words early.
+
+    The two words repeat the end of the range before, so neighbours are seen together; a longer word is not cut.
+    """
+    blank = _BLANK[data]
+    begin = np.flatnonzero(~blank & np.append(True, blank[:-1])) if len(data) else np.zeros(0, np.int64)
+    if len(begin) < 3 or len(data) <= SLICE:
+        return [(0, len(data), False)]
+    out, word = [], 0
+    while word < len(begin):
+        after = max(word + 1, int(np.searchsorted(begin, begin[word] + SLICE)))
+        early = max(0, word - 2)
+        out.append((int(begin[early]) if word else 0, int(begin[after]) if after < len(begin) else len(data), early > 0 or word > 2))
+        word = max(after, 2)
+    return out
+
+
 def text_features(text: bytes | None) -> np.ndarray:
     """Distinct feature numbers of a text, sorted; empty for a null or empty text."""
     data = np.frombuffer(text or b"", np.uint8)
     found = np.zeros(FEATURES, bool)
-    for lo in range(0, len(data), SLICE):
-        part = data[max(0, lo - 2):lo + SLICE].astype(np.uint32)
+    for lo, hi, early in _slices(data):
+        part = data[lo:hi].astype(np.uint32)
         if len(part) > 2:
             found[_hash(part[:-2] << 16 | part[1:-1] << 8 | part[2:])] = True
         blank = _BLANK[part]
@@ -73,7 +91,7 @@ def text_features(text: bytes | None) -> np.ndarray:
         shape = has | _CLASS[part[begin]].astype(np.uint64) << np.uint64(5) | _CLASS[last].astype(np.uint64) << np.uint64(8) \
             | np.minimum(length, 12).astype(np.uint64) // np.uint64(3) << np.uint64(11)
         again = np.append(False, own[1:] == own[:-1]).astype(np.uint64)
-        shape = shape << np.uint64(1) | again
+        shape = (shape << np.uint64(1) | again)[1 if early else 0:]  # (what stands before the first word of a range is not known)
         found[_hash(shape | np.uint64(1 << 40))] = True
         found[_hash(shape[1:] << np.uint64(20) | shape[:-1] | np.uint64(1 << 60))] = True
     return np.flatnonzero(found)
@@ -212,9 +230,15 @@ def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         known = F.broadcast(known)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     picked = [known.where(F.col("y") == k).orderBy(F.xxhash64("id", F.lit(5)), "id").limit(sample_rows) for k in (0, 1)]
-    picked = materialize(picked[0].unionByName(picked[1]))
-    return train(*(texts.join(rows, F.col("doc_id") == F.col("id")).select("doc_id", "text", "y")
-                   for rows in (known, F.broadcast(picked))), **options)
+    picked = F.broadcast(materialize(picked[0].unionByName(picked[1])))  # 2 * sample_rows ids at most
+    # an id may stand on any number of rows: its different texts, and of all of them again sample_rows a class
+    held = texts.withColumn("key", F.xxhash64("text")).join(picked, F.col("doc_id") == F.col("id"))
+    rows = held.select("doc_id", "key", "y").distinct()
+    rows = [rows.where(F.col("y") == k).orderBy(F.xxhash64("doc_id", "key"), "doc_id", "key").limit(sample_rows) for k in (0, 1)]
+    rows = F.broadcast(materialize(rows[0].unionByName(rows[1])))
+    sample = held.join(rows, ["doc_id", "key", "y"]).groupBy("doc_id", "key", "y").agg(F.min("text").alias("text"))
+    return train(texts.join(known, F.col("doc_id") == F.col("id")).select("doc_id", "text", "y"),
+                 sample.select("doc_id", "text", "y"), **options)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -3,7 +3,7 @@
 Pass 1 scatters the rows uniformly into memory-sized buckets by a seeded hash.
 Pass 2 reads one bucket at a time, puts it in a fixed order, shuffles it
 (Fisher-Yates, seeded by bucket) and gives its rows consecutive positions after
-those of the buckets before it.  Position ``p`` goes to shard ``p mod n``, slot
+those of the buckets before it (prefix sums of the buckets' sizes).  Position ``p`` goes to shard ``p mod n``, slot
 ``p div n``, so shard sizes differ by one row at most (the law ``rows``) and
 slots have no gaps.  The buckets' sizes depend only on the hash, not on sources,
 texts or lengths of groups.
@@ -20,39 +20,66 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from affinity.llm.shared import read_documents, stored
+from affinity.plans.heavy import key_sketch, listed
 
 LAW = "rows"
 SHARDS = 8
 SEED = 20240607
 #: Text bytes a bucket should hold; one bucket is in a task's memory at a time.
 BUCKET_BYTES = 24 << 20
+#: Buckets whose sizes are summed together; and up to how many their starts are broadcast (16 bytes each).
+GROUP, BROADCAST_BUCKETS = 1024, 500_000
 
 
 def _size(text_col: str):
     return (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long")
 
 
-def bucket_count(docs: DataFrame, text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> int:
-    total = docs.agg(F.sum(_size(text_col))).first()[0] or 0
-    return max(1, math.ceil(total / bucket_bytes))
+def _measured(docs: DataFrame, id_col: str, text_col: str, bucket_bytes: int) -> tuple[int, DataFrame | None]:
+    """Number of buckets, and the (id, text) that stand on a large share of the rows, from one pass."""
+    keyed = docs.select(_size(text_col).alias("s"), F.xxhash64(id_col, F.xxhash64(text_col)).alias("k"))
+    seen = keyed.agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("n"), key_sketch(["k"]).alias("top")).first()
+    repeated = [r for r in seen["top"] or () if r["count"] > 1]
+    return max(1, math.ceil((seen["s"] or 0) / bucket_bytes)), listed(docs.sparkSession, repeated, seen["n"])
+
+
+def _starts(keyed: DataFrame) -> DataFrame:
+    """Rows in the buckets before each one: prefix sums inside groups of buckets, and of the groups."""
+    counts = keyed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("g", F.floor(F.col("__bucket") / GROUP))
+    groups = counts.groupBy("g").agg(F.sum("n").alias("n"))  # a row per GROUP buckets
+    before = groups.select("g", (F.sum("n").over(Window.orderBy("g")) - F.col("n")).alias("ahead"))
+    inside = F.sum("n").over(Window.partitionBy("g").orderBy("__bucket")) - F.col("n")
+    return counts.select("__bucket", "g", inside.alias("own")).join(before, "g").select(
+        "__bucket", (F.col("own") + F.col("ahead")).cast("long").alias("__first"))
 
 
 def shuffled_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id",
                     text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """All columns of ``docs`` plus ``__shard`` (int) and ``__slot`` (long).
 
-    The order is a function of the rows and the seed alone.  Null ids and null or
-    empty texts are rows like any other (size 1); rows equal in id and text share
-    a bucket and each gets a slot of its own.  An empty table gives no rows.
+    The order is a function of the ids, the texts and the seed.  Null ids and null
+    or empty texts are rows like any other (size 1); rows equal in id and text each get a slot of
+    their own, any of them the same one.  Where such rows are a thousandth of the table or
+    more, they are scattered by their number as read, so no bucket holds them all; else they share a bucket.
+    An empty table gives no rows.  Columns named ``__bucket``, ``__first``, ``__tie``, ``__shard`` or ``__slot`` are refused.
     """
-    buckets = bucket_count(docs, text_col, bucket_bytes)
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(text_col)), F.lit(buckets))
-    keyed = docs.withColumn("__bucket", bucket)
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per bucket, whatever the corpus holds: bounded by corpus bytes / bucket_bytes.
-    starts = keyed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n")).select(
-        "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).cast("long").alias("__first"))
-    dealt = keyed.join(F.broadcast(starts), "__bucket").withColumn("__tie", F.xxhash64(text_col))
+    clash = {"__bucket", "__first", "__tie", "__shard", "__slot"} & set(docs.columns)
+    if clash:
+        raise ValueError(f"columns with names of the operator: {sorted(clash)}")
+    buckets, heavy = _measured(docs, id_col, text_col, bucket_bytes)
+    key = F.xxhash64(id_col, F.xxhash64(text_col))
+    if heavy is None:
+        keyed = docs.withColumn("__bucket", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(buckets)))
+    else:
+        numbered = docs.withColumn("__tie", F.monotonically_increasing_id()).withColumn("__bucket", key)
+        marked = numbered.join(F.broadcast(heavy.select(F.col("_key").alias("__first"))), F.xxhash64("__bucket") == F.col("__first"), "left")
+        own = F.when(F.col("__first").isNotNull(), F.col("__tie")).otherwise(F.lit(0))
+        keyed = marked.withColumn("__bucket", F.pmod(F.xxhash64(F.lit(seed), "__bucket", own), F.lit(buckets))).drop("__first", "__tie")
+        keyed = stored(keyed, "scattered")  # numbers of rows must not change between the two uses
+    starts = _starts(keyed)
+    if buckets <= BROADCAST_BUCKETS:
+        starts = F.broadcast(starts)
+    dealt = keyed.join(starts, "__bucket").withColumn("__tie", F.xxhash64(text_col))
     dealt = dealt.repartition("__bucket").sortWithinPartitions("__bucket", id_col, "__tie")
     fields = [f for f in dealt.schema.fields if f.name not in ("__bucket", "__first", "__tie")]
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields]

@@ -201,6 +201,56 @@ def test_shards_keep_whole_records_and_do_not_depend_on_partitions(spark):
     assert [r.doc_id for r in sorted(sharding.shuffled_shards(docs, seed=2).collect(), key=lambda r: (r["__slot"], r["__shard"]))] != order
 
 
+def test_shard_columns_against_plain_python(spark, texts):
+    for r in sharding.op3_sharding(spark, SF_SMALL).collect():
+        raw = (texts[r.doc_id] or "").encode()
+        assert (r["size"], r.text_crc32) == (len(raw) + 1, zlib.crc32(raw))
+
+
+def test_equal_rows_are_scattered_over_buckets(spark):
+    """Half of the rows are one row: its copies lie in all buckets, and the law still holds."""
+    docs = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id")).alias("doc_id"),
+                                      F.when(F.col("id") % 2 == 0, F.lit("one text")).otherwise(F.concat(F.lit("text "), F.col("id"))).alias("text"))
+    got = sharding.shuffled_shards(docs, bucket_bytes=30_000).collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["__shard"]].append(r["__slot"])
+    assert sorted(map(len, slots.values())) == [5000] * 8 and all(sorted(s) == list(range(5000)) for s in slots.values())
+    copies = [r["__slot"] for r in got if r.doc_id == 7]
+    assert len(copies) == 20_000
+    spread = np.bincount(np.array(copies) // 250, minlength=20)  # about half of every stretch of the order
+    assert spread.max() < 2 * np.median(spread)
+    with pytest.raises(ValueError, match="names of the operator"):
+        sharding.shuffled_shards(docs.withColumn("__slot", F.lit(1)))
+
+
+def test_long_texts_have_the_features_of_the_whole(monkeypatch):
+    rng = random.Random(4)
+    words = ["a", "bb", "ccc", "Dd", "e5", "ünï", "x" * 90, "repeat", "repeat"]
+    for n in (0, 1, 2, 3, 7, 400):
+        text = "".join(rng.choice(words) + rng.choice([" ", "  ", "\n", " \t"]) for _ in range(n)).encode()
+        for text in (text, b" \n" + text, text.strip()):
+            want = quality.text_features(text).tolist()
+            for size in (1, 5, 64, 300):
+                monkeypatch.setattr(quality, "SLICE", size)
+                assert quality.text_features(text).tolist() == want, (n, size)
+            monkeypatch.undo()
+
+
+def test_a_labelled_id_on_many_rows_is_bounded(spark, monkeypatch):
+    ids = [i for i in range(1, 200) if zlib.crc32(str(i).encode()) % 5]
+    hot, bad = ids[0], ids[1::2]
+    docs = spark.range(20_000).select(F.lit(hot).alias("doc_id"), F.concat(F.lit("Good words stand here, number "), F.col("id") % 5000).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(i, "zzz qqq ### 123" if i in bad else "Good words stand here.") for i in ids[1:]], "doc_id long, text string"))
+    labels = spark.createDataFrame([(i, 0 if i in bad else 1) for i in ids], "doc_id long, quality int")
+    seen = []
+    real = quality.train
+    monkeypatch.setattr(quality, "train", lambda labelled, sample, **kw: (seen.append(sample.groupBy("doc_id", "y").count().collect()), real(labelled, sample, **kw))[1])
+    got = {r.doc_id: r["__score"] for r in quality.classify(docs, labels, sample_rows=50).where(F.col("doc_id") != hot).collect()}
+    assert sum(r["count"] for r in seen[0]) <= 100
+    assert min(got[i] for i in got if i not in bad) > 0.3 > max(got[i] for i in bad)
+
+
 # ------------------------------------------------------------------ decontamination
 
 def _shingles(text):
