@@ -15,8 +15,9 @@ with one minimiser form a *super-k-mer*.
 4. Where it has several, one copy of each travels as a packed string to the
    minimiser's bucket, which sorts the windows by their words and gives every
    window the smallest doc_id that holds it.  A bucket with many different
-   strings is cut by window content into tasks of bounded size; equal windows
-   stay together.
+   strings is dealt over tasks of bounded size by string; what each task found
+   for a window is combined by the window's 128-bit hash, one row per task, so
+   a passage in any number of different surroundings is no group of its own.
 5. Per document, the windows held by a smaller doc_id cover the words that go.
 """
 
@@ -165,28 +166,10 @@ def _word_bounds(packed: bytes) -> tuple[list[int], list[int]]:
     return [0, *(b + 1 for b in blanks)], [*blanks, len(packed)]
 
 
-def _tasks(strings: DataFrame, width: int, bucket_strings: int) -> DataFrame:
-    """Deal strings to tasks: a bucket is a task, or several by window content if it has many strings."""
-    def run(batches):
-        for batch in batches:
-            out = []
-            for h, k1, k2, packed, low, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if n <= bucket_strings:
-                    out.append((h, 0, k1, k2, 0, packed, low))
-                    continue
-                parts = -(-n // bucket_strings)
-                begin, end = _word_bounds(packed)
-                for j in range(len(begin) - width + 1):
-                    window = packed[begin[j]:end[j + width - 1]]
-                    out.append((h, xxhash.xxh64_intdigest(window) % parts, k1, k2, j, window, low))
-            for k in range(0, len(out), 4096):
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-                names = ["h", "part", "k1", "k2", "shift", "packed", "low"]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out[k:k + 4096], strict=True), kinds, strict=True)], names=names)
-
-    return strings.select("h", "k1", "k2", "packed", "low", "n").mapInArrow(
-        run, "h long, part long, k1 long, k2 long, shift long, packed binary, low long")
+def _tasks(strings: DataFrame, bucket_strings: int) -> DataFrame:
+    """Strings with ``parts``, the tasks of their bucket, and their own ``part``: equal ones once, about ``bucket_strings`` in each."""
+    parts = F.ceil(F.col("n") / bucket_strings)
+    return strings.select("h", F.pmod("k1", parts).alias("part"), parts.alias("parts"), "k1", "k2", "packed", "low")
 
 
 def sorted_window_lows(strings: list[bytes], lows: list[int], width: int) -> list[list[int]]:
@@ -214,16 +197,29 @@ def sorted_window_lows(strings: list[bytes], lows: list[int], width: int) -> lis
     return out
 
 
+def _window_hashes(packed: bytes, width: int) -> np.ndarray:
+    """128-bit hashes of the windows of a string, one row of two numbers per window."""
+    begin, end = _word_bounds(packed)
+    digests = [xxhash.xxh3_128_digest(packed[begin[j]:end[j + width - 1]]) for j in range(len(begin) - width + 1)]
+    return np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+
+
 def window_lows(tasks: DataFrame, width: int) -> DataFrame:
-    """``(k1, k2, shift, lows)``: the smallest doc_id holding each window of a string."""
+    """``(k1, k2, part, lows, w1, w2)``: the smallest doc_id of its task holding each window of a string.
+
+    The windows' hashes are given where the bucket has several tasks, else they are empty.
+    """
     ordered = tasks.repartition("h", "part").sortWithinPartitions("h", "part")
+    names = ["k1", "k2", "part", "lows", "w1", "w2"]
+    lists = pa.list_(pa.int64())
 
     def solve(rows):
         lows = sorted_window_lows([r[5] for r in rows], [r[6] for r in rows], width)
+        hashes = [_window_hashes(r[5], width) if r[2] > 1 else np.empty((0, 2), np.int64) for r in rows]
         return pa.RecordBatch.from_arrays(
-            [pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64()),
-             pa.array([r[4] for r in rows], pa.int64()), pa.array(lows, pa.list_(pa.int64()))],
-            names=["k1", "k2", "shift", "lows"])
+            [pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.int64()),
+             pa.array([r[1] for r in rows], pa.int64()), pa.array(lows, lists),
+             pa.array([w[:, 0] for w in hashes], lists), pa.array([w[:, 1] for w in hashes], lists)], names=names)
 
     def run(batches):
         held = []
@@ -236,7 +232,22 @@ def window_lows(tasks: DataFrame, width: int) -> DataFrame:
         if held:
             yield solve(held)
 
-    return ordered.mapInArrow(run, "k1 long, k2 long, shift long, lows array<bigint>")
+    return ordered.mapInArrow(run, "k1 long, k2 long, part long, lows array<bigint>, w1 array<bigint>, w2 array<bigint>")
+
+
+def lower_elsewhere(sorted_windows: DataFrame) -> DataFrame:
+    """``(k1, k2, shift, lows)``: the windows for which another task of their bucket has a smaller doc_id, with the smallest.
+
+    A window has one low per task, so its minimum is over as many rows as the
+    bucket has tasks, and it comes back to a task's strings only.
+    """
+    cells = sorted_windows.where(F.size("w1") > 0) \
+        .select("k1", "k2", "part", F.posexplode(F.arrays_zip("lows", "w1", "w2")).alias("shift", "w")) \
+        .select("k1", "k2", "part", F.col("shift").cast("long").alias("shift"), "w.w1", "w.w2", F.col("w.lows").alias("low"))
+    partial = cells.groupBy("w1", "w2", "part").agg(F.min("low").alias("low"))
+    whole = partial.groupBy("w1", "w2").agg(F.min("low").alias("least"), F.max("low").alias("most")).where("least < most")
+    lower = partial.join(whole, ["w1", "w2"]).where("least < low").select("w1", "w2", "part", "least")
+    return cells.join(lower, ["w1", "w2", "part"]).select("k1", "k2", "shift", F.array("least").alias("lows"))
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
@@ -265,7 +276,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     alone = sized.where("strings = 1").select(
         "k1", "k2", F.lit(0).cast("long").alias("shift"),
         F.array_repeat(F.col("first.doc_id"), F.col("first.n").cast("int")).alias("lows"))
-    lows = alone.unionByName(window_lows(_tasks(packed, width, bucket_strings), width))
+    held = stored(window_lows(_tasks(packed, bucket_strings), width), "windows")
+    lows = alone.unionByName(held.select("k1", "k2", F.lit(0).cast("long").alias("shift"), "lows")) \
+        .unionByName(lower_elsewhere(held))
     marks = found.select("doc_id", "text_key", "at", "k1", "k2").distinct().join(lows, ["k1", "k2"]) \
         .where(F.array_min("lows") < F.col("doc_id")) \
         .groupBy("doc_id").agg(F.collect_list(F.struct("text_key", (F.col("at") + F.col("shift")).alias("at"), "lows")).alias("marks"))

@@ -606,7 +606,7 @@ def _removed(docs, width=50):
     return out
 
 
-@pytest.mark.parametrize("bucket_strings", [4096, 1])
+@pytest.mark.parametrize("bucket_strings", [4096, 3, 1])
 def test_substrings(spark, texts, bucket_strings):
     rng = random.Random(6)
     passage = [f"shared{k}" for k in range(80)]
@@ -622,3 +622,25 @@ def test_substrings(spark, texts, bucket_strings):
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     got = substring_dedup.dedup_substrings(df, bucket_strings=bucket_strings).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in got} == _removed(docs)
+
+
+def test_a_passage_in_many_surroundings(spark):
+    """One passage between different words in every document: its windows meet once per task, in any order of the ids."""
+    passage = [f"held{k}" for k in range(60)]
+    ids = random.Random(8).sample(range(10_000), 400)
+    docs = {i: " ".join([f"a{i}_{k}" for k in range(i % 45)] + passage + [f"b{i}_{k}" for k in range(45)]) for i in ids}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(7)
+    got = substring_dedup.dedup_substrings(df, bucket_strings=16).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in got} == _removed(docs)
+    assert sum(r.n_removed for r in got) == 60 * 399
+
+    strings = spark.createDataFrame([(7, i, 0, " ".join(docs[i].split()).encode(), i, 400) for i in ids],
+                                    "h long, k1 long, k2 long, packed binary, low long, n long")
+    tasks = substring_dedup._tasks(strings, 16)
+    assert tasks.groupBy("part").count().agg(F.max("count")).first()[0] < 3 * 16
+    held = substring_dedup.window_lows(tasks, 50)
+    hot = held.select("part", F.explode("w1").alias("w1")).distinct().groupBy("w1").count().agg(F.max("count")).first()[0]
+    assert hot == 25  # rows of the hottest window: one per task of its bucket, not one per string
+    first = min(ids)
+    lower = substring_dedup.lower_elsewhere(held).collect()
+    assert {r.lows[0] for r in lower} >= {first} and all(len(r.lows) == 1 for r in lower)
