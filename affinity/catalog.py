@@ -18,7 +18,7 @@ from affinity.operators import engagement as E
 from affinity.operators import features as FT
 from affinity.operators import purchase as P
 from affinity.sources import shop_tables as S
-from affinity.sources.fieldspec import apply_field_spec
+from affinity.sources.fieldspec import FieldSpec, apply_field_spec
 from affinity.plans.materialize import materialize
 from affinity.sources.orderlog import order_item_log
 from affinity.sources.readers import (EVENT_TEXT_EXPLICIT, EVENT_TEXT_IMPLICIT, ORDER_TEXT_EXPLICIT, ORDER_TEXT_IMPLICIT, map_orders,
@@ -221,6 +221,34 @@ def _q_events_json(spark, sf):
     return read_source(spark, "EPREF", "ELASTIC", False, source=path)
 
 
+#: Nested documents: a message per event, and a document per order whose lines are an array.
+EVENT_PATHS = FieldSpec.of({"site": "$.shop.id", "user": "$.visitor['id no']", "item": "$.action.item",
+                            "event": "$.action.code", "timestamp": "$.seen[0]"})
+SCORED_PATHS = EVENT_PATHS.with_fields(score=("$.action.score", "Double"))
+ORDER_PATHS = FieldSpec.of({"site": "$.shop", "user": "$.customer.id", "group": "$.order", "timestamp": "$.customer.time",
+                            "item": "@.article.id"})
+
+
+def _q_nested_events(spark, sf, explicit=False):
+    """Events read by paths from JSON messages of several levels (S7, S8, through the dispatch)."""
+    action = ["item", F.col("event").alias("code"), *(["score"] if explicit else [])]
+    messages = (events_explicit(spark, sf) if explicit else events(spark, sf)).select(
+        F.struct(F.col("site").alias("id")).alias("shop"), F.struct(F.col("user").alias("id no")).alias("visitor"),
+        F.struct(*action).alias("action"), F.array("timestamp").alias("seen"))
+    path = f"{checkpoint_dir(spark)}/nested-{uuid.uuid4().hex}"
+    messages.write.json(path)
+    return read_source(spark, "EPREF", "ELASTIC", explicit, source=path, spec=SCORED_PATHS if explicit else EVENT_PATHS)
+
+
+def _q_nested_orders(spark, sf):
+    """Order lines from one document per order, a row for every element of its lines."""
+    line = F.struct(F.struct(F.col("item").alias("id")).alias("article"))
+    orders = lines_one_shop(spark, sf).groupBy(F.col("site").alias("shop"), F.struct(F.col("user").alias("id"), F.col("timestamp").alias("time"))
+                                               .alias("customer"), F.col("group").alias("order")).agg(F.collect_list(line).alias("lines"))
+    docs = orders.select(F.to_variant_object(F.struct("*")).alias("doc"))
+    return read_orders_documents(spark, docs, ORDER_PATHS, variant_column="doc", each="$.lines")
+
+
 def _q_xml_scores(spark, sf):
     """Events scored by a score table that is read from XML."""
     path = f"{checkpoint_dir(spark)}/scores-{uuid.uuid4().hex}"
@@ -273,6 +301,9 @@ QUERIES: dict[str, Query] = {
     "read_orders_text": _q_orders_text,
     "read_orders_text_explicit": lambda s, sf: _q_orders_text(s, sf, explicit=True),
     "read_events_json": _q_events_json,
+    "read_events_nested": _q_nested_events,
+    "read_events_nested_explicit": lambda s, sf: _q_nested_events(s, sf, explicit=True),
+    "read_orders_nested": _q_nested_orders,
     "text_problems": _q_text_problems,
     "read_orders_by_weight": _q_orders_by_weight,
     "order_item_log": _q_order_item_log,

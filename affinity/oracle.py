@@ -236,6 +236,8 @@ ORACLE_SQL["build_engagement_set"] = " UNION ALL ".join(_in_common(part, ORACLE_
 # Document readers give the records they were made from.
 for _name in ("events", "orders"):
     ORACLE_SQL[f"read_{_name}_documents"] = ORACLE_SQL[f"read_{_name}_documents_map"] = ORACLE_SQL[f"read_{_name}_parquet"]
+    ORACLE_SQL[f"read_{_name}_nested"] = ORACLE_SQL[f"read_{_name}_parquet"]
+    ORACLE_SQL[f"read_{_name}_nested_explicit"] = ORACLE_SQL[f"read_{_name}_parquet_explicit"]
     ORACLE_SQL[f"read_{_name}_text"] = ORACLE_SQL[f"read_{_name}_parquet"]
     ORACLE_SQL[f"read_{_name}_text_explicit"] = ORACLE_SQL[f"read_{_name}_parquet_explicit"]
     ORACLE_SQL[f"read_{_name}_documents_explicit"] = ORACLE_SQL[f"read_{_name}_parquet_explicit"]

@@ -10,7 +10,9 @@ Every reader ends in the same logical schema (``affinity.schemas``):
 Text files have no header and no quoting; fields are comma separated and a line
 with the wrong number of fields fails the job.  Parquet, JDBC and JSON document
 inputs go through a field mapping (``fieldspec``).  The document readers take
-the place of a search-engine connector: records whose fields are all strings.
+the place of a search-engine connector: records whose fields are all strings,
+or nested documents, whose fields are given by paths and whose arrays can give
+a row per element.
 """
 
 from __future__ import annotations
@@ -168,14 +170,50 @@ def read_orders_jdbc(spark: SparkSession, url: str, table: str, spec: FieldSpec
 
 # ---------------------------------------------------------------- documents
 
-def _read_documents(spark: SparkSession, source, spec: FieldSpec, map_column: str | None = None) -> DataFrame:
+def is_path(source: str) -> bool:
+    """Whether a field's source is a path into a nested document: ``$...`` from its root, ``@...`` from an element."""
+    return source[:1] in ("$", "@")
+
+
+def _read_nested(spark: SparkSession, source, keys: list[str], variant_column: str | None, each: str | None) -> DataFrame:
+    """One column per path of ``keys``, as strings, from documents of any shape held as ``VARIANT``.
+
+    ``source`` is a path of JSON lines, or a DataFrame with the documents in
+    ``variant_column`` (``VARIANT``, or strings of JSON).  ``each`` is the path
+    of an array: every element of it gives a row, and ``@`` paths start there.
+    A document whose array is missing, null or empty gives no rows; a path that
+    is missing or null gives a null; objects and arrays come as JSON text.
+    """
+    flat = [k for k in keys if not is_path(k)]
+    if flat:
+        raise ValueError(f"nested documents are read by paths ($... or @...), not by {flat}")
+    if each is None and any(k.startswith("@") for k in keys):
+        raise ValueError("paths from an element (@...) need the path of its array (each=)")
+    if isinstance(source, DataFrame):
+        if variant_column is None:
+            raise ValueError("nested documents in a DataFrame need their column (variant_column=)")
+        held = F.col(f"`{variant_column}`")
+        if isinstance(source.select(held).schema[0].dataType, T.StringType):
+            held = F.parse_json(held)
+        docs = source.select(held.alias("_doc"))
+    else:
+        docs = spark.read.option("singleVariantColumn", "_doc").option("mode", "FAILFAST").json(source)
+    if each is not None:
+        docs = docs.select("_doc", F.explode(F.variant_get("_doc", each, "array<variant>")).alias("_each"))
+    return docs.select(*[F.variant_get("_each" if k.startswith("@") else "_doc", f"${k[1:]}", "string").alias(k) for k in keys])
+
+
+def _read_documents(spark: SparkSession, source, spec: FieldSpec, map_column: str | None = None,
+                    variant_column: str | None = None, each: str | None = None) -> DataFrame:
     """JSON lines (path) or a DataFrame; every mapped field is read as a string.
 
     A DataFrame may hold each document as one ``map<string,string>`` column
     (``map_column``); fields are then looked up by key, and a missing key is a
-    missing value.
+    missing value.  Nested documents are read by paths, ``_read_nested``.
     """
     keys = list(dict.fromkeys(spec.sources()))
+    if variant_column is not None or each is not None or any(map(is_path, keys)):
+        return _read_nested(spark, source, keys, variant_column, each)
     if isinstance(source, DataFrame):
         if map_column is not None:
             return source.select(*[F.col(f"`{map_column}`").getItem(k).alias(k) for k in keys])
@@ -185,16 +223,16 @@ def _read_documents(spark: SparkSession, source, spec: FieldSpec, map_column: st
     return spark.read.schema(schema).option("mode", "FAILFAST").json(source)
 
 
-def read_events_documents(spark: SparkSession, source, spec: FieldSpec | None = None,
-                          explicit: bool = False, map_column: str | None = None) -> DataFrame:
+def read_events_documents(spark: SparkSession, source, spec: FieldSpec | None = None, explicit: bool = False,
+                          map_column: str | None = None, variant_column: str | None = None, each: str | None = None) -> DataFrame:
     spec = spec or default_spec("EPREF", explicit)
-    return map_events(_read_documents(spark, source, spec, map_column), spec, explicit)
+    return map_events(_read_documents(spark, source, spec, map_column, variant_column, each), spec, explicit)
 
 
-def read_orders_documents(spark: SparkSession, source, spec: FieldSpec | None = None,
-                          explicit: bool = False, map_column: str | None = None) -> DataFrame:
+def read_orders_documents(spark: SparkSession, source, spec: FieldSpec | None = None, explicit: bool = False,
+                          map_column: str | None = None, variant_column: str | None = None, each: str | None = None) -> DataFrame:
     spec = spec or default_spec("NPREF", explicit)
-    return map_orders(_read_documents(spark, source, spec, map_column), spec, explicit)
+    return map_orders(_read_documents(spark, source, spec, map_column, variant_column, each), spec, explicit)
 
 
 # ---------------------------------------------------------------- dispatch
