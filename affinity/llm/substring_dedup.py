@@ -205,20 +205,19 @@ def _window_hashes(packed: bytes, width: int) -> np.ndarray:
 
 
 def window_lows(tasks: DataFrame, width: int) -> DataFrame:
-    """``(k1, k2, part, lows, w1, w2)``: the smallest doc_id of its task holding each window of a string.
+    """``(h, part, k1, k2, lows, w1, w2)``: the smallest doc_id of its task holding each window of a string.
 
     The windows' hashes are given where the bucket has several tasks, else they are empty.
     """
     ordered = tasks.repartition("h", "part").sortWithinPartitions("h", "part")
-    names = ["k1", "k2", "part", "lows", "w1", "w2"]
+    names = ["h", "part", "k1", "k2", "lows", "w1", "w2"]
     lists = pa.list_(pa.int64())
 
     def solve(rows):
         lows = sorted_window_lows([r[5] for r in rows], [r[6] for r in rows], width)
         hashes = [_window_hashes(r[5], width) if r[2] > 1 else np.empty((0, 2), np.int64) for r in rows]
         return pa.RecordBatch.from_arrays(
-            [pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.int64()),
-             pa.array([r[1] for r in rows], pa.int64()), pa.array(lows, lists),
+            [*(pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1, 3, 4)), pa.array(lows, lists),
              pa.array([w[:, 0] for w in hashes], lists), pa.array([w[:, 1] for w in hashes], lists)], names=names)
 
     def run(batches):
@@ -232,22 +231,43 @@ def window_lows(tasks: DataFrame, width: int) -> DataFrame:
         if held:
             yield solve(held)
 
-    return ordered.mapInArrow(run, "k1 long, k2 long, part long, lows array<bigint>, w1 array<bigint>, w2 array<bigint>")
+    return ordered.mapInArrow(run, "h long, part long, k1 long, k2 long, lows array<bigint>, w1 array<bigint>, w2 array<bigint>")
 
 
-def lower_elsewhere(sorted_windows: DataFrame) -> DataFrame:
-    """``(k1, k2, shift, lows)``: the windows for which another task of their bucket has a smaller doc_id, with the smallest.
+def _distinct_windows(held: DataFrame) -> DataFrame:
+    """``(h, part, w1, w2, low)`` of the windows of the strings, copies in a batch once."""
+    keys = ["h", "part", "w1", "w2"]
+
+    def run(batches):
+        for batch in batches:
+            h, part, low, w1, w2 = batch.columns
+            times = pa.array(np.repeat(np.arange(batch.num_rows), low.value_lengths().to_numpy()))
+            cells = pa.table([h.take(times), part.take(times), w1.flatten(), w2.flatten(), low.flatten()], names=[*keys, "low"])
+            once = cells.group_by(keys).aggregate([("low", "min")])
+            yield from once.select([*keys, "low_min"]).rename_columns([*keys, "low"]).to_batches()
+
+    return held.select("h", "part", "lows", "w1", "w2").mapInArrow(run, "h long, part long, w1 long, w2 long, low long")
+
+
+def lows_over_tasks(held: DataFrame) -> DataFrame:
+    """``(k1, k2, lows)`` of the strings of buckets with several tasks, ``lows`` over the whole bucket.
 
     A window has one low per task, so its minimum is over as many rows as the
-    bucket has tasks, and it comes back to a task's strings only.
+    bucket has tasks at most; it goes back to a task once, for all its strings.
     """
-    cells = sorted_windows.where(F.size("w1") > 0) \
-        .select("k1", "k2", "part", F.posexplode(F.arrays_zip("lows", "w1", "w2")).alias("shift", "w")) \
-        .select("k1", "k2", "part", F.col("shift").cast("long").alias("shift"), "w.w1", "w.w2", F.col("w.lows").alias("low"))
-    partial = cells.groupBy("w1", "w2", "part").agg(F.min("low").alias("low"))
-    whole = partial.groupBy("w1", "w2").agg(F.min("low").alias("least"), F.max("low").alias("most")).where("least < most")
-    lower = partial.join(whole, ["w1", "w2"]).where("least < low").select("w1", "w2", "part", "least")
-    return cells.join(lower, ["w1", "w2", "part"]).select("k1", "k2", "shift", F.array("least").alias("lows"))
+    partial = _distinct_windows(held).groupBy("h", "part", "w1", "w2").agg(F.min("low").alias("low"))
+    whole = partial.groupBy("h", "w1", "w2").agg(F.min("low").alias("least"), F.max("low").alias("most")).where("least < most")
+    lower = partial.join(whole, ["h", "w1", "w2"]).where("least < low").select("h", "part", "w1", "w2", "least")
+
+    def combine(_, strings: pa.Table, lower: pa.Table) -> pa.Table:
+        w1, w2, least = (lower[c].to_pylist() for c in ("w1", "w2", "least"))
+        best = dict(zip(zip(w1, w2, strict=True), least, strict=True))
+        lows = [[best.get((a, b), low) for low, a, b in zip(*row, strict=True)]
+                for row in zip(*(strings[c].to_pylist() for c in ("lows", "w1", "w2")), strict=True)]
+        return pa.table([strings["k1"], strings["k2"], pa.array(lows, pa.list_(pa.int64()))], names=["k1", "k2", "lows"])
+
+    keys = ["h", "part"]
+    return held.groupBy(*keys).cogroup(lower.groupBy(*keys)).applyInArrow(combine, "k1 long, k2 long, lows array<bigint>")
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
@@ -274,14 +294,13 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "at", "n", "h", "k1", "k2", "strings")).alias("parts"))
     packed = packed_strings(texts.join(parts, "doc_id").select("doc_id", "text_key", "text", "parts"), width)
     alone = sized.where("strings = 1").select(
-        "k1", "k2", F.lit(0).cast("long").alias("shift"),
-        F.array_repeat(F.col("first.doc_id"), F.col("first.n").cast("int")).alias("lows"))
+        "k1", "k2", F.array_repeat(F.col("first.doc_id"), F.col("first.n").cast("int")).alias("lows"))
     held = stored(window_lows(_tasks(packed, bucket_strings), width), "windows")
-    lows = alone.unionByName(held.select("k1", "k2", F.lit(0).cast("long").alias("shift"), "lows")) \
-        .unionByName(lower_elsewhere(held))
+    several = F.size("w1") > 0
+    lows = alone.unionByName(held.where(~several).select("k1", "k2", "lows")).unionByName(lows_over_tasks(held.where(several)))
     marks = found.select("doc_id", "text_key", "at", "k1", "k2").distinct().join(lows, ["k1", "k2"]) \
         .where(F.array_min("lows") < F.col("doc_id")) \
-        .groupBy("doc_id").agg(F.collect_list(F.struct("text_key", (F.col("at") + F.col("shift")).alias("at"), "lows")).alias("marks"))
+        .groupBy("doc_id").agg(F.collect_list(F.struct("text_key", "at", "lows")).alias("marks"))
     bare = source.where("doc_id is null").withColumn("marks", F.lit(None).cast(dict(marks.dtypes)["marks"]))
     both = [texts.join(marks, "doc_id", "left").select("doc_id", "text_key", "text", "marks"), bare]
 
