@@ -299,6 +299,50 @@ def test_near_copies_with_repeated_shingles(spark):
     assert {(r.doc_id - 100, r.item_id): r.similarity for r in got} == {(k, k): 90 / 112 for k in bench}
 
 
+def test_sliding_windows_hold_their_shingles(spark):
+    """What came and went up to a start is the window's multiset, copies numbered from 1, with gaps between windows and repeats."""
+    rng = random.Random(6)
+    texts, starts = {}, []
+    for t in range(12):
+        hs = [rng.randrange(1, 3 + 5 * t) for _ in range(rng.choice([1, 9, 80]))]
+        texts[t] = hs
+        for m in (1, 4, 30):
+            n = min(m, len(hs))
+            starts += [(t, 0, m, n, s) for s in sorted(rng.sample(range(len(hs) - n + 1), min(4, len(hs) - n + 1)))]
+    starts_df = spark.createDataFrame(starts, "t1 long, t2 long, m int, n int, start int")
+    texts_df = spark.createDataFrame([(t, 0, hs) for t, hs in texts.items()], "t1 long, t2 long, hs array<bigint>")
+    moves = defaultdict(list)
+    places = decontamination.covered(starts_df, texts_df)
+    for r in decontamination.changes(places).collect():
+        moves[r.t1, r.m].append(r)
+    for t, _, m, n, s in starts:
+        held = Counter()
+        for r in moves[t, m]:
+            if r.s <= s:
+                held[r.h, r.j] += r.sign
+        window = Counter(texts[t][s:s + n])
+        assert {k: c for k, c in held.items() if c} == {(h, j): 1 for h, c in window.items() for j in range(1, c + 1)}
+    assert places.count() == sum(len({p for x in starts if (x[0], x[2]) == key for p in range(x[4], x[4] + x[3])}) for key in {(x[0], x[2]) for x in starts})
+
+
+def test_long_items_are_linear(spark):
+    """An item of 20,000 words (its windows hold 10**8 shingles in all), changed and repeated words included."""
+    item = [f"w{k % 15_000}" for k in range(20_000)]  # a quarter of its shingles stand twice
+    near = [*item[:300], "CHANGED", *item[301:]]
+    docs = [(1, " ".join(item)), (2, " ".join(["head"] * 50 + near + ["tail"] * 50)), (3, " ".join(item[:9_000])), (4, "clean")]
+    got = decontamination.contaminations(spark.createDataFrame(docs, "doc_id long, text string"),
+                                         spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    shared = 19_996 - 5
+    assert {(r.doc_id, r.start, r.n_words): r.similarity for r in got} == {(1, 0, 20_000): 1.0, (2, 50, 20_000): shared / (2 * 19_996 - shared)}
+
+
+def test_kept_rows_keep_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(30))), (2, "clean")], "doc_id long, text string")
+    docs = docs.withColumns({name: F.lit(name) for name in ("row", "own1", "__own1", "__t1", "t1", "t2", "hs", "m", "start", "__text")})
+    kept = decontamination.decontaminated(docs, docs.where("doc_id = 1").select(F.col("doc_id").alias("item_id"), "text"))
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(2, "clean", *docs.columns[2:])]
+
+
 def test_items_without_an_id_or_with_a_shared_one(spark):
     texts = [" ".join(f"{name}{k}" for k in range(30)) for name in ("a", "b", "c", "d")]
     docs = spark.createDataFrame([(k, f"some words before {t} and after") for k, t in enumerate(texts)] + [(9, "clean words only in this one")],
