@@ -172,7 +172,8 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     item = [F.xxhash64(item_text).alias("i1"), F.xxhash64(F.lit(1), item_text).alias("i2")]
     names = benchmark.select(F.col(item_id).cast("long").alias("item_id"), *item).distinct()
     own = benchmark.select(*item, F.col(item_text).alias("__text")).dropDuplicates(["i1", "i2"])
-    hashed = shingled(own, ["i1", "i2"], "__text", size).where(F.size("hs") > 0)
+    # (stored first: a filter on the array, explode's own too, would split the text again for every shingle)
+    hashed = stored(shingled(own, ["i1", "i2"], "__text", size), "shingles")
     items = hashed.select("i1", "i2", F.size("hs").alias("m"), F.explode("hs").alias("h"))
     items = stored(items.groupBy("i1", "i2", "m", "h").agg(F.count(F.lit(1)).cast("int").alias("c")), "items")
     marks = items.select("h", "m").distinct()

@@ -329,7 +329,7 @@ def test_long_items_are_linear(spark):
     """An item of 20,000 words (its windows hold 10**8 shingles in all), changed and repeated words included."""
     item = [f"w{k % 15_000}" for k in range(20_000)]  # a quarter of its shingles stand twice
     near = [*item[:300], "CHANGED", *item[301:]]
-    docs = [(1, " ".join(item)), (2, " ".join(["head"] * 50 + near + ["tail"] * 50)), (3, " ".join(item[:9_000])), (4, "clean")]
+    docs = [(1, " ".join(item)), (2, " ".join(["head"] * 50 + near + [f"t{k}" for k in range(30_000)])), (3, " ".join(item[:9_000])), (4, "clean")]
     got = decontamination.contaminations(spark.createDataFrame(docs, "doc_id long, text string"),
                                          spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
     shared = 19_996 - 5
