@@ -4,9 +4,10 @@ The rules find e-mail addresses, IP addresses, card numbers and phone numbers.
 The field adds spans the rules miss.  It is trained here from a small labelled
 table: about ``labelled_lines`` different runs of words of the corpus, labelled by
 the rules, dealt evenly over the kinds they hold and weighted to their numbers in
-the corpus (so copies change nothing), and the fixed lines of ``FORMS``, which hold
-forms the rules miss.  A word's
-features are its own shape and those of the words around it.  Only words that
+the corpus (so copies change nothing; long runs train in pieces of ``PIECE_WORDS`` words), and
+the lines of ``personal_forms``, which hold forms the rules miss and negatives.  A word's
+features are its own shape, what its numbers' own checks say, its digits and its run's,
+and the words around it; words count whole, whatever their length.  Only words that
 hold a digit or an ``@`` (*active* words) can be tagged, a constraint of the
 field itself; other words are outside every span, so each run of active words is
 a chain of its own and the runs are decoded exactly by Viterbi, in numpy batches
@@ -15,6 +16,7 @@ of equal lengths.
 
 from __future__ import annotations
 
+import ipaddress
 import re
 from collections import defaultdict
 
@@ -24,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from affinity.llm.personal_forms import labelled_lines
 from affinity.llm.shared import read_documents, small_batches, stored
 
 #: Kinds of spans, in the order of the contract (fixed values).
@@ -34,19 +37,12 @@ STEPS = 80
 #: Tags: outside, then beginning and inside of each kind.
 TAGS = 1 + 2 * len(KINDS)
 
-#: Labelled lines of forms the rules miss (spans as ``[kind:text]``), and of words that look like them.
-FORMS = [
-    *(line.replace("#", number) for line in ("call [phone:#] now", "tel [phone:#]", "Phone: [phone:#]", "my number is [phone:#]", "or [phone:#] today")
-      for number in ("(253) 555-0199", "253-555-0199", "(030) 1234567", "253.555.0199")),
-    *(line.replace("#", number) for line in ("card [card:#] please", "paid with [card:#]", "Card: [card:#]")
-      for number in ("4111.1111.1111.1111", "4111/1111/1111/1111")),
-    *(line.replace("#", name) for line in ("mail [email:#] now", "write to [email:#]", "Mail: [email:#]")
-      for name in ("root@localhost", "jane.doe@mailhost", "info9@intranet")),
-    "card 4111.1111.1111.1112 please", "paid with 4111/1111/1111/1112", "version 4.11.2 of 2024", "on 2024-05-01 at 10:30", "pages 253-255 of 300",
-    "ask @jane now", "thanks @team9", "part 253-55 and 12 more", "room (253) on floor 5", "about 1234567 items", "price 25.99 or 30.50", "in 1999",
-]
-#: Share of the labelled table's weight that the lines of ``FORMS`` have.
-FORMS_SHARE = 0.1
+#: Share of the labelled table's weight that the lines of ``personal_forms`` have.
+FORMS_SHARE = 0.5
+#: Longer runs train as pieces of this many words (they are decoded whole).
+PIECE_WORDS = 16
+#: Places in a word's features of those that hold its exact shape, or its marks.
+SHAPED = (0, 2, 5, 6, 7, 9, 11)
 
 ACTIVE = re.compile("[0-9@]")
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -57,6 +53,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile("[0-9]")
+#: Marks that close a sentence or a quotation.
+CLOSING = ".,;:!?\"'"
 
 
 # ------------------------------------------------------------------ rules
@@ -107,19 +105,26 @@ def rule_spans(text: str) -> list[tuple[int, int, int]]:
 def word_shape(word: str) -> str:
     """Letters become a or A (runs as one), digit runs their length class, marks stay."""
     out = []
-    for part in re.findall(r"[0-9]+|[a-z]+|[A-Z]+|[^\W\d_]+|.", word[:64], re.DOTALL):
+    for part in re.findall(r"[0-9]+|[a-z]+|[A-Z]+|[^\W\d_]+|.", word, re.DOTALL):
         if part[0] in "0123456789":
             out.append("9" * min(len(part), 5) if len(part) < 9 else "N")
         else:
             out.append("a" if part.islower() else "A" if part.isalpha() else part)
-    return "".join(out) + ("~" if len(word) > 64 else "")
+    return "".join(out)
 
 
 def word_check(word: str) -> str:
-    """What a number's own rules say of a word: card checksum, address parts, or nothing."""
-    digits = "".join(DIGITS.findall(word))
-    if 12 <= len(digits) <= 19:
-        return f"luhn {_luhn(digits)}"
+    """What a number's own rules say of a word: card checksum, address parts, names on both sides of an ``@``, or nothing."""
+    if "@" in word:
+        return f"at {bool(re.search('[0-9A-Za-z]@[0-9A-Za-z]', word))}"
+    digits = DIGITS.findall(word)
+    if 12 <= len(digits) <= 19 and not re.search("[A-Za-z]", word):
+        return f"luhn {_luhn(''.join(digits))}"
+    if 2 <= word.count(":") <= 7 and len(word) <= 39:  # no longer word is an address
+        try:
+            return f"address {bool(ipaddress.IPv6Address(word))}"
+        except ValueError:
+            return "address False"
     address = IP.search(word)
     return f"parts {_is_ip(address[0])}" if address else ""
 
@@ -128,24 +133,35 @@ def _number(feature: str) -> int:
     return xxhash.xxh32_intdigest(feature.encode("utf-8", "replace")) % FEATURES
 
 
+def _features(core: str, word: str, shapes: list[str], cue: str, digits: int, whole: str) -> list[int]:
+    """Feature numbers of a word; ``core`` has no closing marks, ``shapes`` are those of the word before, its own and the next."""
+    before, own, after = shapes
+    check, marks = word_check(core), "".join(sorted(set(re.findall("[^0-9A-Za-z]", core))))
+    count = f"{min(digits, 20)}"
+    return [_number(f) for f in ("0" + own, "c" + check, "C" + check + marks, "-" + before, "+" + after, "<" + before + " " + own, ">" + own + " " + after,
+                                 "m" + marks, "d" + count + " " + check, "D" + count + marks, whole, "R" + whole + marks, "w" + cue,
+                                 f"t{word[len(core):len(core) + 1]}", f"z{core[:1] == '0'}{core[:1] == '('}{count}")]
+
+
 def runs(text: str):
     """Runs of active words in the lines of a text: lists of (start, end, features)."""
     at = 0
     for line in text.split("\n"):
         if ACTIVE.search(line):
             words = [(m.start() + at, m.end() + at, m[0]) for m in WORDS.finditer(line)]
-            shapes = ["<", *(word_shape(w) if len(w) < 400 else "long" for _, _, w in words), ">"]
-            run = []
-            for k, (a, b, word) in enumerate(words):
-                if ACTIVE.search(word):
-                    run.append((a, b, [_number(f) for f in (
-                        "0" + shapes[k + 1], "c" + word_check(word) + shapes[k + 1], "-" + shapes[k], "+" + shapes[k + 2], "<" + shapes[k] + " " + shapes[k + 1],
-                        ">" + shapes[k + 1] + " " + shapes[k + 2], "m" + "".join(sorted(set(re.findall("[^0-9A-Za-z]", word)))))]))
-                elif run:
-                    yield run
-                    run = []
-            if run:
-                yield run
+            cores = [w.rstrip(CLOSING) for _, _, w in words]
+            shapes = ["<", *map(word_shape, cores), ">"]
+            cues = ["<", *(c.lower() if c.isalpha() else "" for c in cores), ">"]
+            k = 0
+            while k < len(words):
+                stop = k
+                while stop < len(words) and ACTIVE.search(words[stop][2]):
+                    stop += 1
+                if stop > k:
+                    digits = [len(DIGITS.findall(c)) for c in cores[k:stop]]
+                    whole = f"r{min(sum(digits), 20)} {min(stop - k, 5)}"
+                    yield [(*words[j][:2], _features(cores[j], words[j][2], shapes[j:j + 3], cues[j], digits[j - k], whole)) for j in range(k, stop)]
+                k = stop + 1
         at += len(line) + 1
 
 
@@ -170,7 +186,7 @@ def _lse(x, axis):
 def train_field(chains: list, tags: list, steps: int = STEPS, weights: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Emission, transition and start weights by gradient ascent (AdaGrad) on the likelihood (each chain with its weight), forward-backward in batches."""
     mass = np.ones(len(chains)) if weights is None else np.array(weights, float)
-    emit, move, first = np.zeros((FEATURES, TAGS)), np.zeros((TAGS, TAGS)), np.zeros(TAGS)
+    emit, move, first = np.zeros((FEATURES + 1, TAGS)), np.zeros((TAGS, TAGS)), np.zeros(TAGS)
     grown = [np.full_like(x, 1e-6) for x in (emit, move, first)]
     batches = [(feats, np.array([tags[k] for k in part]), mass[part]) for part, feats in _by_length(chains)]
     for _ in range(steps):
@@ -195,6 +211,7 @@ def train_field(chains: list, tags: list, steps: int = STEPS, weights: list | No
                     np.add.at(slope[1], (gold[:, t - 1], gold[:, t]), times)
                 else:
                     slope[2] += gap.sum(0)
+        slope[0][FEATURES] = 0  # a feature left out weighs nothing
         for x, g, total in zip((emit, move, first), slope, grown, strict=True):
             total += g * g
             x += 0.5 * g / np.sqrt(total)
@@ -241,27 +258,25 @@ def tagged_spans(run: list, tags: list[int], text: str):
         while stop < len(run) and tags[stop] == 2 + 2 * kind:
             stop += 1
         start, end = run[at][0], run[stop - 1][1]
-        while end > start and text[end - 1] in ".,;:!?\"'":
+        while end > start and text[end - 1] in CLOSING:
             end -= 1
         if end > start:
             yield start, kind, end
         at = stop
 
 
-def form_table() -> tuple[list, list]:
-    """Runs of active words of ``FORMS`` and their tags."""
-    chains, tags = [], []
-    for line in FORMS:
-        text, spans, at = "", [], 0
-        for m in re.finditer(r"\[(\w+):([^]]+)\]", line):
-            text += line[at:m.start()]
-            spans.append((len(text), KINDS.index(m[1]), len(text) + len(m[2])))
-            text, at = text + m[2], m.end()
-        text += line[at:]
+def form_table(lines=None) -> tuple[list, list]:
+    """Different runs of active words of the labelled lines and their tags, each also without its exact shapes.
+
+    The second form makes the field weigh what unseen shapes have too: marks, numbers of digits, checks.
+    """
+    table = {}
+    for text, kind, start, end in labelled_lines() if lines is None else lines:
+        spans = [(start, KINDS.index(kind), end)] if kind else rule_spans(text)
         for chain in runs(text):
-            chains.append([f for _, _, f in chain])
-            tags.append(rule_tags(chain, spans))
-    return chains, tags
+            table.setdefault(str([f for _, _, f in chain]), ([f for _, _, f in chain], rule_tags(chain, spans)))
+    chains, tags = [c for c, _ in table.values()], [t for _, t in table.values()]
+    return chains + [[[FEATURES if k in SHAPED else f for k, f in enumerate(word)] for word in c] for c in chains], tags + tags
 
 
 def shares(sizes: dict[int, int], lines: int) -> dict[int, int]:
@@ -286,9 +301,10 @@ def labelled_table(docs: DataFrame, id_col: str, text_col: str, lines: int) -> t
             for text in batch.column(0).to_pylist():
                 spans = rule_spans(text)
                 for chain in runs(text):
-                    if len(chain) <= 16:
-                        feats.append([f for _, _, f in chain])
-                        tags.append(rule_tags(chain, spans))
+                    own = rule_tags(chain, spans)
+                    for lo in range(0, len(chain), PIECE_WORDS):
+                        feats.append([f for _, _, f in chain[lo:lo + PIECE_WORDS]])
+                        tags.append(own[lo:lo + PIECE_WORDS])
             held = [sum({1 << (t - 1) // 2 for t in row if t}) for row in tags]
             yield pa.RecordBatch.from_arrays([pa.array(feats, pa.list_(pa.list_(pa.int32()))), pa.array(tags, pa.list_(pa.int32())),
                                               pa.array(held, pa.int32())], names=["features", "tags", "held"])
@@ -316,13 +332,25 @@ def labelled_table(docs: DataFrame, id_col: str, text_col: str, lines: int) -> t
     return chains, tags, [w * lines / total for w in weights]
 
 
+def _forms_held(chain: list, lengths: set[int]) -> set[tuple]:
+    """Shapes and checks of every stretch of a run's words of one of these lengths."""
+    kinds = [tuple(word[:2]) for word in chain]
+    return {tuple(kinds[at:at + size]) for size in lengths for at in range(len(kinds) - size + 1)}
+
+
 def training_table(docs: DataFrame, id_col: str, text_col: str, lines: int) -> tuple[list, list, list]:
-    """The corpus' labelled runs and those of ``FORMS``, whose tags hold where the features are equal."""
+    """The corpus' labelled runs and those of ``personal_forms``.
+
+    The rules know nothing of a form that they miss: a corpus run that they leave untagged does not train
+    if it holds the words (shapes and checks) of a span of ``personal_forms``.
+    """
     chains, tags = form_table()
-    known = {str(c) for c in chains}
+    spans = {tuple(tuple(word[:2]) for word, tag in zip(c, t, strict=True) if tag) for c, t in zip(chains, tags, strict=True)
+             if any(t) and FEATURES not in c[0]}
+    lengths = {len(span) for span in spans}
     weights = [FORMS_SHARE * lines / len(chains)] * len(chains)
     for chain, own, weight in zip(*labelled_table(docs, id_col, text_col, lines), strict=True):
-        if str(chain) not in known:
+        if any(own) or not spans & _forms_held(chain, lengths):
             chains.append(chain)
             tags.append(own)
             weights.append(weight)
