@@ -17,12 +17,12 @@ a row per element.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from affinity import schemas
-from affinity.plans.sequence import group_position
+from affinity.plans.materialize import written
 from affinity.sources.strides import jdbc_predicates
 from affinity.functions.columns import required, required_cast
 from affinity.sources.fieldspec import FieldSpec, apply_field_spec, default_spec
@@ -70,8 +70,11 @@ def _read_text(spark: SparkSession, path: str, layout: list[str], schema: T.Stru
 def text_problems(spark: SparkSession, path: str, algorithm: str, explicit: bool = False) -> DataFrame:
     """The lines that the text reader of ``algorithm`` refuses: ``file, line, value, problem``, lines from 1.
 
-    Lines are numbered per file over range partitions (``plans.sequence``), in order
-    of the blocks of a file and the rows of a block, so a file of any size is split.
+    One task reads the lines of a block of a file in order, so a line's number is the
+    lines of the file's earlier blocks and its place in its own.  The input is read
+    once, and stored: another read could cut the files into other blocks.  Only the
+    counts, a row per block, are summed and broadcast; no line is shuffled or sorted,
+    and a task holds no more for a longer file.
     """
     if algorithm == "EPREF":
         layout, schema = (EVENT_TEXT_EXPLICIT if explicit else EVENT_TEXT_IMPLICIT), _event_schema(explicit)
@@ -86,8 +89,12 @@ def text_problems(spark: SparkSession, path: str, algorithm: str, explicit: bool
         field = F.get("_f", F.lit(layout.index(f.name)))  # null past the end of a short line
         problem = problem.when((field if f.dataType == T.StringType() else field.try_cast(f.dataType)).isNull(), F.lit(f"field '{f.name}'"))
     marked = lines.select("file", "_start", "_row", problem.alias("problem"), F.when(problem.isNotNull(), F.col("value")).alias("value"))
-    placed = group_position(marked, ["file"], ["_start", "_row"], "_place")
-    return placed.where("problem is not null").select("file", (F.col("_place") + 1).alias("line"), "value", "problem")
+    kept, _ = written(marked, "lines")
+    blocks = kept.groupBy("file", "_start").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("file", "_start", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_ahead"))
+    bad = kept.where("problem is not null").join(F.broadcast(starts), ["file", "_start"])
+    return bad.select("file", (F.col("_ahead") + F.col("_row") + 1).alias("line"), "value", "problem")
 
 
 def read_events_text(spark: SparkSession, path: str, explicit: bool = False) -> DataFrame:

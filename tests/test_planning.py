@@ -1,7 +1,11 @@
 """Strides planned from the data, located text errors, requests refused before any row is read."""
 
+import gzip
+import json
 import os
 import random
+import subprocess
+import sys
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -72,6 +76,63 @@ def test_bad_lines_are_named(spark, scratch):
         read_orders_text(spark, os.path.join(scratch, "b.txt")).collect()
 
 
+def test_bad_lines_of_many_blocks_against_brute_force(spark, scratch):
+    rnd, want = random.Random(5), {}
+    for k in range(6):
+        rows = [rnd.choice(["s,1,u,g,5", "s,1,u,g,5,,", "s,x,u,g,5", "", "é" * 200, "s,1,u,g,z"]) for _ in range(rnd.choice([1, 40, 1500]))]
+        data, name = ("\n".join(rows) + rnd.choice(["\n", "\n\n"])).encode(), f"f{k}.txt" + ".gz" * (k == 3)
+        with (gzip.open if k == 3 else open)(os.path.join(scratch, name), "wb") as fh:
+            fh.write(data)
+        for at, value in enumerate(data.decode().split("\n")[:-1], 1):
+            if value.rstrip(",") != "s,1,u,g,5":
+                problem = {"s,x,u,g,5": "field 'timestamp'", "s,1,u,g,z": "field 'item'"}.get(value, "expected 5 fields")
+                want[name, at] = (value, problem)
+    open(os.path.join(scratch, "empty.txt"), "wb").close()
+    for size in ("512", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = text_problems(spark, scratch, "NPREF").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert len(rows) == len(want) and {(os.path.basename(r.file), r.line): (r.value, r.problem) for r in rows} == want
+
+
+LOCATED = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+from affinity.sources.readers import text_problems
+where = sys.argv[2]
+spark = SparkSession.builder.master("local[2]").config(map={
+    "spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1", "spark.local.dir": where + "/local", "spark.sql.warehouse.dir": where + "/tables",
+    "spark.checkpoint.dir": where + "/kept", "spark.sql.shuffle.partitions": "2", "spark.sql.files.maxPartitionBytes": "256k",
+    "spark.eventLog.enabled": "true", "spark.eventLog.dir": "file://" + where + "/log", "spark.eventLog.compress": "false", "spark.eventLog.rolling.enabled": "false"}).getOrCreate()
+print(text_problems(spark, where + "/in", "NPREF").count())
+spark.stop()
+"""
+
+
+def test_lines_are_located_without_a_shuffle_of_them(scratch):
+    """Tasks read lines and pass on counts: no line is shuffled, and ten times the lines take no more memory in a task."""
+    found = {}
+    for n in (20_000, 200_000):
+        where = os.path.join(scratch, str(n))
+        os.makedirs(os.path.join(where, "in"))
+        os.makedirs(os.path.join(where, "log"))
+        with open(os.path.join(where, "in", "lines.txt"), "w", encoding="utf-8") as fh:
+            fh.writelines("s,1,u,g,5,6\n" if i % 50 == 0 else f"s,1,u,g,{i}\n" for i in range(n))
+        ran = subprocess.run([sys.executable, "-c", LOCATED, os.path.dirname(os.path.dirname(os.path.abspath(__file__))), where],
+                             capture_output=True, text=True, timeout=300)
+        assert ran.stdout.split()[-1:] == [str(n // 50)], ran.stderr[-2000:]
+        tasks = []
+        for name in os.listdir(os.path.join(where, "log")):
+            with open(os.path.join(where, "log", name), encoding="utf-8") as fh:
+                tasks += [e["Task Metrics"] for e in map(json.loads, fh) if e["Event"] == "SparkListenerTaskEnd"]
+        found[n] = (sum(t["Shuffle Write Metrics"]["Shuffle Records Written"] for t in tasks), max(t["Peak Execution Memory"] for t in tasks))
+    assert max(shuffled for shuffled, _ in found.values()) < 200
+    assert found[200_000][1] <= found[20_000][1] + 1_000_000
+
+
 def _jobs(spark, run):
     sc = spark.sparkContext
     sc.setJobGroup("plan-check", "requests that are refused")
