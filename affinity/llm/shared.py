@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +65,30 @@ def stored_in_buckets(df: DataFrame, label: str, buckets: int, keys: list[str])
     return table, path
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Inside, the shuffle files of a job leave the disk when its result is written, not when the driver collects its garbage.
+
+    For jobs of one action each; a table that is used again is stored.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def drop_folder(spark: SparkSession, name: str) -> None:
+    """Delete a folder of stored tables (``stored(df, f"{name}/label")``), if there is one, that no later job reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/{name}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """Connected components of the undirected ``edges``: one row ``(node, root)`` per node.
 

@@ -7,6 +7,7 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from affinity.llm import decontamination, line_dedup, lm_scoring, nearest, packing, personal_data, personal_forms, quality, sharding, simhash_dedup, substring_dedup
 from affinity.llm.shared import components
+from affinity.session import checkpoint_dir
 from tests.conftest import SF_CHECK, SF_SMALL
 
 
@@ -149,6 +151,62 @@ def test_repeated_rows_and_very_frequent_tokens(spark):
     assert len({(r.score, r.base_score, r.n_tokens, r.train_tokens) for r in got if r.doc_id in (1, 2, 3)}) == 1
 
 
+def _left_on_disk(spark):
+    """Bytes of the shuffle files, and of each kind of stored table."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = [f for top in manager.localDirsString() for f in Path(top).rglob("shuffle_*")]
+    shared = Path(checkpoint_dir(spark).removeprefix("file:"))
+    kinds = Counter()
+    for f in shared.rglob("part-*"):
+        kinds[re.split("[-_]", f.relative_to(shared).parts[0])[0]] += f.stat().st_size
+    return sum(f.stat().st_size for f in files if f.exists()), kinds
+
+
+def test_lm_lists_leave_the_disk(spark):
+    """Lists, cut once into more parts than a byte numbers or cut three times, are listed in rounds; none stays when all are answered."""
+    rng = random.Random(5)
+    words = [f"word{k}" for k in range(300)]
+    rows = [(i, " ".join(words[int(300 * rng.random() ** 3)] for _ in range(rng.randint(0, 150)))) for i in range(800)]
+    docs = spark.createDataFrame([*rows, (800, None), (801, rows[7][1])], "doc_id long, text string")
+    entries = 3 * sum(len(t) + 1 for _, t in rows) // 5
+    want = {r.doc_id: r for r in lm_scoring.score_texts(docs).collect()}
+    for cut in ({"part_entries": entries // 300}, {"part_entries": entries // 60, "fan": 4}):
+        spark.sparkContext._jvm.System.gc()
+        shuffled, kinds = _left_on_disk(spark)
+        scores = lm_scoring.score_texts(docs, block_bytes=40_000, **cut)
+        for _ in range(50):
+            now, made = _left_on_disk(spark)
+            if now < shuffled + 10_000:  # the rows of sums
+                break
+            time.sleep(0.2)
+        assert now < shuffled + 10_000
+        assert {k for k in made if made[k] > kinds[k]} == {"blocks", "totals"}
+        got = {r.doc_id: r for r in scores.collect()}
+        assert got.keys() == want.keys()
+        for i, r in got.items():
+            assert r[:5] == want[i][:5] and r[5:] == pytest.approx(want[i][5:], rel=1e-12)
+
+
+@pytest.mark.parametrize("counts", [[], [0], [0, 255], [256, 1], [2 ** 32, 7, 0], [2 ** 62, 2 ** 40 + 1, 3]])
+def test_lm_numbers_take_the_bytes_they_need(counts):
+    raw = lm_scoring._numbers(np.array(counts, np.int64))
+    assert lm_scoring._read_numbers(raw).tolist() == counts
+    assert len(raw) == 1 + len(counts) * max(1, math.ceil(max(counts, default=0).bit_length() / 8))
+
+
+@pytest.mark.parametrize(("cuts", "most"), [([40], 3), ([2], 2), ([1], 1), ([4, 4], 6)])
+def test_lm_rounds_share_the_parts(spark, monkeypatch, cuts, most):
+    """Every part is listed in one round; no round but that of a single part lists them all."""
+    asked, texts = [], spark.createDataFrame([(0, False, b"", b"")], "block long, held_out boolean, tokens binary, words binary")
+    none = spark.createDataFrame([], lm_scoring._ANSWERS)
+    monkeypatch.setattr(lm_scoring, "listings", lambda texts, order, parts, width, low, high: asked.append((low, high)) or none)
+    monkeypatch.setattr(lm_scoring, "answered", lambda lists, *rest: none)
+    lm_scoring._all_answers(texts, 3, cuts, 4)
+    assert len(asked) == min(most, cuts[0])
+    assert [p for low, high in asked for p in range(low, high)] == list(range(cuts[0]))
+    assert max(high - low for low, high in asked) <= math.ceil(cuts[0] / len(asked))
+
+
 def test_probabilities_of_a_history_sum_to_one(spark):
     # Texts of one unseen word after a history leave the root's weights; every known word, the end and one unknown
     # word are tried after "a", with the end read off a text that stops there.
